@@ -20,6 +20,10 @@ from tenderlake.operators.cluster import cluster_key
 from tenderlake.operators.policy import FilterPolicy
 from tenderlake.plans import inputs, staging
 from tenderlake.plans.views import relevant_opportunities
+from tenderlake.operators import extract as X
+from tenderlake.sources import listings as SL
+from tenderlake.sources import mail as SM
+from tenderlake.sources import notices as SN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -118,3 +122,119 @@ def q_truthy(spark: SparkSession, d: str) -> DataFrame:
     N = staging.stg_notice(spark, d)
     return N.select("seq", first_truthy("id", "notice_id", "external_id", "url").alias("external_key"),
                     first_truthy("buyer", "customer").alias("buyer_or_customer"))
+
+
+# ------------------------------------------------------------ sources
+def _raw_out(raw: DataFrame) -> DataFrame:
+    return raw.select("seq", "source_type", "source_name", "external_id",
+                      F.sha2("raw_body", 256).alias("body_hash"),
+                      F.sha2("metadata", 256).alias("metadata_hash"))
+
+
+@query("ingest_listings")
+def q_ingest_listings(spark: SparkSession, d: str) -> DataFrame:
+    return _raw_out(SL.listings_to_raw(inputs.listing_jobs(spark, d)))
+
+
+@query("fallback_external_id")
+def q_fallback_id(spark: SparkSession, d: str) -> DataFrame:
+    jobs = inputs.listing_jobs(spark, d)
+    return jobs.select("seq", SL.fallback_external_id(SL.listing_body()).alias("fallback_id"))
+
+
+def _mail_raw(spark: SparkSession, d: str) -> DataFrame:
+    return SM.mail_to_raw(staging.stg_mail(spark, d), inputs.MAIL_SOURCE)
+
+
+@query("ingest_mail")
+def q_ingest_mail(spark: SparkSession, d: str) -> DataFrame:
+    return _raw_out(_mail_raw(spark, d))
+
+
+@query("mail_since_uid")
+def q_mail_since(spark: SparkSession, d: str) -> DataFrame:
+    mail = SM.since_uid(staging.stg_mail(spark, d), inputs.UID_FLOOR)
+    return SM.mail_to_raw(mail, inputs.MAIL_SOURCE).select("seq", "external_id")
+
+
+def _notice_raw(spark: SparkSession, d: str) -> DataFrame:
+    feeds = inputs.notice_feeds(spark, d)
+    return SN.normalize_notices(SN.explode_feed(feeds))
+
+
+@query("ingest_notices")
+def q_ingest_notices(spark: SparkSession, d: str) -> DataFrame:
+    return _notice_raw(spark, d).select("seq", "source_name", "external_id",
+                                        F.sha2("raw_body", 256).alias("body_hash"))
+
+
+@query("notice_normalize")
+def q_notice_normalize(spark: SparkSession, d: str) -> DataFrame:
+    raw = _notice_raw(spark, d)
+    m = F.from_json("metadata", X.NOTICE_META)
+    return raw.select("seq", "external_id", m["title"].alias("title"), m["url"].alias("url"),
+                      m["buyer"].alias("buyer"), m["agreement_type"].alias("agreement_type"),
+                      m["notice_type"].alias("notice_type"), m["origin"].alias("origin"))
+
+
+@query("feed_precedence")
+def q_feed_precedence(spark: SparkSession, d: str) -> DataFrame:
+    N = staging.stg_notice(spark, d)
+    notices = N.select("seq", "source_name", F.parse_json(inputs.notice_json(N)).alias("notice"))
+    # the doffin feed also arrives embedded (odd lines only); others only fetched
+    embedded = notices.where((F.col("source_name") == "doffin") & (F.col("seq") % 2 == 1)) \
+        .withColumn("origin", F.lit("embedded"))
+    fetched = notices.withColumn("origin", F.lit("fetched"))
+    return SN.feed_precedence(embedded, fetched).select("seq", "source_name", "origin")
+
+
+@query("ingest_quarantine")
+def q_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    q = SN.quarantine(inputs.notice_feeds(spark, d))
+    return q.groupBy("source_name", "reason").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+# ------------------------------------------------------------ extraction
+def _rec_out(rec: DataFrame) -> DataFrame:
+    return rec.select("raw_id", "title", "customer", "broker", "source_url", "deadline",
+                      F.sha2(F.coalesce("description", F.lit("")), 256).alias("description_hash"),
+                      "summary", "source_type", "source_kind", "platform", "host", "agreement_type",
+                      "notice_type", "category", F.round("extraction_confidence", 6).alias("extraction_confidence"),
+                      "extraction_error")
+
+
+@query("extract_email")
+def q_extract_email(spark: SparkSession, d: str) -> DataFrame:
+    return _rec_out(X.extract_email(inputs.with_raw_ids(_mail_raw(spark, d))))
+
+
+@query("extract_listing")
+def q_extract_listing(spark: SparkSession, d: str) -> DataFrame:
+    raw = inputs.with_raw_ids(SL.listings_to_raw(inputs.listing_jobs(spark, d)))
+    return _rec_out(X.extract_listing(raw))
+
+
+@query("extract_notice")
+def q_extract_notice(spark: SparkSession, d: str) -> DataFrame:
+    return _rec_out(X.extract_notice(inputs.with_raw_ids(_notice_raw(spark, d))))
+
+
+def all_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Listings, mail and notices of one run; seq made unique per source."""
+    lst = SL.listings_to_raw(inputs.listing_jobs(spark, d)).withColumn("seq", F.col("seq") * 4 + 1)
+    mail = _mail_raw(spark, d).withColumn("seq", F.col("seq") * 4 + 2)
+    notice = _notice_raw(spark, d).withColumn("seq", F.col("seq") * 4 + 3)
+    return inputs.with_raw_ids(lst.unionByName(mail).unionByName(notice))
+
+
+@query("extract_all")
+def q_extract_all(spark: SparkSession, d: str) -> DataFrame:
+    return _rec_out(X.extract(all_raw(spark, d)))
+
+
+@query("extract_errors")
+def q_extract_errors(spark: SparkSession, d: str) -> DataFrame:
+    raw = all_raw(spark, d)
+    _, bad = X.split_errors(X.extract(raw))
+    return bad.join(raw.select("raw_id", "source_type", "external_id"), "raw_id") \
+        .select("raw_id", "source_type", "external_id", "extraction_error")

@@ -47,3 +47,49 @@ def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listing_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ClusterResult]:
     recs = listing_records(spark, sf_dir)
     return recs, cluster_records(recs)
+
+
+# ------------------------------------------------------------ source shapes
+NOTICE_JSON_KEYS = ("agreement_type", "buyer", "category", "customer", "deadline", "description",
+                    "external_id", "id", "notice_id", "notice_type", "published_at", "status",
+                    "summary", "title", "url")
+# Feed document shape per notice row: a list, an {items: [...]} object, an
+# object without items (yields nothing) or a list with non-object entries.
+FEED_SHAPE = "seq % 4"
+# Truncated (unparseable) feed documents, as a crashed download leaves them.
+BAD_FEED = "(seq div 8) % 50 = 0 AND seq % 8 = 1"
+MAIL_SOURCE = "oppdrag@example.no"
+UID_FLOOR = 7500
+
+
+def notice_json(N: DataFrame) -> Column:
+    """One notice as compact JSON (null fields omitted)."""
+    return F.to_json(F.struct(*[F.col(k) for k in NOTICE_JSON_KEYS]))
+
+
+def notice_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, source_name, payload): one landed feed document per notice."""
+    N = staging.stg_notice(spark, sf_dir).withColumn("bad", F.expr(BAD_FEED))
+    js = notice_json(N)
+    shape = F.expr(FEED_SHAPE)
+    payload = (F.when(F.col("bad"), F.substring(js, 1, 10))
+               .when(shape == 0, F.concat(F.lit("["), js, F.lit("]")))
+               .when(shape == 1, F.concat(F.lit('{"items":['), js, F.lit("]}")))
+               .when(shape == 2, js)
+               .otherwise(F.concat(F.lit("["), js, F.lit(', 7, "x"]'))))
+    return N.select("seq", "source_name", payload.alias("payload"))
+
+
+def listing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stg_listing rows as scraped listing documents."""
+    L = staging.stg_listing(spark, sf_dir)
+    return L.select("seq", F.struct(F.col("title"), F.col("customer").alias("company"),
+                                    F.col("summary").alias("description"),
+                                    F.col("deadline").alias("delivery_date"),
+                                    F.col("source_url").alias("job_uri")).alias("job_overview"),
+                    "description", F.col("summary").alias("description_summarised"), "platform")
+
+
+def with_raw_ids(raw: DataFrame) -> DataFrame:
+    from tenderlake.functions.text import content_hash
+    return raw.withColumn("raw_id", F.col("seq")).withColumn("content_hash", content_hash("raw_body"))

@@ -178,3 +178,221 @@ def _truthy() -> str:
     return with_staging(
         f"SELECT seq, {q.first_truthy('id', 'notice_id', 'external_id', 'url')} AS external_key, "
         f"{q.first_truthy('buyer', 'customer')} AS buyer_or_customer FROM stg_notice", "stg_notice")
+
+
+# ------------------------------------------------------------ sources
+BAD_FEED_SQL = "(seq // 8) % 50 = 0 AND seq % 8 = 1"
+
+
+def listing_body_sql() -> str:
+    ov = ("json_object('title', title, 'company', customer, 'description', summary, "
+          "'delivery_date', deadline, 'job_uri', source_url)")
+    return (f"CAST(json_object('job_overview', {ov}, 'description', description, "
+            "'description_summarised', summary, 'platform', platform) AS VARCHAR)")
+
+
+def listing_meta_sql() -> str:
+    return ("CAST(json_object('title', title, 'company', customer, 'delivery_date', deadline, "
+            "'job_uri', source_url, 'platform', platform) AS VARCHAR)")
+
+
+def fallback_sql(body: str) -> str:
+    def part(x, d):
+        return f"coalesce(nullif({q.nt(x)}, ''), {q.sq(d)})"
+    return ("'fallback:' || " + " || ':' || ".join([
+        part("platform", "unknown"), part("title", "untitled"), part("customer", "unknown-company"),
+        part("deadline", "unknown-deadline")]) + f" || ':' || substr(sha256({body}), 1, 16)")
+
+
+def raw_listing_cte() -> str:
+    return f"""SELECT seq, 'scraper' AS source_type, coalesce(nullif(platform, ''), 'unknown') AS source_name,
+  coalesce(nullif(source_url, ''), {fallback_sql('body')}) AS external_id, body AS raw_body,
+  {listing_meta_sql()} AS metadata, title, customer, summary, deadline, source_url, description, platform
+FROM (SELECT *, {listing_body_sql()} AS body FROM stg_listing)"""
+
+
+@oracle("ingest_listings")
+def _ingest_listings() -> str:
+    return with_staging("SELECT seq, source_type, source_name, external_id, sha256(raw_body) AS body_hash, "
+                        "sha256(metadata) AS metadata_hash FROM raw_l", "stg_listing",
+                        extra_ctes=[("raw_l", raw_listing_cte())])
+
+
+@oracle("fallback_external_id")
+def _fallback() -> str:
+    return with_staging(f"SELECT seq, {fallback_sql(listing_body_sql())} AS fallback_id FROM stg_listing",
+                        "stg_listing")
+
+
+def raw_mail_cte() -> str:
+    meta = ("CAST(json_object('uid', CAST(uid AS VARCHAR), 'subject', subject, 'from', sender, "
+            "'to', NULL, 'cc', NULL, 'date', NULL, 'mailbox', 'INBOX', "
+            "'message_id', coalesce(message_id, CAST(uid AS VARCHAR))) AS VARCHAR)")
+    return f"""SELECT uid AS seq, 'email' AS source_type, 'oppdrag@example.no' AS source_name,
+  coalesce(message_id, CAST(uid AS VARCHAR)) AS external_id, coalesce(body, '') AS raw_body,
+  {meta} AS metadata, subject, sender FROM stg_mail"""
+
+
+@oracle("ingest_mail")
+def _ingest_mail() -> str:
+    return with_staging("SELECT seq, source_type, source_name, external_id, sha256(raw_body) AS body_hash, "
+                        "sha256(metadata) AS metadata_hash FROM raw_m", "stg_mail",
+                        extra_ctes=[("raw_m", raw_mail_cte())])
+
+
+@oracle("mail_since_uid")
+def _mail_since() -> str:
+    return with_staging("SELECT uid AS seq, coalesce(message_id, CAST(uid AS VARCHAR)) AS external_id "
+                        "FROM stg_mail WHERE uid >= 7500", "stg_mail")
+
+
+NOTICE_KEYS = ("agreement_type", "buyer", "category", "customer", "deadline", "description",
+               "external_id", "id", "notice_id", "notice_type", "published_at", "status",
+               "summary", "title", "url")
+
+
+def canonical_notice_sql() -> str:
+    parts = ", ".join(f"CASE WHEN {k} IS NOT NULL THEN '\"{k}\":' || CAST(to_json({k}) AS VARCHAR) END"
+                      for k in NOTICE_KEYS)
+    return f"'{{' || concat_ws(',', {parts}) || '}}'"
+
+
+def notices_cte() -> str:
+    ext = q.first_truthy("id", "notice_id", "external_id", "url")
+    return f"""SELECT *, {canonical_notice_sql()} AS body, {ext} AS ext_id
+FROM stg_notice WHERE NOT ({BAD_FEED_SQL}) AND seq % 4 <> 2"""
+
+
+@oracle("ingest_notices")
+def _ingest_notices() -> str:
+    return with_staging("SELECT seq, source_name, ext_id AS external_id, sha256(body) AS body_hash FROM nt_ok",
+                        "stg_notice", extra_ctes=[("nt_ok", notices_cte())])
+
+
+@oracle("notice_normalize")
+def _notice_normalize() -> str:
+    return with_staging(
+        f"SELECT seq, ext_id AS external_id, title, nullif(url, '') AS url, "
+        f"{q.first_truthy('buyer', 'customer')} AS buyer, {q.nt('agreement_type')} AS agreement_type, "
+        f"{q.nt('notice_type')} AS notice_type, source_name AS origin FROM nt_ok",
+        "stg_notice", extra_ctes=[("nt_ok", notices_cte())])
+
+
+@oracle("feed_precedence")
+def _feed_precedence() -> str:
+    return with_staging(
+        "SELECT seq, source_name, 'embedded' AS origin FROM stg_notice WHERE source_name = 'doffin' AND seq % 2 = 1 "
+        "UNION ALL SELECT seq, source_name, 'fetched' AS origin FROM stg_notice WHERE source_name <> 'doffin'",
+        "stg_notice")
+
+
+@oracle("ingest_quarantine")
+def _quarantine() -> str:
+    return with_staging(
+        f"SELECT source_name, CASE WHEN {BAD_FEED_SQL} THEN 'bad_json' ELSE 'no_items' END AS reason, "
+        f"count(*) AS n_documents FROM stg_notice WHERE ({BAD_FEED_SQL}) OR seq % 4 = 2 GROUP BY ALL",
+        "stg_notice")
+
+
+# ------------------------------------------------------------ extraction
+REC_OUT = ("raw_id, title, customer, broker, source_url, deadline, sha256(coalesce(description, '')) "
+           "AS description_hash, summary, source_type, source_kind, platform, host, agreement_type, "
+           "notice_type, category, round(extraction_confidence, 6) AS extraction_confidence, extraction_error")
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{q.WS}|{q.WS}$', '', 'g')"
+
+
+def rx_group(text: str, pat: str) -> str:
+    return f"CASE WHEN regexp_matches({text}, '{pat}') THEN {strip_sql(f'regexp_extract({text}, {q.sq(pat)}, 2)')} END"
+
+
+TITLE_RE2 = r"(?i)(oppdrag|assignment|rolle)[:\-]\s*(.+)"
+DEADLINE_RE2 = r"(?i)(frist|deadline)[:\-]\s*([^\n]+)"
+URL_RE2 = r"https?://[^\s)]+"
+
+
+def host_sql(x: str) -> str:
+    return f"nullif(lower(regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#@]+)', 1)), '')"
+
+
+def email_records_cte() -> str:
+    b = "raw_body"
+    title = f"coalesce({rx_group('coalesce(subject, chr(0))', TITLE_RE2)}, {rx_group(b, TITLE_RE2)}, subject)"
+    return f"""SELECT seq AS raw_id, {title} AS title, sender AS customer, sender AS broker,
+  CASE WHEN regexp_matches({b}, '{URL_RE2}') THEN regexp_extract({b}, '{URL_RE2}', 0) END AS source_url,
+  {rx_group(b, DEADLINE_RE2)} AS deadline, {b} AS description, CAST(NULL AS VARCHAR) AS summary,
+  'email' AS source_type, {q.source_kind("'email'", "source_name")} AS source_kind,
+  CAST(NULL AS VARCHAR) AS platform, CAST(NULL AS VARCHAR) AS host, CAST(NULL AS VARCHAR) AS agreement_type,
+  CAST(NULL AS VARCHAR) AS notice_type, CAST(NULL AS VARCHAR) AS category,
+  {q.dbl(0.65)} AS extraction_confidence, CAST(NULL AS VARCHAR) AS extraction_error
+FROM raw_m"""
+
+
+def listing_records_cte() -> str:
+    ok = "description IS NOT NULL"
+
+    def f(x):
+        return f"CASE WHEN {ok} THEN {x} END"
+    return f"""SELECT seq AS raw_id, {f('title')} AS title, {f('customer')} AS customer, {f('platform')} AS broker,
+  {f('source_url')} AS source_url, {f('deadline')} AS deadline, {f("coalesce(description, '')")} AS description,
+  {f('summary')} AS summary, 'scraper' AS source_type,
+  {f(q.source_kind("'scraper'", 'source_name', 'platform'))} AS source_kind, {f('platform')} AS platform,
+  {f(host_sql('source_url'))} AS host, CAST(NULL AS VARCHAR) AS agreement_type,
+  CAST(NULL AS VARCHAR) AS notice_type, CAST(NULL AS VARCHAR) AS category,
+  CASE WHEN {ok} THEN {q.dbl(0.9)} END AS extraction_confidence,
+  CASE WHEN {ok} THEN NULL ELSE 'invalid listing document: description missing' END AS extraction_error
+FROM raw_l"""
+
+
+def notice_records_cte() -> str:
+    url = "nullif(url, '')"
+    return f"""SELECT seq AS raw_id, title, {q.first_truthy('buyer', 'customer')} AS customer, source_name AS broker,
+  {url} AS source_url, deadline, coalesce(nullif(description, ''), body) AS description, summary,
+  'procurement' AS source_type,
+  {q.source_kind("'procurement'", 'source_name', 'NULL', 'NULL', 'source_name')} AS source_kind,
+  CAST(NULL AS VARCHAR) AS platform, {host_sql(url)} AS host, agreement_type, notice_type, category,
+  {q.dbl(0.85)} AS extraction_confidence, CAST(NULL AS VARCHAR) AS extraction_error
+FROM nt_ok"""
+
+
+@oracle("extract_email")
+def _extract_email() -> str:
+    return with_staging(f"SELECT {REC_OUT} FROM rec_m", "stg_mail",
+                        extra_ctes=[("raw_m", raw_mail_cte()), ("rec_m", email_records_cte())])
+
+
+@oracle("extract_listing")
+def _extract_listing() -> str:
+    return with_staging(f"SELECT {REC_OUT} FROM rec_l", "stg_listing",
+                        extra_ctes=[("raw_l", raw_listing_cte()), ("rec_l", listing_records_cte())])
+
+
+@oracle("extract_notice")
+def _extract_notice() -> str:
+    return with_staging(f"SELECT {REC_OUT} FROM rec_n", "stg_notice",
+                        extra_ctes=[("nt_ok", notices_cte()), ("rec_n", notice_records_cte())])
+
+
+def all_records_ctes() -> list[tuple[str, str]]:
+    return [("raw_l", raw_listing_cte()), ("rec_l", listing_records_cte()),
+            ("raw_m", raw_mail_cte()), ("rec_m", email_records_cte()),
+            ("nt_ok", notices_cte()), ("rec_n", notice_records_cte()),
+            ("rec_all", "SELECT * REPLACE (raw_id * 4 + 1 AS raw_id) FROM rec_l UNION ALL "
+                        "SELECT * REPLACE (raw_id * 4 + 2 AS raw_id) FROM rec_m UNION ALL "
+                        "SELECT * REPLACE (raw_id * 4 + 3 AS raw_id) FROM rec_n")]
+
+
+@oracle("extract_all")
+def _extract_all() -> str:
+    return with_staging(f"SELECT {REC_OUT} FROM rec_all", "stg_mail", "stg_notice",
+                        extra_ctes=all_records_ctes())
+
+
+@oracle("extract_errors")
+def _extract_errors() -> str:
+    return with_staging(
+        "SELECT seq * 4 + 1 AS raw_id, 'scraper' AS source_type, external_id, "
+        "'invalid listing document: description missing' AS extraction_error FROM raw_l WHERE description IS NULL",
+        "stg_listing", extra_ctes=[("raw_l", raw_listing_cte())])
