@@ -21,6 +21,7 @@ from tenderlake.operators.policy import FilterPolicy
 from tenderlake.plans import inputs, staging
 from tenderlake.plans.views import relevant_opportunities
 from tenderlake.operators import extract as X
+from tenderlake.operators import state as ST
 from tenderlake.sources import listings as SL
 from tenderlake.sources import mail as SM
 from tenderlake.sources import notices as SN
@@ -238,3 +239,36 @@ def q_extract_errors(spark: SparkSession, d: str) -> DataFrame:
     _, bad = X.split_errors(X.extract(raw))
     return bad.join(raw.select("raw_id", "source_type", "external_id"), "raw_id") \
         .select("raw_id", "source_type", "external_id", "extraction_error")
+
+
+# ------------------------------------------------------------ raw state
+def _upserted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    old, new = inputs.version_batches(spark, d)
+    stored = ST.upsert_raw(None, old).drop("changed")
+    return stored, ST.upsert_raw(stored, new)
+
+
+@query("raw_upsert")
+def q_raw_upsert(spark: SparkSession, d: str) -> DataFrame:
+    _, final = _upserted(spark, d)
+    return final.select("raw_id", "source_name", "external_id", "content_hash", "seq", "changed",
+                        F.unix_micros(F.col("received_at").cast("timestamp")).alias("received_us"))
+
+
+@query("latest_record")
+def q_latest_record(spark: SparkSession, d: str) -> DataFrame:
+    V = staging.stg_versions(spark, d)
+    recs = V.select(F.concat_ws(":", "source_name", "external_id").alias("raw_id"),
+                    F.col("seq").alias("record_id"), F.sha2("raw_body", 256).alias("raw_content_hash"))
+    return ST.latest_records(recs).select("raw_id", "record_id", "raw_content_hash")
+
+
+@query("incremental_reextract")
+def q_incremental(spark: SparkSession, d: str) -> DataFrame:
+    stored, final = _upserted(spark, d)
+    old_records = stored.select("raw_id", F.col("seq").alias("record_id"),
+                                F.col("content_hash").alias("raw_content_hash"))
+    _, new = inputs.version_batches(spark, d)
+    in_batch = final.join(new.select(*ST.KEY).distinct(), ST.KEY, "left_semi")
+    plan = ST.reextract_plan(in_batch, ST.latest_records(old_records))
+    return plan.select("raw_id", "source_name", "external_id", "action")

@@ -93,3 +93,11 @@ def listing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_raw_ids(raw: DataFrame) -> DataFrame:
     from tenderlake.functions.text import content_hash
     return raw.withColumn("raw_id", F.col("seq")).withColumn("content_hash", content_hash("raw_body"))
+
+
+def version_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """stg_versions as raw-item batches: (stored run, new run)."""
+    V = staging.stg_versions(spark, sf_dir)
+    raw = V.select("seq", "source_type", "source_name", "external_id", "raw_body",
+                   F.lit("{}").alias("metadata"), F.col("ts").alias("received_at"), "ts")
+    return raw.where(event_is_old()).drop("ts"), raw.where(~event_is_old()).drop("ts")

@@ -396,3 +396,45 @@ def _extract_errors() -> str:
         "SELECT seq * 4 + 1 AS raw_id, 'scraper' AS source_type, external_id, "
         "'invalid listing document: description missing' AS extraction_error FROM raw_l WHERE description IS NULL",
         "stg_listing", extra_ctes=[("raw_l", raw_listing_cte())])
+
+
+# ------------------------------------------------------------ raw state
+def events_fold_ctes() -> list[tuple[str, str]]:
+    ev = f"""SELECT event_type AS source_name, CAST(user_id AS VARCHAR) AS external_id, event_id AS seq,
+  ts, sha256(props) AS h, CASE WHEN {EVENT_IS_OLD_SQL} THEN 0 ELSE 1 END AS is_new FROM events"""
+    w = """SELECT *, lag(h) OVER (PARTITION BY source_name, external_id ORDER BY is_new, seq) AS prev_h,
+  row_number() OVER (PARTITION BY source_name, external_id ORDER BY is_new, seq) AS pos
+FROM ev"""
+    kept = """SELECT source_name, external_id, arg_max(seq, pos) AS k_seq, arg_max(ts, pos) AS k_ts,
+  arg_max(h, pos) AS k_h, arg_max(is_new, pos) AS k_new
+FROM w WHERE prev_h IS NULL OR prev_h <> h GROUP BY ALL"""
+    ids = "SELECT source_name, external_id, arg_min(seq, pos) AS raw_id FROM w GROUP BY ALL"
+    return [("ev", ev), ("w", w), ("kept", kept), ("ids", ids)]
+
+
+@oracle("raw_upsert")
+def _raw_upsert() -> str:
+    return with_staging(
+        "SELECT i.raw_id, k.source_name, k.external_id, k.k_h AS content_hash, k.k_seq AS seq, "
+        "k.k_new = 1 AS changed, epoch_us(k.k_ts) AS received_us "
+        "FROM kept k JOIN ids i USING (source_name, external_id)", extra_ctes=events_fold_ctes())
+
+
+@oracle("latest_record")
+def _latest_record() -> str:
+    return ("SELECT event_type || ':' || CAST(user_id AS VARCHAR) AS raw_id, max(event_id) AS record_id, "
+            "arg_max(sha256(props), event_id) AS raw_content_hash FROM events GROUP BY ALL")
+
+
+@oracle("incremental_reextract")
+def _incremental() -> str:
+    extra = events_fold_ctes() + [
+        ("stored", "SELECT source_name, external_id, arg_max(h, pos) AS s_h FROM w "
+                   "WHERE (prev_h IS NULL OR prev_h <> h) AND is_new = 0 GROUP BY ALL"),
+        ("batch_keys", "SELECT DISTINCT source_name, external_id FROM ev WHERE is_new = 1")]
+    return with_staging(
+        "SELECT i.raw_id, k.source_name, k.external_id, "
+        "CASE WHEN s.s_h IS NOT NULL AND s.s_h = k.k_h THEN 'reuse' ELSE 'extract' END AS action "
+        "FROM kept k JOIN ids i USING (source_name, external_id) "
+        "JOIN batch_keys b USING (source_name, external_id) "
+        "LEFT JOIN stored s USING (source_name, external_id)", extra_ctes=extra)
