@@ -249,3 +249,14 @@ def primary_sources(clusters: DataFrame, links: DataFrame, records: DataFrame) -
                  F.count(F.lit(1)).alias("source_count")))
     return (clusters.join(best, "cluster_id", "left")
             .withColumn("source_count", F.coalesce("source_count", F.lit(0)).cast("bigint")))
+
+
+def detach_records(links: DataFrame, records: DataFrame, failed_raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drop every link of the records of raw items whose re-extraction
+    failed.  Returns (kept links, affected cluster ids)."""
+    gone = (records.select("record_id", "raw_id")
+            .join(failed_raw.select("raw_id").distinct(), "raw_id", "left_semi")
+            .select("record_id"))
+    removed = links.join(gone, "record_id", "left_semi")
+    kept = links.join(gone, "record_id", "left_anti")
+    return kept, removed.select("cluster_id").distinct()

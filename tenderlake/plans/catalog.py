@@ -16,7 +16,7 @@ from tenderlake.functions.kinds import (contains_agreement_phrase, source_rank,
                                         with_source_kind)
 from tenderlake.functions.text import (content_hash, contains_keyword, first_truthy,
                                        normalize_text, normalize_url, url_host)
-from tenderlake.operators.cluster import cluster_key
+from tenderlake.operators.cluster import cluster_key, comparisons, primary_sources
 from tenderlake.operators.policy import FilterPolicy
 from tenderlake.plans import inputs, staging
 from tenderlake.plans.views import relevant_opportunities
@@ -272,3 +272,62 @@ def q_incremental(spark: SparkSession, d: str) -> DataFrame:
     in_batch = final.join(new.select(*ST.KEY).distinct(), ST.KEY, "left_semi")
     plan = ST.reextract_plan(in_batch, ST.latest_records(old_records))
     return plan.select("raw_id", "source_name", "external_id", "action")
+
+
+# ------------------------------------------------------------ clustering
+def _links_out(links: DataFrame) -> DataFrame:
+    return links.select("cluster_id", "record_id", r6("match_confidence").alias("match_confidence"),
+                        "match_rationale")
+
+
+@query("cluster_upsert")
+def q_cluster_upsert(spark: SparkSession, d: str) -> DataFrame:
+    sc = inputs.cluster_scenario(spark, d)
+    return sc.result.clusters.select("cluster_id", "cluster_key", "title", "customer",
+                                     r6("confidence").alias("confidence"), "review_status")
+
+
+@query("cluster_links")
+def q_cluster_links(spark: SparkSession, d: str) -> DataFrame:
+    return _links_out(inputs.cluster_scenario(spark, d).result.links)
+
+
+@query("cluster_similarity")
+def q_cluster_similarity(spark: SparkSession, d: str) -> DataFrame:
+    _, res = inputs.listing_clusters(spark, d)
+    return _links_out(res.links)
+
+
+@query("detach_superseded")
+def q_detach_superseded(spark: SparkSession, d: str) -> DataFrame:
+    sc = inputs.cluster_scenario(spark, d)
+    removed = sc.links_after_failures.join(sc.result.links.select("cluster_id", "record_id"),
+                                           ["cluster_id", "record_id"], "left_anti")
+    return removed.select("cluster_id", "record_id")
+
+
+@query("detach_failed")
+def q_detach_failed(spark: SparkSession, d: str) -> DataFrame:
+    sc = inputs.cluster_scenario(spark, d)
+    removed = sc.state_links.join(sc.links_after_failures.select("cluster_id", "record_id"),
+                                  ["cluster_id", "record_id"], "left_anti")
+    return removed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("removed_links"))
+
+
+@query("comparisons")
+def q_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    sc = inputs.cluster_scenario(spark, d)
+    return comparisons(sc.result.links, sc.all_records).select(
+        "cluster_id", "field_name", "value", F.col("n_values").cast("bigint").alias("n_values"))
+
+
+@query("primary_source")
+def q_primary_source(spark: SparkSession, d: str) -> DataFrame:
+    sc = inputs.cluster_scenario(spark, d)
+    p = primary_sources(sc.result.clusters, sc.result.links, sc.all_records)
+    return p.select("cluster_id", "primary_record_id", "source_count")
+
+
+@query("touched_clusters")
+def q_touched(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.cluster_scenario(spark, d).result.touched.select("cluster_id")

@@ -3,6 +3,8 @@ query catalog, the bench and the tests)."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +103,46 @@ def version_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     raw = V.select("seq", "source_type", "source_name", "external_id", "raw_body",
                    F.lit("{}").alias("metadata"), F.col("ts").alias("received_at"), "ts")
     return raw.where(event_is_old()).drop("ts"), raw.where(~event_is_old()).drop("ts")
+
+
+# ------------------------------------------------------------ cluster state
+VERSION_OFFSET = 1 << 40
+# Stored records revised by the batch: those due in 1997.
+REVISED = "deadline LIKE '1997%'"
+# Reviewer decisions recorded on stored clusters before the batch.
+REVIEWED_STATUS = ("CASE WHEN cluster_id % 7 = 3 THEN 'manually_merged' "
+                   "WHEN cluster_id % 7 = 5 THEN 'ignored' ELSE review_status END")
+
+
+@dataclass
+class ClusterScenario:
+    old_records: DataFrame
+    batch_records: DataFrame
+    all_records: DataFrame
+    failed_raw: DataFrame
+    state_clusters: DataFrame
+    state_links: DataFrame
+    links_after_failures: DataFrame
+    failed_affected: DataFrame
+    result: ClusterResult
+
+
+def cluster_scenario(spark: SparkSession, sf_dir: str) -> ClusterScenario:
+    from tenderlake.operators.cluster import detach_records
+    recs = listing_records(spark, sf_dir)
+    old = recs.where(order_is_old())
+    new = recs.where(~order_is_old())
+    revised_src = old.where(F.expr(REVISED))
+    revised = (revised_src.where(F.col("description").isNotNull())
+               .withColumn("record_id", F.col("seq") + F.lit(VERSION_OFFSET))
+               .withColumn("title", F.concat(F.coalesce("title", F.lit("")), F.lit(" (revised)")))
+               .withColumn("deadline", F.concat(F.lit("revised "), F.col("deadline"))))
+    failed = revised_src.where(F.col("description").isNull()).select("raw_id")
+    stored = cluster_records(old)
+    state_clusters = stored.clusters.withColumn("review_status", F.expr(REVIEWED_STATUS))
+    batch = new.unionByName(revised)
+    links0, failed_affected = detach_records(stored.links, old, failed)
+    res = cluster_records(batch, state_clusters, links0, old)
+    res.touched = res.touched.unionByName(failed_affected).distinct()
+    return ClusterScenario(old, batch, old.unionByName(batch), failed, state_clusters, stored.links,
+                           links0, failed_affected, res)

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from tenderlake.functions import fixed
 from tenderlake.plans import sqltext as q
-from tenderlake.plans.inputs import EVENT_IS_OLD_SQL, MISSING_KIND, ORDER_IS_OLD_SQL
+from tenderlake.plans.inputs import (EVENT_IS_OLD_SQL, MISSING_KIND, ORDER_IS_OLD_SQL, REVIEWED_STATUS,
+                                     VERSION_OFFSET)
 from tenderlake.plans.staging import with_staging
 
 ORACLES: dict[str, str] = {}
@@ -438,3 +439,143 @@ def _incremental() -> str:
         "FROM kept k JOIN ids i USING (source_name, external_id) "
         "JOIN batch_keys b USING (source_name, external_id) "
         "LEFT JOIN stored s USING (source_name, external_id)", extra_ctes=extra)
+
+
+# ------------------------------------------------------------ clustering
+STATUS_SQL = f"CASE WHEN rec_conf >= {q.dbl(0.9)} THEN 'auto_accepted' ELSE 'needs_review' END"
+
+
+def keyed_sql(rel: str) -> str:
+    return (f"SELECT * REPLACE ({q.cluster_key('title', 'customer', 'deadline', 'source_url')} AS cluster_key, "
+            f"CASE WHEN {q.nu('source_url')} <> '' THEN {q.dbl(0.95)} ELSE {q.dbl(0.7)} END AS rec_conf) FROM {rel}")
+
+
+def score_cols(title_asof: str, cust_asof: str, dl_prior: str) -> str:
+    url = f"({q.nu('x.source_url')} <> '')"
+    t = f"({q.nt('x.title')} = {q.nt(title_asof)})"
+    c = f"({q.nt('x.customer')} = {q.nt(cust_asof)})"
+    d = f"({q.nt('x.deadline')} <> '' AND ({dl_prior} OR x.dl_first < x.record_id))"
+    score = (f"least(CASE WHEN {url} THEN {q.dbl(0.6)} ELSE {q.dbl(0.0)} END + CASE WHEN {t} THEN {q.dbl(0.2)} ELSE {q.dbl(0.0)} END"
+             f" + CASE WHEN {c} THEN {q.dbl(0.1)} ELSE {q.dbl(0.0)} END + CASE WHEN {d} THEN {q.dbl(0.1)} ELSE {q.dbl(0.0)} END, {q.dbl(1.0)})")
+    why = (f"coalesce(nullif(concat_ws(',', CASE WHEN {url} THEN 'url' END, CASE WHEN {t} THEN 'title' END, "
+           f"CASE WHEN {c} THEN 'customer' END, CASE WHEN {d} THEN 'deadline' END), ''), 'weak-match')")
+    return f"{score} AS match_confidence, {why} AS match_rationale"
+
+
+def windowed_sql(rel: str) -> str:
+    w = "PARTITION BY cluster_key ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return (f"SELECT *, first_value(nullif(title, '') IGNORE NULLS) OVER ({w}) AS t_win, "
+            f"first_value(nullif(customer, '') IGNORE NULLS) OVER ({w}) AS c_win, "
+            f"min(record_id) OVER (PARTITION BY cluster_key, {q.nt('deadline')}) AS dl_first FROM {rel}")
+
+
+def cluster_scenario_ctes() -> list[tuple[str, str]]:
+    old_c = clusters_cte("old").replace("count(*) AS source_count", "0 AS _unused")
+    return [
+        ("recs_all", records_cte()),
+        ("old", f"SELECT * FROM recs_all WHERE {ORDER_IS_OLD_SQL}"),
+        ("newr", f"SELECT * FROM recs_all WHERE NOT ({ORDER_IS_OLD_SQL})"),
+        ("rsrc", "SELECT * FROM old WHERE deadline LIKE '1997%'"),
+        ("rev0", f"SELECT * REPLACE (seq + {VERSION_OFFSET} AS record_id, coalesce(title, '') || ' (revised)' AS title, "
+                 "'revised ' || deadline AS deadline) FROM rsrc WHERE description IS NOT NULL"),
+        ("rev", keyed_sql("rev0")),
+        ("batch", "SELECT * FROM newr UNION ALL SELECT * FROM rev"),
+        ("failed", "SELECT raw_id FROM rsrc WHERE description IS NULL"),
+        ("oc0", old_c),
+        ("oc", f"SELECT * REPLACE ({REVIEWED_STATUS} AS review_status) FROM oc0"),
+        ("ow", windowed_sql("old")),
+        ("ol", f"SELECT c.cluster_id, x.record_id, {score_cols('x.t_win', 'x.c_win', 'FALSE')} "
+               "FROM ow x JOIN oc0 c USING (cluster_key)"),
+        ("bs", f"""SELECT cluster_key, min(record_id) AS b_first,
+  arg_min(title, record_id) FILTER (WHERE title <> '') AS b_title,
+  arg_min(customer, record_id) FILTER (WHERE customer <> '') AS b_customer,
+  max(rec_conf) AS b_conf, arg_max({STATUS_SQL}, record_id) AS b_status FROM batch GROUP BY cluster_key"""),
+        ("fc", """SELECT coalesce(o.cluster_id, b.b_first) AS cluster_id, coalesce(o.cluster_key, b.cluster_key) AS cluster_key,
+  coalesce(nullif(o.title, ''), b.b_title, o.title) AS title,
+  coalesce(nullif(o.customer, ''), b.b_customer, o.customer) AS customer,
+  greatest(o.confidence, b.b_conf) AS confidence,
+  CASE WHEN b.cluster_key IS NULL THEN o.review_status
+       WHEN o.review_status IS NOT NULL AND o.review_status NOT IN ('auto_accepted', 'needs_review') THEN o.review_status
+       ELSE b.b_status END AS review_status
+FROM oc o FULL OUTER JOIN bs b ON o.cluster_key = b.cluster_key"""),
+        ("ol_f", "SELECT l.* FROM ol l JOIN old r USING (record_id) WHERE r.raw_id NOT IN (SELECT raw_id FROM failed)"),
+        ("kl", "SELECT l.* FROM ol_f l JOIN old r USING (record_id) WHERE r.raw_id NOT IN (SELECT raw_id FROM batch)"),
+        ("prior_dl", f"SELECT DISTINCT f.cluster_key, {q.nt('r.deadline')} AS dl FROM kl JOIN old r USING (record_id) "
+                     f"JOIN fc f USING (cluster_id) WHERE {q.nt('r.deadline')} <> ''"),
+        ("bw", windowed_sql("batch")),
+        ("nl", f"""SELECT f.cluster_id, x.record_id,
+  {score_cols("coalesce(nullif(o.title, ''), x.t_win)", "coalesce(nullif(o.customer, ''), x.c_win)",
+              f"EXISTS (SELECT 1 FROM prior_dl p WHERE p.cluster_key = x.cluster_key AND p.dl = {q.nt('x.deadline')})")}
+FROM bw x JOIN fc f USING (cluster_key) LEFT JOIN oc o USING (cluster_key)"""),
+        ("fl", "SELECT * FROM kl UNION ALL SELECT * FROM nl WHERE (cluster_id, record_id) NOT IN (SELECT cluster_id, record_id FROM kl)"),
+        ("all_recs", "SELECT * FROM old UNION ALL SELECT * FROM batch"),
+    ]
+
+
+def cscen(body: str) -> str:
+    return with_staging(body, "stg_listing", extra_ctes=cluster_scenario_ctes())
+
+
+@oracle("cluster_upsert")
+def _cluster_upsert() -> str:
+    return cscen(f"SELECT cluster_id, cluster_key, title, customer, {q.r6('confidence')} AS confidence, review_status FROM fc")
+
+
+@oracle("cluster_links")
+def _cluster_links() -> str:
+    return cscen(f"SELECT cluster_id, record_id, {q.r6('match_confidence')} AS match_confidence, match_rationale FROM fl")
+
+
+@oracle("cluster_similarity")
+def _cluster_similarity() -> str:
+    return with_staging(
+        f"SELECT c.cluster_id, x.record_id, {q.r6('match_confidence')} AS match_confidence, match_rationale FROM "
+        f"(SELECT c.cluster_id, x.record_id, {score_cols('x.t_win', 'x.c_win', 'FALSE')} "
+        f"FROM ({windowed_sql('recs')}) x JOIN clusters c USING (cluster_key)) x JOIN clusters c USING (cluster_id)",
+        "stg_listing", extra_ctes=listing_cluster_ctes())
+
+
+@oracle("detach_superseded")
+def _detach_superseded() -> str:
+    return cscen("SELECT l.cluster_id, l.record_id FROM ol_f l JOIN old r USING (record_id) "
+                 "WHERE r.raw_id IN (SELECT raw_id FROM batch)")
+
+
+@oracle("detach_failed")
+def _detach_failed() -> str:
+    return cscen("SELECT l.cluster_id, count(*) AS removed_links FROM ol l JOIN old r USING (record_id) "
+                 "WHERE r.raw_id IN (SELECT raw_id FROM failed) GROUP BY l.cluster_id")
+
+
+def comparisons_sql(links: str, recs: str) -> str:
+    fields = ("title", "customer", "broker", "deadline", "source_url")
+    unp = " UNION ".join(f"SELECT l.cluster_id, '{f}' AS field_name, r.{f} AS value FROM {links} l "
+                         f"JOIN {recs} r USING (record_id) WHERE r.{f} <> ''" for f in fields)
+    return f"""SELECT v.cluster_id, v.field_name, v.value, n.n_values FROM ({unp}) v
+JOIN (SELECT cluster_id, field_name, count(*) AS n_values FROM ({unp}) GROUP BY ALL HAVING count(*) > 1) n
+USING (cluster_id, field_name)"""
+
+
+@oracle("comparisons")
+def _comparisons() -> str:
+    return cscen(comparisons_sql("fl", "all_recs"))
+
+
+def primary_sql(clusters: str, links: str, recs: str) -> str:
+    pk = q.priority_key("source_kind", "source_type", "platform", "host", "broker", "source_url")
+    return f"""SELECT c.cluster_id, p.primary_record_id, coalesce(p.n, 0) AS source_count FROM {clusters} c
+LEFT JOIN (SELECT l.cluster_id, arg_max(l.record_id, {{'r': {q.rank('k.pk')}, 'c': coalesce(k.extraction_confidence, {q.dbl(0.0)}), 'i': l.record_id}}) AS primary_record_id,
+  count(*) AS n FROM {links} l JOIN (SELECT record_id, extraction_confidence, {pk} AS pk FROM {recs}) k USING (record_id)
+  GROUP BY l.cluster_id) p USING (cluster_id)"""
+
+
+@oracle("primary_source")
+def _primary_source() -> str:
+    return cscen(primary_sql("fc", "fl", "all_recs"))
+
+
+@oracle("touched_clusters")
+def _touched() -> str:
+    return cscen("SELECT cluster_id FROM nl UNION "
+                 "SELECT l.cluster_id FROM ol_f l JOIN old r USING (record_id) WHERE r.raw_id IN (SELECT raw_id FROM batch) UNION "
+                 "SELECT l.cluster_id FROM ol l JOIN old r USING (record_id) WHERE r.raw_id IN (SELECT raw_id FROM failed)")
