@@ -19,7 +19,9 @@ from tenderlake.functions.text import (content_hash, contains_keyword, first_tru
 from tenderlake.operators.cluster import cluster_key, comparisons, primary_sources
 from tenderlake.operators.policy import FilterPolicy
 from tenderlake.plans import inputs, staging
-from tenderlake.plans.views import relevant_opportunities
+from tenderlake.plans.views import cluster_view, digest_payload, relevant_opportunities, review_queue
+from tenderlake.operators import digest as DG
+from tenderlake.operators.policy import classify, include_in_digest, score_clusters
 from tenderlake.operators import extract as X
 from tenderlake.operators import state as ST
 from tenderlake.sources import listings as SL
@@ -331,3 +333,110 @@ def q_primary_source(spark: SparkSession, d: str) -> DataFrame:
 @query("touched_clusters")
 def q_touched(spark: SparkSession, d: str) -> DataFrame:
     return inputs.cluster_scenario(spark, d).result.touched.select("cluster_id")
+
+
+# ------------------------------------------------------------ policy
+CAPACITY_PROFILE = {"data_engineering": 2, "backend": 0, "frontend": 7, "security": 1}
+
+
+@query("role_classify")
+def q_role_classify(spark: SparkSession, d: str) -> DataFrame:
+    recs, res = inputs.listing_clusters(spark, d)
+    roles = classify(res.clusters, res.links, recs, FilterPolicy.build())
+    return roles.select("cluster_id", "role_category", F.array_join("role_tags", "|").alias("role_tags"))
+
+
+@query("relevance_score")
+def q_relevance(spark: SparkSession, d: str) -> DataFrame:
+    recs, res = inputs.listing_clusters(spark, d)
+    pol = FilterPolicy.build(capacity=CAPACITY_PROFILE, mode="high_recall")
+    s = score_clusters(res.clusters, res.links, recs, pol)
+    return s.select("cluster_id", "role_category", r6("relevance_score").alias("relevance_score"),
+                    "relevance_rationale")
+
+
+@query("digest_candidates")
+def q_digest_candidates(spark: SparkSession, d: str) -> DataFrame:
+    ds = inputs.digest_scenario(spark, d)
+    s = ds.scored
+    inc = include_in_digest(F.col("review_status"), F.col("confidence"), F.col("relevance_score"),
+                            FilterPolicy.build())
+    return s.where(inc).select("cluster_id", "review_status", r6("relevance_score").alias("relevance_score"))
+
+
+@query("cluster_search")
+def q_cluster_search(spark: SparkSession, d: str) -> DataFrame:
+    recs, res = inputs.listing_clusters(spark, d)
+    v = cluster_view(res.clusters, res.links, recs, FilterPolicy.build(), q="united", min_relevance=0.5)
+    return view_out(v)
+
+
+def _stored_primary(sc) -> DataFrame:
+    return primary_sources(sc.state_clusters, sc.state_links, sc.old_records).select(
+        "cluster_id", "primary_record_id")
+
+
+@query("digest_payload")
+def q_digest_payload(spark: SparkSession, d: str) -> DataFrame:
+    sc = inputs.cluster_scenario(spark, d)
+    p = digest_payload(sc.result.clusters, sc.result.links, sc.all_records,
+                       stored_primary=_stored_primary(sc))
+    return p.select("cluster_id", "title", "customer", "deadline", "source_count", "primary_record_id",
+                    r6("confidence").alias("confidence"), "review_status")
+
+
+@query("digest_message")
+def q_digest_message(spark: SparkSession, d: str) -> DataFrame:
+    ds = inputs.digest_scenario(spark, d)
+    sc = ds.clusters
+    p = digest_payload(sc.result.clusters, sc.result.links, sc.all_records, scored=ds.scored,
+                       stored_primary=_stored_primary(sc))
+    return DG.message_columns(p)
+
+
+@query("digest_plan")
+def q_digest_plan(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.digest_scenario(spark, d).plan.select("cluster_id", "action", "emit")
+
+
+@query("digest_mark_sent")
+def q_digest_mark_sent(spark: SparkSession, d: str) -> DataFrame:
+    ds = inputs.digest_scenario(spark, d)
+    state = DG.apply_plan(ds.digests, ds.plan, F.col("cluster_id") * 2)
+    emitted = ds.plan.where(F.col("emit")).join(
+        ds.clusters.result.clusters.select("cluster_id", F.col("customer").alias("_cust")), "cluster_id")
+    # a post fails (no acknowledgement) when the cluster has no customer
+    acks = emitted.where(F.col("_cust").isNotNull()).select(
+        F.when(F.col("action") == "update_unsent", F.col("unsent_digest_id"))
+        .otherwise(F.col("cluster_id") * 2).alias("digest_id"),
+        F.concat(F.lit("m-"), F.col("cluster_id").cast("string")).alias("message_ts"))
+    out = DG.mark_sent(state, acks, inputs.RUN_AS_OF)
+    return out.select("digest_id", "cluster_id", "review_status", "message_ts",
+                      F.unix_micros("sent_at").alias("sent_us"))
+
+
+@query("pending_digests")
+def q_pending(spark: SparkSession, d: str) -> DataFrame:
+    ds = inputs.digest_scenario(spark, d)
+    return DG.pending_clusters(ds.clusters.result.clusters, ds.digests).select("cluster_id")
+
+
+CADENCE_AS_OF = "2024-01-30 23:00:00"
+CADENCE_MINUTES = 30
+
+
+@query("cadence_gate")
+def q_cadence(spark: SparkSession, d: str) -> DataFrame:
+    ev = staging.table(spark, d, "events")
+    latest = ev.groupBy("event_type").agg(F.max("ts").alias("latest_sent_at"))
+    edge = F.lit(CADENCE_AS_OF).cast("timestamp") - F.make_interval(mins=F.lit(CADENCE_MINUTES))
+    return latest.select("event_type", F.unix_micros(F.col("latest_sent_at").cast("timestamp")).alias("latest_us"),
+                         (F.col("latest_sent_at").cast("timestamp") > edge).alias("blocked"))
+
+
+@query("review_queue")
+def q_review_queue(spark: SparkSession, d: str) -> DataFrame:
+    sc = inputs.cluster_scenario(spark, d)
+    comp = comparisons(sc.result.links, sc.all_records)
+    rq = review_queue(sc.result.clusters, comp)
+    return rq.select("cluster_id", "title", "customer", r6("confidence").alias("confidence"), "field_name", "value")

@@ -146,3 +146,49 @@ def cluster_scenario(spark: SparkSession, sf_dir: str) -> ClusterScenario:
     res.touched = res.touched.unionByName(failed_affected).distinct()
     return ClusterScenario(old, batch, old.unionByName(batch), failed, state_clusters, stored.links,
                            links0, failed_affected, res)
+
+
+# ------------------------------------------------------------ digests
+SENT_AT = "2024-01-30 10:00:00"
+RUN_AS_OF = "2024-02-01 00:00:00"
+
+
+def synthetic_digests(clusters: DataFrame) -> DataFrame:
+    """Digest items left by earlier runs: none / unsent / sent / both,
+    by cluster id modulo 4."""
+    c = clusters.select("cluster_id", "review_status")
+    m = F.col("cluster_id") % 4
+    unsent = c.where(m == 1).select((F.col("cluster_id") * 2).alias("digest_id"), "cluster_id", "review_status",
+                                    F.lit(None).cast("string").alias("message_ts"),
+                                    F.lit(None).cast("timestamp").alias("sent_at"))
+    sent = c.where(m.isin(2, 3)).select((F.col("cluster_id") * 2).alias("digest_id"), "cluster_id",
+                                        "review_status", F.concat(F.lit("old-"), F.col("cluster_id").cast("string")).alias("message_ts"),
+                                        F.lit(SENT_AT).cast("timestamp").alias("sent_at"))
+    both = c.where(m == 3).select((F.col("cluster_id") * 2 + 1).alias("digest_id"), "cluster_id", "review_status",
+                                  F.lit(None).cast("string").alias("message_ts"),
+                                  F.lit(None).cast("timestamp").alias("sent_at"))
+    return unsent.unionByName(sent).unionByName(both)
+
+
+@dataclass
+class DigestScenario:
+    clusters: ClusterScenario
+    scored: DataFrame
+    digests: DataFrame
+    plan: DataFrame
+
+
+def digest_scenario(spark: SparkSession, sf_dir: str, policy=None) -> DigestScenario:
+    from tenderlake.operators.digest import plan_digest
+    from tenderlake.operators.policy import FilterPolicy, include_in_digest, score_clusters
+    pol = policy or FilterPolicy.build()
+    sc = cluster_scenario(spark, sf_dir)
+    res = sc.result
+    counts = res.links.groupBy("cluster_id").agg(F.count(F.lit(1)).cast("bigint").alias("source_count"))
+    scored = (score_clusters(res.clusters, res.links, sc.all_records, pol)
+              .join(counts, "cluster_id", "left")
+              .withColumn("source_count", F.coalesce("source_count", F.lit(0).cast("bigint"))))
+    digests = synthetic_digests(res.clusters)
+    inc = include_in_digest(F.col("review_status"), F.col("confidence"), F.col("relevance_score"), pol)
+    plan = plan_digest(scored, digests, inc)
+    return DigestScenario(sc, scored, digests, plan)

@@ -45,14 +45,16 @@ def clusters_cte(recs: str = "recs") -> str:
 FROM {recs} GROUP BY cluster_key"""
 
 
-def roles_ctes(clusters: str, recs: str, taxonomy: dict | None = None) -> list[tuple[str, str]]:
+def roles_ctes(clusters: str, recs: str, taxonomy: dict | None = None,
+               links: str | None = None) -> list[tuple[str, str]]:
     """hay(cluster_id, h) and roles(cluster_id, role_category, role_tags)."""
     tax = taxonomy or fixed.DEFAULT_ROLE_TAXONOMY
+    lk = links or f"(SELECT c.cluster_id, r.record_id FROM {recs} r JOIN {clusters} c USING (cluster_key))"
     hay = f"""SELECT c.cluster_id, {q.nt("concat_ws(' ', c.title, c.customer, agg.t)")} AS h
 FROM {clusters} c LEFT JOIN (
-  SELECT cluster_key, string_agg(concat_ws(' ', title, summary, description, broker, source_url),
-                                 ' ' ORDER BY record_id) AS t
-  FROM {recs} GROUP BY cluster_key) agg ON agg.cluster_key = c.cluster_key"""
+  SELECT l.cluster_id, string_agg(concat_ws(' ', r.title, r.summary, r.description, r.broker, r.source_url),
+                                 ' ' ORDER BY r.record_id) AS t
+  FROM {lk} l JOIN {recs} r USING (record_id) GROUP BY l.cluster_id) agg ON agg.cluster_id = c.cluster_id"""
     parts = []
     for role, kws in tax.items():
         s = " + ".join(f"CAST({q.has_word('h', ' '.join(k.lower().split()))} AS INTEGER)" for k in kws) or "0"
@@ -579,3 +581,146 @@ def _touched() -> str:
     return cscen("SELECT cluster_id FROM nl UNION "
                  "SELECT l.cluster_id FROM ol_f l JOIN old r USING (record_id) WHERE r.raw_id IN (SELECT raw_id FROM batch) UNION "
                  "SELECT l.cluster_id FROM ol l JOIN old r USING (record_id) WHERE r.raw_id IN (SELECT raw_id FROM failed)")
+
+
+# ------------------------------------------------------------ policy / digest
+def include_sql(status: str, conf: str, score: str, thr: float = 0.35) -> str:
+    return (f"({status} NOT IN ('ignored', 'watch_only') AND NOT ({status} = 'needs_review' AND {conf} < {q.dbl(0.75)}) "
+            f"AND {score} >= {q.dbl(thr)})")
+
+
+@oracle("role_classify")
+def _role_classify() -> str:
+    return with_staging("SELECT cluster_id, role_category, role_tags FROM roles", "stg_listing",
+                        extra_ctes=listing_cluster_ctes() + roles_ctes("clusters", "recs"))
+
+
+CAPACITY_PROFILE = {"data_engineering": 2, "backend": 0, "frontend": 7, "security": 1}
+
+
+@oracle("relevance_score")
+def _relevance() -> str:
+    score, why = relevance_sql("c.confidence", "r.role_category", CAPACITY_PROFILE, "high_recall")
+    return with_staging(f"SELECT c.cluster_id, r.role_category, {q.r6(score)} AS relevance_score, {why} AS relevance_rationale "
+                        "FROM clusters c JOIN roles r USING (cluster_id)", "stg_listing",
+                        extra_ctes=listing_cluster_ctes() + roles_ctes("clusters", "recs"))
+
+
+def digest_ctes() -> list[tuple[str, str]]:
+    score, why = relevance_sql("f.confidence", "r.role_category")
+    return cluster_scenario_ctes() + roles_ctes("fc", "all_recs", links="fl") + [
+        ("sc", f"""SELECT f.*, r.role_category, r.role_tags, {score} AS relevance_score, {why} AS relevance_rationale,
+  coalesce(n.n, 0) AS source_count
+FROM fc f JOIN roles r USING (cluster_id) LEFT JOIN (SELECT cluster_id, count(*) AS n FROM fl GROUP BY 1) n USING (cluster_id)"""),
+        ("dg", f"""SELECT cluster_id * 2 AS digest_id, cluster_id, review_status, CAST(NULL AS VARCHAR) AS message_ts,
+  CAST(NULL AS TIMESTAMP) AS sent_at FROM fc WHERE cluster_id % 4 = 1
+UNION ALL SELECT cluster_id * 2, cluster_id, review_status, 'old-' || CAST(cluster_id AS VARCHAR),
+  TIMESTAMP '{SENT_AT}' FROM fc WHERE cluster_id % 4 IN (2, 3)
+UNION ALL SELECT cluster_id * 2 + 1, cluster_id, review_status, NULL, NULL FROM fc WHERE cluster_id % 4 = 3"""),
+        ("flags", "SELECT cluster_id, bool_or(sent_at IS NULL) AS has_unsent, bool_or(sent_at IS NOT NULL) AS has_sent, "
+                  "max(digest_id) FILTER (WHERE sent_at IS NULL) AS unsent_digest_id FROM dg GROUP BY 1"),
+        ("plan", f"""SELECT sc.*, fl.unsent_digest_id,
+  CASE WHEN sc.source_count = 0 THEN 'delete_unsent'
+       WHEN NOT {include_sql('sc.review_status', 'sc.confidence', 'sc.relevance_score')} THEN 'delete_unsent'
+       WHEN coalesce(fl.has_unsent, FALSE) THEN 'update_unsent'
+       WHEN coalesce(fl.has_sent, FALSE) THEN 'suppress' ELSE 'insert' END AS action
+FROM sc LEFT JOIN flags fl USING (cluster_id)"""),
+    ]
+
+
+SENT_AT = "2024-01-30 10:00:00"
+RUN_AS_OF = "2024-02-01 00:00:00"
+
+
+def dscen(body: str) -> str:
+    return with_staging(body, "stg_listing", extra_ctes=digest_ctes())
+
+
+@oracle("digest_candidates")
+def _digest_candidates() -> str:
+    return dscen(f"SELECT cluster_id, review_status, {q.r6('relevance_score')} AS relevance_score FROM sc "
+                 f"WHERE {include_sql('review_status', 'confidence', 'relevance_score')}")
+
+
+@oracle("cluster_search")
+def _cluster_search() -> str:
+    score, why = relevance_sql("c.confidence", "r.role_category")
+    return with_staging(
+        f"""SELECT c.cluster_id, c.cluster_key, c.title, c.customer, c.review_status, {q.r6('c.confidence')} AS confidence,
+  c.source_count, r.role_category, r.role_tags, {q.r6(score)} AS relevance_score, {why} AS relevance_rationale
+FROM clusters c JOIN roles r USING (cluster_id)
+WHERE (c.title ILIKE '%united%' OR c.customer ILIKE '%united%' OR c.cluster_key ILIKE '%united%')
+  AND {score} >= {q.dbl(0.5)}""", "stg_listing", extra_ctes=listing_cluster_ctes() + roles_ctes("clusters", "recs"))
+
+
+def payload_ctes() -> list[tuple[str, str]]:
+    return [
+        ("ocp", primary_sql("oc", "ol", "old")),
+        ("firstl", "SELECT cluster_id, min(record_id) AS first_rid, count(*) AS n FROM fl GROUP BY 1"),
+        ("pay0", """SELECT f.*, p.primary_record_id, coalesce(fi.n, 0) AS source_count,
+  CASE WHEN EXISTS (SELECT 1 FROM fl x WHERE x.cluster_id = f.cluster_id AND x.record_id = p.primary_record_id)
+       THEN p.primary_record_id ELSE fi.first_rid END AS disp
+FROM fc f LEFT JOIN ocp p USING (cluster_id) LEFT JOIN firstl fi USING (cluster_id)"""),
+        ("pay", """SELECT p.cluster_id, coalesce(nullif(r.title, ''), nullif(p.title, ''), 'Untitled opportunity') AS title,
+  coalesce(nullif(r.customer, ''), p.customer) AS customer, r.deadline, p.source_count, p.primary_record_id,
+  p.confidence, p.review_status
+FROM pay0 p LEFT JOIN all_recs r ON r.record_id = p.disp"""),
+    ]
+
+
+@oracle("digest_payload")
+def _digest_payload() -> str:
+    return with_staging(f"SELECT cluster_id, title, customer, deadline, source_count, primary_record_id, "
+                        f"{q.r6('confidence')} AS confidence, review_status FROM pay", "stg_listing",
+                        extra_ctes=cluster_scenario_ctes() + payload_ctes())
+
+
+@oracle("digest_message")
+def _digest_message() -> str:
+    return with_staging(
+        """SELECT p.cluster_id, 'KOIS: ' || coalesce(nullif(p.title, ''), 'Untitled opportunity') AS header,
+  coalesce(nullif(p.customer, ''), 'Unknown customer') AS customer_text,
+  coalesce(nullif(p.deadline, ''), 'Unknown deadline') AS deadline_text,
+  CAST(p.source_count AS VARCHAR) AS sources_text, p.review_status AS status_text,
+  printf('%.2f', p.confidence) AS confidence_text, coalesce(nullif(s.role_category, ''), 'generalist') AS role_text,
+  printf('%.2f', s.relevance_score) AS relevance_text
+FROM pay p JOIN sc s USING (cluster_id)""", "stg_listing", extra_ctes=digest_ctes() + payload_ctes())
+
+
+@oracle("digest_plan")
+def _digest_plan() -> str:
+    return dscen("SELECT cluster_id, action, action IN ('update_unsent', 'insert') AS emit FROM plan")
+
+
+@oracle("digest_mark_sent")
+def _digest_mark_sent() -> str:
+    return dscen(f"""SELECT d.digest_id, d.cluster_id, d.review_status,
+  CASE WHEN a.digest_id IS NOT NULL AND d.sent_at IS NULL THEN a.message_ts ELSE d.message_ts END AS message_ts,
+  epoch_us(CASE WHEN a.digest_id IS NOT NULL AND d.sent_at IS NULL THEN TIMESTAMP '{RUN_AS_OF}' ELSE d.sent_at END) AS sent_us
+FROM (
+  SELECT g.digest_id, g.cluster_id, coalesce(u.review_status, g.review_status) AS review_status, g.message_ts, g.sent_at
+  FROM dg g LEFT JOIN plan u ON u.action = 'update_unsent' AND u.unsent_digest_id = g.digest_id
+  WHERE g.sent_at IS NOT NULL OR g.cluster_id NOT IN (SELECT cluster_id FROM plan WHERE action = 'delete_unsent')
+  UNION ALL SELECT cluster_id * 2, cluster_id, review_status, NULL, NULL FROM plan WHERE action = 'insert'
+) d LEFT JOIN (
+  SELECT CASE WHEN action = 'update_unsent' THEN unsent_digest_id ELSE cluster_id * 2 END AS digest_id,
+         'm-' || CAST(cluster_id AS VARCHAR) AS message_ts
+  FROM plan WHERE action IN ('update_unsent', 'insert') AND customer IS NOT NULL
+) a USING (digest_id)""")
+
+
+@oracle("pending_digests")
+def _pending() -> str:
+    return dscen("SELECT DISTINCT cluster_id FROM dg WHERE sent_at IS NULL")
+
+
+@oracle("cadence_gate")
+def _cadence() -> str:
+    return ("SELECT event_type, epoch_us(max(ts)) AS latest_us, "
+            "max(ts) > TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 30 MINUTE AS blocked FROM events GROUP BY 1")
+
+
+@oracle("review_queue")
+def _review_queue() -> str:
+    return cscen(f"""SELECT f.cluster_id, f.title, f.customer, {q.r6('f.confidence')} AS confidence, c.field_name, c.value
+FROM fc f LEFT JOIN ({comparisons_sql('fl', 'all_recs')}) c USING (cluster_id) WHERE f.review_status = 'needs_review'""")
