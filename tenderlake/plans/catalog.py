@@ -21,6 +21,9 @@ from tenderlake.operators.policy import FilterPolicy
 from tenderlake.plans import inputs, staging
 from tenderlake.plans.views import cluster_view, digest_payload, relevant_opportunities, review_queue
 from tenderlake.operators import digest as DG
+from tenderlake.operators import analytics as AN
+from tenderlake.operators import gaps as GP
+from tenderlake.operators import signals as SG
 from tenderlake.operators.policy import classify, include_in_digest, score_clusters
 from tenderlake.operators import extract as X
 from tenderlake.operators import state as ST
@@ -367,7 +370,7 @@ def q_digest_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query("cluster_search")
 def q_cluster_search(spark: SparkSession, d: str) -> DataFrame:
     recs, res = inputs.listing_clusters(spark, d)
-    v = cluster_view(res.clusters, res.links, recs, FilterPolicy.build(), q="united", min_relevance=0.5)
+    v = cluster_view(res.clusters, res.links, recs, FilterPolicy.build(), q="nation_1", min_relevance=0.5)
     return view_out(v)
 
 
@@ -440,3 +443,116 @@ def q_review_queue(spark: SparkSession, d: str) -> DataFrame:
     comp = comparisons(sc.result.links, sc.all_records)
     rq = review_queue(sc.result.clusters, comp)
     return rq.select("cluster_id", "title", "customer", r6("confidence").alias("confidence"), "field_name", "value")
+
+
+# ------------------------------------------------------------ signals
+SIG_OUT = ["source_name", "external_id", "title", "buyer_name", "agreement_type", "category", "status",
+           "source_url", "published_at", "deadline"]
+
+
+@query("signal_detect")
+def q_signal_detect(spark: SparkSession, d: str) -> DataFrame:
+    raw, recs = inputs.notice_raw_records(spark, d)
+    det = SG.detect_signals(raw, recs).where(F.col("detected"))
+    return det.select(*SIG_OUT, r6("signal_confidence").alias("signal_confidence"))
+
+
+@query("signal_sync")
+def q_signal_sync(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.signal_scenario(spark, d).select("source_name", "external_id", "title", "agreement_type")
+
+
+@query("signal_list")
+def q_signal_list(spark: SparkSession, d: str) -> DataFrame:
+    lst = SG.list_signals(inputs.all_signals(spark, d), buyer="nation_1")
+    return lst.select("source_name", "external_id", "buyer_name", "seq")
+
+
+# ------------------------------------------------------------ gaps
+def _gap_out(g: DataFrame) -> DataFrame:
+    return g.select("gap_key", "buyer_name", "status", "note", r6("confidence").alias("confidence"),
+                    "cluster_count")
+
+
+@query("gap_discovery")
+def q_gap_discovery(spark: SparkSession, d: str) -> DataFrame:
+    return _gap_out(inputs.gap_scenario(spark, d)[2].upserted)
+
+
+@query("gap_autoclose")
+def q_gap_autoclose(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.gap_scenario(spark, d)[2].closed.select("gap_key", "status", "note")
+
+
+@query("gap_upsert")
+def q_gap_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return _gap_out(inputs.gap_scenario(spark, d)[2].gaps)
+
+
+@query("gap_status")
+def q_gap_status(spark: SparkSession, d: str) -> DataFrame:
+    gaps = inputs.gap_scenario(spark, d)[2].gaps
+    m = F.col("first_cluster_id") % 3
+    t = gaps.where(m.isin(0, 1)).select(
+        "gap_key", F.when(m == 0, F.lit("acknowledged")).otherwise(F.lit("watch_only")).alias("status"),
+        F.when(m == 1, F.lit("check later")).alias("note"))
+    unknown = spark.createDataFrame([("buyer:nobody", "acknowledged", None)], "gap_key string, status string, note string")
+    out, _ = GP.set_gap_status(gaps, t.unionByName(unknown))
+    return out.select("gap_key", "status", "note")
+
+
+@query("gap_list")
+def q_gap_list(spark: SparkSession, d: str) -> DataFrame:
+    return GP.list_gaps(inputs.gap_scenario(spark, d)[2].gaps, "open").select(
+        "gap_key", r6("confidence").alias("confidence"))
+
+
+@query("coverage_summary")
+def q_coverage(spark: SparkSession, d: str) -> DataFrame:
+    _, signals, gr = inputs.gap_scenario(spark, d)
+    return AN.coverage_summary(signals, gr.gaps).select(
+        F.col("agreement_signal_count").cast("bigint").alias("agreement_signal_count"),
+        F.col("gap_count").cast("bigint").alias("gap_count"),
+        F.col("open_gap_count").cast("bigint").alias("open_gap_count"))
+
+
+# ------------------------------------------------------------ analytics
+@query("buyer_trends")
+def q_buyer_trends(spark: SparkSession, d: str) -> DataFrame:
+    _, res = inputs.listing_clusters(spark, d)
+    return AN.buyer_trends(res.clusters).select(
+        "buyer", F.col("opportunity_count").cast("bigint").alias("opportunity_count"),
+        r6("avg_confidence").alias("avg_confidence"))
+
+
+@query("broker_patterns")
+def q_broker_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return AN.broker_patterns(inputs.listing_records(spark, d)).select(
+        "broker", F.col("record_count").cast("bigint").alias("record_count"),
+        F.col("unique_buyers").cast("bigint").alias("unique_buyers"))
+
+
+@query("source_quality")
+def q_source_quality(spark: SparkSession, d: str) -> DataFrame:
+    sc = inputs.cluster_scenario(spark, d)
+    comp = comparisons(sc.result.links, sc.all_records)
+    return AN.source_quality(sc.result.clusters, sc.result.links, comp).select(
+        F.col("cluster_count").cast("bigint").alias("cluster_count"),
+        F.col("clusters_with_conflicts").cast("bigint").alias("clusters_with_conflicts"),
+        r6("conflict_ratio").alias("conflict_ratio"),
+        r6("average_sources_per_cluster").alias("average_sources_per_cluster"))
+
+
+REVIEW_STATUS_BY_ORDER = "CASE order_status WHEN 'F' THEN 'watch_only' WHEN 'O' THEN 'ignored' ELSE 'manually_merged' END"
+
+
+@query("review_transition")
+def q_review_transition(spark: SparkSession, d: str) -> DataFrame:
+    recs, res = inputs.listing_clusters(spark, d)
+    keyed = recs.where(~inputs.order_is_old()).withColumn(
+        "cluster_key", cluster_key("title", "customer", "deadline", "source_url"))
+    t = keyed.join(res.clusters.select("cluster_id", "cluster_key"), "cluster_key").select(
+        "cluster_id", F.expr(REVIEW_STATUS_BY_ORDER).alias("status"), "seq")
+    out, _, _ = AN.apply_review(res.clusters, t)
+    return out.where(F.col("n_transitions").isNotNull()).select(
+        "cluster_id", "review_status", F.col("n_transitions").cast("bigint").alias("n_transitions"))

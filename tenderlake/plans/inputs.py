@@ -59,7 +59,7 @@ NOTICE_JSON_KEYS = ("agreement_type", "buyer", "category", "customer", "deadline
 # object without items (yields nothing) or a list with non-object entries.
 FEED_SHAPE = "seq % 4"
 # Truncated (unparseable) feed documents, as a crashed download leaves them.
-BAD_FEED = "(seq div 8) % 50 = 0 AND seq % 8 = 1"
+BAD_FEED = "(line_key div 8) % 50 = 0 AND line_key % 8 = 1"
 MAIL_SOURCE = "oppdrag@example.no"
 UID_FLOOR = 7500
 
@@ -107,6 +107,7 @@ def version_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 # ------------------------------------------------------------ cluster state
 VERSION_OFFSET = 1 << 40
+NOTICE_VERSION_OFFSET = 1 << 60
 # Stored records revised by the batch: those due in 1997.
 REVISED = "deadline LIKE '1997%'"
 # Reviewer decisions recorded on stored clusters before the batch.
@@ -192,3 +193,49 @@ def digest_scenario(spark: SparkSession, sf_dir: str, policy=None) -> DigestScen
     inc = include_in_digest(F.col("review_status"), F.col("confidence"), F.col("relevance_score"), pol)
     plan = plan_digest(scored, digests, inc)
     return DigestScenario(sc, scored, digests, plan)
+
+
+# ------------------------------------------------------------ signals / gaps
+REVISED_NOTICE = "deadline LIKE '1996%'"
+GAP_STATUS_SQL = ("CASE first_cluster_id % 5 WHEN 1 THEN 'acknowledged' WHEN 2 THEN 'watch_only' "
+                  "WHEN 3 THEN 'ignored' WHEN 4 THEN 'ignored' ELSE 'open' END")
+GAP_NOTE_SQL = ("CASE first_cluster_id % 5 WHEN 3 THEN 'not relevant' WHEN 4 THEN "
+                "'Auto-closed after matching agreement signal detected for this buyer.' ELSE NULL END")
+
+
+def notice_raw_records(spark: SparkSession, sf_dir: str, N: DataFrame | None = None):
+    from tenderlake.operators.extract import extract_notice
+    from tenderlake.sources.notices import normalize_notices
+    N = N if N is not None else staging.stg_notice(spark, sf_dir)
+    notices = N.select("seq", "source_name", F.parse_json(notice_json(N)).alias("notice"))
+    raw = with_raw_ids(normalize_notices(notices))
+    return raw, extract_notice(raw)
+
+
+def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.operators.signals import detect_signals, sync_signals
+    raw, recs = notice_raw_records(spark, sf_dir)
+    return sync_signals(None, detect_signals(raw, recs))
+
+
+def signal_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tenderlake.operators.signals import detect_signals, sync_signals
+    N = staging.stg_notice(spark, sf_dir)
+    old = N.where(order_is_old())
+    revised = (old.where(F.expr(REVISED_NOTICE))
+               .withColumn("seq", F.col("seq") + F.lit(NOTICE_VERSION_OFFSET))
+               .withColumn("title", F.lit("Open competition"))
+               .withColumn("agreement_type", F.lit(None).cast("string"))
+               .withColumn("notice_type", F.lit(None).cast("string")))
+    batch = N.where(~order_is_old()).unionByName(revised)
+    state = sync_signals(None, detect_signals(*notice_raw_records(spark, sf_dir, old)))
+    return sync_signals(state, detect_signals(*notice_raw_records(spark, sf_dir, batch)))
+
+
+def gap_scenario(spark: SparkSession, sf_dir: str):
+    from tenderlake.operators.gaps import discover_gaps
+    sc = cluster_scenario(spark, sf_dir)
+    signals = all_signals(spark, sf_dir)
+    old = discover_gaps(sc.state_clusters, sc.state_links, signals.limit(0)).gaps
+    old = old.withColumn("status", F.expr(GAP_STATUS_SQL)).withColumn("note", F.expr(GAP_NOTE_SQL))
+    return sc, signals, discover_gaps(sc.result.clusters, sc.result.links, signals, state=old)

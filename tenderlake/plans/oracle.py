@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from tenderlake.functions import fixed
 from tenderlake.plans import sqltext as q
-from tenderlake.plans.inputs import (EVENT_IS_OLD_SQL, MISSING_KIND, ORDER_IS_OLD_SQL, REVIEWED_STATUS,
-                                     VERSION_OFFSET)
+from tenderlake.plans.inputs import (GAP_NOTE_SQL, GAP_STATUS_SQL, REVISED_NOTICE,EVENT_IS_OLD_SQL, MISSING_KIND, ORDER_IS_OLD_SQL, REVIEWED_STATUS,
+                                     VERSION_OFFSET, NOTICE_VERSION_OFFSET)
 from tenderlake.plans.staging import with_staging
 
 ORACLES: dict[str, str] = {}
@@ -184,7 +184,7 @@ def _truthy() -> str:
 
 
 # ------------------------------------------------------------ sources
-BAD_FEED_SQL = "(seq // 8) % 50 = 0 AND seq % 8 = 1"
+BAD_FEED_SQL = "(line_key // 8) % 50 = 0 AND line_key % 8 = 1"
 
 
 def listing_body_sql() -> str:
@@ -649,7 +649,7 @@ def _cluster_search() -> str:
         f"""SELECT c.cluster_id, c.cluster_key, c.title, c.customer, c.review_status, {q.r6('c.confidence')} AS confidence,
   c.source_count, r.role_category, r.role_tags, {q.r6(score)} AS relevance_score, {why} AS relevance_rationale
 FROM clusters c JOIN roles r USING (cluster_id)
-WHERE (c.title ILIKE '%united%' OR c.customer ILIKE '%united%' OR c.cluster_key ILIKE '%united%')
+WHERE (c.title ILIKE '%nation_1%' OR c.customer ILIKE '%nation_1%' OR c.cluster_key ILIKE '%nation_1%')
   AND {score} >= {q.dbl(0.5)}""", "stg_listing", extra_ctes=listing_cluster_ctes() + roles_ctes("clusters", "recs"))
 
 
@@ -724,3 +724,170 @@ def _cadence() -> str:
 def _review_queue() -> str:
     return cscen(f"""SELECT f.cluster_id, f.title, f.customer, {q.r6('f.confidence')} AS confidence, c.field_name, c.value
 FROM fc f LEFT JOIN ({comparisons_sql('fl', 'all_recs')}) c USING (cluster_id) WHERE f.review_status = 'needs_review'""")
+
+
+# ------------------------------------------------------------ signals
+def signal_rows_sql(src: str) -> str:
+    detected = " OR ".join(q.agreement_phrase(x) for x in ("agreement_type", "notice_type", "title"))
+    return f"""SELECT seq, source_name, {q.first_truthy('id', 'notice_id', 'external_id', 'url')} AS external_id, title,
+  {q.first_truthy('buyer', 'customer')} AS buyer_name,
+  {q.nt("coalesce(nullif(agreement_type, ''), 'unspecified')")} AS agreement_type,
+  category, {q.nt('status')} AS status, nullif(url, '') AS source_url, published_at, deadline,
+  {q.dbl(0.85)} AS signal_confidence, ({detected}) AS detected
+FROM {src}"""
+
+
+def newest_sql(rel: str) -> str:
+    """Last writer per (source_name, external_id), as a struct so null
+    attributes are kept (DuckDB's arg_max skips null arguments)."""
+    return (f"SELECT source_name, external_id, w.title AS title, w.agreement_type AS agreement_type, "
+            f"w.buyer_name AS buyer_name, w.detected AS detected, w.seq AS seq FROM ("
+            f"SELECT source_name, external_id, arg_max({{'title': title, 'agreement_type': agreement_type, "
+            f"'buyer_name': buyer_name, 'detected': detected, 'seq': seq}}, seq) AS w FROM {rel} GROUP BY ALL)")
+
+
+@oracle("signal_detect")
+def _signal_detect() -> str:
+    return with_staging("SELECT source_name, external_id, title, buyer_name, agreement_type, category, status, "
+                        f"source_url, published_at, deadline, {q.r6('signal_confidence')} AS signal_confidence "
+                        "FROM sig WHERE detected", "stg_notice", extra_ctes=[("sig", signal_rows_sql("stg_notice"))])
+
+
+@oracle("signal_sync")
+def _signal_sync() -> str:
+    ctes = [
+        ("old_n", f"SELECT * FROM stg_notice WHERE {ORDER_IS_OLD_SQL}"),
+        ("rev_n", f"SELECT * REPLACE (seq + {NOTICE_VERSION_OFFSET} AS seq, 'Open competition' AS title, "
+                  f"CAST(NULL AS VARCHAR) AS agreement_type, CAST(NULL AS VARCHAR) AS notice_type) "
+                  f"FROM old_n WHERE {REVISED_NOTICE}"),
+        ("batch_n", f"SELECT * FROM stg_notice WHERE NOT ({ORDER_IS_OLD_SQL}) UNION ALL SELECT * FROM rev_n"),
+        ("s_old", signal_rows_sql("old_n")),
+        ("s_new", signal_rows_sql("batch_n")),
+        ("st", newest_sql("s_old") + " WHERE detected"),
+        ("newest", newest_sql("s_new")),
+    ]
+    return with_staging(
+        "SELECT source_name, external_id, title, agreement_type FROM st "
+        "WHERE (source_name, external_id) NOT IN (SELECT source_name, external_id FROM newest) "
+        "UNION ALL SELECT source_name, external_id, title, agreement_type FROM newest WHERE detected",
+        "stg_notice", extra_ctes=ctes)
+
+
+@oracle("signal_list")
+def _signal_list() -> str:
+    return with_staging(
+        "SELECT source_name, external_id, buyer_name, seq FROM sigf WHERE detected AND buyer_name ILIKE '%nation_1%' "
+        "ORDER BY seq DESC, source_name DESC, external_id DESC LIMIT 50",
+        "stg_notice", extra_ctes=[("sig", signal_rows_sql("stg_notice")), ("sigf", newest_sql("sig"))])
+
+
+# ------------------------------------------------------------ gaps
+def gap_ctes() -> list[tuple[str, str]]:
+    note = q.sq("Auto-closed after matching agreement signal detected for this buyer.")
+    conf = f"least({q.dbl(0.99)}, {q.dbl(0.55)} + {q.dbl(0.1)} * CAST(n AS DOUBLE))"
+
+    def per_buyer(clusters: str, links: str) -> str:
+        return f"""SELECT {q.nt('customer')} AS bk, count(*) AS n, arg_min(customer, cluster_id) AS first_customer,
+  min(cluster_id) AS first_cluster_id FROM {clusters}
+WHERE customer IS NOT NULL AND cluster_id IN (SELECT cluster_id FROM {links}) AND {q.nt('customer')} <> ''
+GROUP BY 1"""
+    return cluster_scenario_ctes() + [
+        ("sig", signal_rows_sql("stg_notice")),
+        ("sigf", newest_sql("sig")),
+        ("covered", f"SELECT DISTINCT {q.nt('buyer_name')} AS bk FROM sigf WHERE detected AND buyer_name IS NOT NULL "
+                    f"AND {q.nt('buyer_name')} <> ''"),
+        ("ob", per_buyer("oc0", "ol")),
+        ("og0", f"SELECT 'buyer:' || bk AS gap_key, coalesce(first_customer, bk) AS buyer_name, {conf} AS confidence, "
+                "n AS cluster_count, first_cluster_id FROM ob WHERE n >= 2"),
+        ("og", f"SELECT *, {GAP_STATUS_SQL} AS status, {GAP_NOTE_SQL} AS note FROM og0"),
+        ("fb", per_buyer("fc", "fl")),
+        ("closed", f"SELECT gap_key, 'ignored' AS status, {note} AS note FROM og "
+                   f"WHERE {q.nt('buyer_name')} IN (SELECT bk FROM covered INTERSECT SELECT bk FROM fb) "
+                   "AND status IN ('open', 'acknowledged')"),
+        ("ac", "SELECT og.* REPLACE (coalesce(c.status, og.status) AS status, CASE WHEN c.gap_key IS NULL THEN og.note ELSE c.note END AS note) "
+               "FROM og LEFT JOIN closed c USING (gap_key)"),
+        ("pay", f"SELECT 'buyer:' || bk AS gap_key, coalesce(first_customer, bk) AS buyer_name, {conf} AS confidence, "
+                "n AS cluster_count, first_cluster_id FROM fb WHERE n >= 2 AND bk NOT IN (SELECT bk FROM covered)"),
+        ("fg", f"""SELECT coalesce(a.gap_key, p.gap_key) AS gap_key,
+  CASE WHEN p.gap_key IS NOT NULL THEN p.buyer_name ELSE a.buyer_name END AS buyer_name,
+  CASE WHEN p.gap_key IS NULL THEN a.status WHEN a.gap_key IS NULL THEN 'open'
+       WHEN a.status = 'open' OR (a.status = 'ignored' AND a.note = {note}) THEN 'open' ELSE a.status END AS status,
+  CASE WHEN p.gap_key IS NULL THEN a.note WHEN a.gap_key IS NULL THEN NULL
+       WHEN a.status = 'ignored' AND a.note = {note} THEN NULL ELSE a.note END AS note,
+  CASE WHEN p.gap_key IS NOT NULL THEN p.confidence ELSE a.confidence END AS confidence,
+  CASE WHEN p.gap_key IS NOT NULL THEN p.cluster_count ELSE a.cluster_count END AS cluster_count,
+  CASE WHEN p.gap_key IS NOT NULL THEN p.first_cluster_id ELSE a.first_cluster_id END AS first_cluster_id,
+  p.gap_key IS NOT NULL AS hit
+FROM ac a FULL OUTER JOIN pay p ON a.gap_key = p.gap_key"""),
+    ]
+
+
+def gscen(body: str) -> str:
+    return with_staging(body, "stg_listing", "stg_notice", extra_ctes=gap_ctes())
+
+
+GAP_OUT = f"gap_key, buyer_name, status, note, {q.r6('confidence')} AS confidence, cluster_count"
+
+
+@oracle("gap_discovery")
+def _gap_discovery() -> str:
+    return gscen(f"SELECT {GAP_OUT} FROM fg WHERE hit")
+
+
+@oracle("gap_autoclose")
+def _gap_autoclose() -> str:
+    return gscen("SELECT gap_key, status, note FROM closed")
+
+
+@oracle("gap_upsert")
+def _gap_upsert() -> str:
+    return gscen(f"SELECT {GAP_OUT} FROM fg")
+
+
+@oracle("gap_status")
+def _gap_status() -> str:
+    return gscen("SELECT gap_key, CASE first_cluster_id % 3 WHEN 0 THEN 'acknowledged' WHEN 1 THEN 'watch_only' ELSE status END AS status, "
+                 "CASE WHEN first_cluster_id % 3 = 1 THEN 'check later' ELSE note END AS note FROM fg")
+
+
+@oracle("gap_list")
+def _gap_list() -> str:
+    return gscen(f"SELECT gap_key, {q.r6('confidence')} AS confidence FROM fg WHERE status = 'open' "
+                 "ORDER BY confidence DESC, gap_key DESC")
+
+
+@oracle("coverage_summary")
+def _coverage() -> str:
+    return gscen("SELECT (SELECT count(*) FROM sigf WHERE detected) AS agreement_signal_count, "
+                 "(SELECT count(*) FROM fg) AS gap_count, (SELECT count(*) FROM fg WHERE status = 'open') AS open_gap_count")
+
+
+# ------------------------------------------------------------ analytics
+@oracle("buyer_trends")
+def _buyer_trends() -> str:
+    return with_staging(f"SELECT customer AS buyer, count(*) AS opportunity_count, {q.r6('avg(confidence)')} AS avg_confidence "
+                        "FROM clusters WHERE customer IS NOT NULL GROUP BY customer "
+                        "ORDER BY opportunity_count DESC, buyer LIMIT 10", "stg_listing", extra_ctes=listing_cluster_ctes())
+
+
+@oracle("broker_patterns")
+def _broker_patterns() -> str:
+    return with_staging("SELECT broker, count(*) AS record_count, count(DISTINCT customer) AS unique_buyers "
+                        "FROM stg_listing WHERE broker IS NOT NULL GROUP BY broker "
+                        "ORDER BY record_count DESC, broker LIMIT 10", "stg_listing")
+
+
+@oracle("source_quality")
+def _source_quality() -> str:
+    return cscen(f"""SELECT (SELECT count(*) FROM fc) AS cluster_count,
+  (SELECT count(DISTINCT cluster_id) FROM ({comparisons_sql('fl', 'all_recs')})) AS clusters_with_conflicts,
+  {q.r6("CASE WHEN (SELECT count(*) FROM fc) > 0 THEN CAST((SELECT count(DISTINCT cluster_id) FROM (" + comparisons_sql('fl', 'all_recs') + ")) AS DOUBLE) / (SELECT count(*) FROM fc) ELSE 0.0 END")} AS conflict_ratio,
+  {q.r6("(SELECT avg(k) FROM (SELECT cluster_id, count(*) AS k FROM fl GROUP BY 1))")} AS average_sources_per_cluster""")
+
+
+@oracle("review_transition")
+def _review_transition() -> str:
+    st = "CASE order_status WHEN 'F' THEN 'watch_only' WHEN 'O' THEN 'ignored' ELSE 'manually_merged' END"
+    return with_staging(f"SELECT c.cluster_id, arg_max({st}, r.seq) AS review_status, count(*) AS n_transitions "
+                        f"FROM recs r JOIN clusters c USING (cluster_key) WHERE NOT ({ORDER_IS_OLD_SQL}) GROUP BY c.cluster_id",
+                        "stg_listing", extra_ctes=listing_cluster_ctes())

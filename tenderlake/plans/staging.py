@@ -93,6 +93,7 @@ LISTING_EXPRS: list[tuple[str, str]] = [
     ("extraction_confidence", """CASE o_orderkey % 4 WHEN 0 THEN CAST(0.65 AS DOUBLE)
       WHEN 3 THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END"""),
     ("order_ts", "o_orderdate"),
+    ("order_status", "o_orderstatus"),
 ]
 
 LISTING_FROM = ("orders JOIN customer ON o_custkey = c_custkey "
@@ -153,7 +154,11 @@ _NOTICE_SOURCE = """CASE l_suppkey % 3 WHEN 0 THEN 'doffin'
 _NID = "'n-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)"
 
 NOTICE_EXPRS: list[tuple[str, str]] = [
-    ("seq", "l_orderkey * 8 + l_linenumber"),
+    # (l_orderkey, l_linenumber) repeats in the driver's lineitem; with the
+    # part and supplier keys it is unique (part keys < 2^20, supplier keys
+    # < 2^12 at the test scales).
+    ("seq", "((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 4096 + l_suppkey"),
+    ("line_key", "l_orderkey * 8 + l_linenumber"),
     ("source_name", _NOTICE_SOURCE),
     ("id", f"CASE WHEN l_linenumber IN (1, 2, 3) THEN {_NID} WHEN l_linenumber = 4 THEN '' ELSE NULL END"),
     ("notice_id", f"CASE WHEN l_linenumber = 5 THEN 'notice-' || {_NID} ELSE NULL END"),
