@@ -30,6 +30,7 @@ from tenderlake.operators import state as ST
 from tenderlake.sources import listings as SL
 from tenderlake.sources import mail as SM
 from tenderlake.sources import notices as SN
+from tenderlake.sources import pages as SP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -556,3 +557,64 @@ def q_review_transition(spark: SparkSession, d: str) -> DataFrame:
     out, _, _ = AN.apply_review(res.clusters, t)
     return out.where(F.col("n_transitions").isNotNull()).select(
         "cluster_id", "review_status", F.col("n_transitions").cast("bigint").alias("n_transitions"))
+
+
+# ------------------------------------------------------------ pages and listing stores
+@query("page_listings")
+def q_page_listings(spark: SparkSession, d: str) -> DataFrame:
+    return SP.page_listings(staging.table(spark, d, "pages"))
+
+
+@query("listing_detail_join")
+def q_listing_detail(spark: SparkSession, d: str) -> DataFrame:
+    L = staging.stg_listing(spark, d)
+    uri = F.concat(F.lit("https://example.com/job/"), F.col("seq").cast("string"))
+    overview = L.select("seq", uri.alias("job_uri"), F.col("deadline").alias("delivery_date"),
+                        F.col("customer").alias("company"), F.lit("").alias("description"))
+    detail = L.where(F.col("order_status") == "F").select(
+        uri.alias("job_uri"), F.concat(F.coalesce("deadline", F.lit("")), F.lit(" (frist)")).alias("deadline"),
+        F.lower("customer").alias("company"), F.col("description"))
+    out = SL.enrich_with_detail(overview, detail)
+    return out.select("seq", "job_uri", "delivery_date", "company",
+                      F.sha2("description", 256).alias("description_hash"))
+
+
+def _jobs_split(spark: SparkSession, d: str):
+    L = staging.stg_listing(spark, d)
+    jobs = L.select("seq", F.col("source_url").alias("job_id"), "title", "order_ts")
+    return jobs.where(inputs.order_is_old()).drop("order_ts"), jobs.where(~inputs.order_is_old()).drop("order_ts")
+
+
+@query("new_listings")
+def q_new_listings(spark: SparkSession, d: str) -> DataFrame:
+    known, scraped = _jobs_split(spark, d)
+    return SL.new_listings(scraped, known).select("seq", "job_id")
+
+
+@query("known_listings_update")
+def q_known_update(spark: SparkSession, d: str) -> DataFrame:
+    known, scraped = _jobs_split(spark, d)
+    return SL.update_known(known, scraped).select("seq", "job_id")
+
+
+@query("mail_decode")
+def q_mail_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Landed RFC-822 messages (built from stg_mail) decoded in Arrow batches."""
+    m = staging.stg_mail(spark, d)
+    text = F.concat(F.lit("Message-ID: "), F.coalesce("message_id", F.lit("")), F.lit("\r\nFrom: "), F.col("sender"),
+                    F.lit("\r\nSubject: "), F.col("subject"),
+                    F.lit("\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), F.col("body"))
+    files = m.select(F.concat(F.lit("landed/"), F.col("uid").cast("string"), F.lit(".eml")).alias("path"),
+                     F.encode(text, "UTF-8").alias("content"))
+    dec = SM.decode_messages(files)
+    return dec.select(F.col("uid").cast("bigint").alias("uid"), "subject", "sender", "_error")
+
+
+@query("schema_align")
+def q_schema_align(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters written before the role columns existed, backfilled."""
+    from tenderlake.schemas import CLUSTER_SCHEMA, align_to_schema
+    _, res = inputs.listing_clusters(spark, d)
+    a = align_to_schema(res.clusters, CLUSTER_SCHEMA)
+    return a.select("cluster_id", "review_status", F.array_join("role_tags", "|").alias("role_tags"),
+                    r6("relevance_score").alias("relevance_score"))

@@ -891,3 +891,49 @@ def _review_transition() -> str:
     return with_staging(f"SELECT c.cluster_id, arg_max({st}, r.seq) AS review_status, count(*) AS n_transitions "
                         f"FROM recs r JOIN clusters c USING (cluster_key) WHERE NOT ({ORDER_IS_OLD_SQL}) GROUP BY c.cluster_id",
                         "stg_listing", extra_ctes=listing_cluster_ctes())
+
+
+# ------------------------------------------------------------ pages and listing stores
+LINK_RE2 = r'<li><a href="([^"]*)">([^<]*)</a></li>'
+
+
+@oracle("page_listings")
+def _page_listings() -> str:
+    pat = q.sq(LINK_RE2)
+    return f"""SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, href,
+  CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+       ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || href END AS job_uri, title
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, {pat}, 1)) AS href,
+             unnest(regexp_extract_all(html, {pat}, 2)) AS title,
+             unnest(range(1, len(regexp_extract_all(html, {pat}, 1)) + 1)) AS pos FROM pages)"""
+
+
+@oracle("listing_detail_join")
+def _listing_detail() -> str:
+    dl = strip_sql("split_part(coalesce(d.deadline, '') || ' (frist)', '(', 1)")
+    return with_staging(f"""SELECT o.seq, 'https://example.com/job/' || CAST(o.seq AS VARCHAR) AS job_uri,
+  coalesce(nullif(CASE WHEN d.seq IS NOT NULL THEN {dl} END, ''), o.deadline, 'Snarest') AS delivery_date,
+  coalesce(nullif(lower(d.customer), ''), o.customer) AS company,
+  sha256(coalesce(d.description, '')) AS description_hash
+FROM stg_listing o LEFT JOIN (SELECT * FROM stg_listing WHERE order_status = 'F') d ON d.seq = o.seq""", "stg_listing")
+
+
+@oracle("new_listings")
+def _new_listings() -> str:
+    return with_staging(f"""SELECT seq, source_url AS job_id FROM stg_listing n WHERE NOT ({ORDER_IS_OLD_SQL})
+  AND NOT EXISTS (SELECT 1 FROM stg_listing k WHERE k.{ORDER_IS_OLD_SQL} AND k.source_url IS NOT DISTINCT FROM n.source_url)""",
+                        "stg_listing")
+
+
+@oracle("known_listings_update")
+def _known_update() -> str:
+    return with_staging(f"""SELECT seq, source_url AS job_id FROM stg_listing WHERE {ORDER_IS_OLD_SQL}
+UNION ALL SELECT min(seq), source_url FROM stg_listing n WHERE NOT ({ORDER_IS_OLD_SQL})
+  AND NOT EXISTS (SELECT 1 FROM stg_listing k WHERE k.{ORDER_IS_OLD_SQL} AND k.source_url IS NOT DISTINCT FROM n.source_url)
+GROUP BY source_url""", "stg_listing")
+
+
+@oracle("schema_align")
+def _schema_align() -> str:
+    return with_staging("SELECT cluster_id, review_status, '' AS role_tags, CAST(0.0 AS DOUBLE) AS relevance_score FROM clusters",
+                        "stg_listing", extra_ctes=listing_cluster_ctes())
