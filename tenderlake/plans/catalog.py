@@ -618,3 +618,15 @@ def q_schema_align(spark: SparkSession, d: str) -> DataFrame:
     a = align_to_schema(res.clusters, CLUSTER_SCHEMA)
     return a.select("cluster_id", "review_status", F.array_join("role_tags", "|").alias("role_tags"),
                     r6("relevance_score").alias("relevance_score"))
+
+
+# ------------------------------------------------------------ full run
+@query("run_summary")
+def q_run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """One pipeline run over all staged raw items (listings, mail,
+    notices) from empty state; the run summary row (rows-only check)."""
+    from tenderlake.plans.pipeline import PipelineState, run_batch
+    raw = all_raw(spark, d).select("seq", "source_type", "source_name", "external_id", "raw_body",
+                                   "metadata", "received_at")
+    _, summary = run_batch(spark, PipelineState(), raw, 1, as_of=inputs.RUN_AS_OF)
+    return summary.select(*[F.col(c).cast("bigint").alias(c) for c in summary.columns])
