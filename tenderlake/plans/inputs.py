@@ -141,11 +141,19 @@ def cluster_scenario(spark: SparkSession, sf_dir: str) -> ClusterScenario:
     failed = revised_src.where(F.col("description").isNull()).select("raw_id")
     stored = cluster_records(old)
     state_clusters = stored.clusters.withColumn("review_status", F.expr(REVIEWED_STATUS))
-    batch = new.unionByName(revised)
-    links0, failed_affected = detach_records(stored.links, old, failed)
+    # the stored state is what an earlier run wrote: materialize it
+    # (reliable checkpoint in the shared folder), which also keeps the
+    # plans of the queries built on this scenario shallow.
+    old = old.checkpoint()
+    state_clusters = state_clusters.checkpoint()
+    state_links = stored.links.checkpoint()
+    batch = new.unionByName(revised).checkpoint()
+    links0, failed_affected = detach_records(state_links, old, failed)
     res = cluster_records(batch, state_clusters, links0, old)
+    res.clusters = res.clusters.checkpoint()
+    res.links = res.links.checkpoint()
     res.touched = res.touched.unionByName(failed_affected).distinct()
-    return ClusterScenario(old, batch, old.unionByName(batch), failed, state_clusters, stored.links,
+    return ClusterScenario(old, batch, old.unionByName(batch), failed, state_clusters, state_links,
                            links0, failed_affected, res)
 
 
