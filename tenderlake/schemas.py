@@ -23,13 +23,14 @@ GAP_SCHEMA = T.StructType([T.StructField("gap_key", S), T.StructField("buyer_nam
                            T.StructField("first_cluster_id", L), T.StructField("note", S)])
 
 # Defaults for columns added after rows were first written.
-DEFAULTS = {"role_tags": F.array().cast("array<string>"), "relevance_score": F.lit(0.0)}
+def default_values() -> dict:
+    return {"role_tags": F.array().cast("array<string>"), "relevance_score": F.lit(0.0)}
 
 
 def align_to_schema(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
     """Add missing columns (default or null), cast present ones, keep the
     schema's column order.  A projection only — no data movement."""
-    dflt = dict(DEFAULTS)
+    dflt = default_values()
     dflt.update(defaults or {})
     cols = []
     for f in schema.fields:
