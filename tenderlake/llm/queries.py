@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import chat, exact_dedup, mixing, quality_rules
+from tenderlake.llm import chat, exact_dedup, mixing, quality_rules, toxicity
 from tenderlake.llm.common import text_or_empty, without_spaces
 
 
@@ -55,7 +55,18 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       own["target"].alias("target"), "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op6_source_mixing)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model)
+    return got.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op6_source_mixing,
+                                    op8_toxicity)}
 
 ORACLES: dict[str, str] = {}
 
