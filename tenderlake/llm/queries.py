@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import chat, exact_dedup, mixing, quality_rules, toxicity
+from tenderlake.llm import chat, exact_dedup, mixing, quality_rules, sentencepiece_bpe, toxicity
 from tenderlake.llm.common import text_or_empty, without_spaces
 
 
@@ -46,6 +46,17 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("formatted_chars").cast("long").alias("formatted_chars"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.sha2(text_or_empty("text"), 256).alias("text_sha256"))
+    got = sentencepiece_bpe.decode(sentencepiece_bpe.encode(rows, drop_text=True))
+    ids = F.array_join(F.transform("pieces", lambda i: i.cast("string")), ",")
+    return got.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
+                      F.sha2(ids, 256).alias("pieces_sha256"), F.length("decoded").cast("long").alias("n_chars"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"),
+                      (F.sha2("decoded", 256) == F.col("text_sha256")).alias("lossless"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"))
@@ -65,7 +76,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op6_source_mixing,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op5_sentencepiece, op6_source_mixing,
                                     op8_toxicity)}
 
 ORACLES: dict[str, str] = {}
