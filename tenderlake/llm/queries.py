@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import chat, exact_dedup, mixing, quality_rules, sentencepiece_bpe, toxicity
+from tenderlake.llm import chat, exact_dedup, mixing, quality_rules, secrets, sentencepiece_bpe, toxicity
 from tenderlake.llm.common import text_or_empty, without_spaces
 
 
@@ -46,6 +46,21 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("formatted_chars").cast("long").alias("formatted_chars"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = secrets.scan(docs, secrets.fit(docs))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def n(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"] != "crf")
+    return got.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+                      joined(F.col("spans")).alias("spans"), n("crf"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", "text", F.sha2(text_or_empty("text"), 256).alias("text_sha256"))
@@ -76,7 +91,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op5_sentencepiece, op6_source_mixing,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op4_secret_scan, op5_sentencepiece, op6_source_mixing,
                                     op8_toxicity)}
 
 ORACLES: dict[str, str] = {}
