@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.llm import chat, exact_dedup, mixing, quality_rules, secrets, sentencepiece_bpe, toxicity
+from tenderlake.llm import chat, exact_dedup, mixing, quality_rules, secrets, sentencepiece_bpe, substring_dedup, toxicity
 from tenderlake.llm.common import text_or_empty, without_spaces
 
 
@@ -91,8 +91,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op4_secret_scan, op5_sentencepiece, op6_source_mixing,
-                                    op8_toxicity)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.cut_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op4_secret_scan, op5_sentencepiece,
+    op6_source_mixing, op8_toxicity, op9_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
 
@@ -135,3 +142,21 @@ g AS (SELECT conv_id, count(*) AS n_turns,
 SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
 FROM g JOIN t ON g.conv_id IS NOT DISTINCT FROM t.conv_id
 """
+
+# Every window with the smallest id it starts in, then the words under windows of larger ids.
+ORACLES["op9_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - {substring_dedup.WIDTH - 2})) AS i FROM d
+      WHERE len(w) >= {substring_dedup.WIDTH}),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {substring_dedup.WIDTH - 1}], ' ')) AS h FROM s),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring_dedup.WIDTH})) AS p FROM x JOIN f USING (h)
+      WHERE first < doc_id),
+c AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+k AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id)),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+r AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.p) AS kept FROM u ANTI JOIN g
+      ON g.doc_id = u.doc_id AND g.p = u.p GROUP BY u.doc_id)
+SELECT k.doc_id, len(w) AS n_words, len(gone) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM k LEFT JOIN r ON r.doc_id = k.doc_id
+"""
