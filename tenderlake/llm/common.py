@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space of the contracts: space, tab, line feed, vertical tab, form
 # feed, carriage return.  Everything else belongs to a word.
@@ -67,3 +69,29 @@ def fresh(df: DataFrame, *names: str) -> dict[str, str]:
         taken.add(new.lower())
         out[n] = new
     return out
+
+
+def add_columns(df: DataFrame, keep: list[str], inputs: list[Column], added: dict[str, tuple], make,
+                rows_at_once: int = 512) -> DataFrame:
+    """``keep`` of ``df``, passed through as they are, and new columns made in
+    Arrow batches: ``make()`` gives, once a task, a function from the lists of
+    the inputs' values to the lists (or Arrow arrays) of the new values.
+    ``added``: name -> (Spark type, Arrow type)."""
+    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = df.select(*kept, *[c.alias(f"x{i}") for i, c in enumerate(inputs)])
+    n = len(keep)
+    schema = T.StructType([*[T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keep)],
+                           *[T.StructField(f"a{i}", t[0]) for i, t in enumerate(added.values())]])
+    kinds = [t[1] for t in added.values()]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                b = batch.slice(at, rows_at_once)
+                new = work(*[b.column(n + i).to_pylist() for i in range(b.num_columns - n)])
+                new = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(new, kinds)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], names=schema.names)
+
+    got = rows.mapInArrow(run, schema)
+    return got.toDF(*keep, *added)

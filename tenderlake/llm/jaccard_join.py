@@ -298,7 +298,8 @@ def _search(blocks: DataFrame, name: str) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    """One row per row of ``docs``: doc_id, key (hash of the text), n_shingles,
+    component_id and ``kept`` (one row of each component)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"),
                          F.col(text_col).alias("text"))
     sets = saved(_sets(source.select("doc_id", "key", "text")).withColumn(
@@ -350,10 +351,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     linked = components(links, name="join-components")
     known = equal.join(linked, equal["c"] == linked["node"], "left").select(
-        "d1", "d2", "c", "first_id", F.coalesce("root", "c").alias("root"))
-    least = known.groupBy("root").agg(F.min("first_id").alias("component"))
-    known = known.join(least, "root").select("d1", "d2", "component")
-    return (sets.where("n > 0").join(known, ["d1", "d2"]).select("doc_id", "n", "component")
-            .unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
-            .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.col("component").alias("component_id")))
+        "d1", "d2", F.coalesce("root", "c").alias("root"), F.struct(
+            F.col("first_id").isNull().alias("x"), F.col("first_id").alias("id"), F.col("c").alias("row")).alias("o"))
+    least = known.groupBy("root").agg(F.min("o").alias("first"))
+    known = known.join(least, "root").select("d1", "d2", "first")
+    return (sets.where("n > 0").join(known, ["d1", "d2"])
+            .select("doc_id", "key", "n", F.col("first.id").alias("component_id"),
+                    (F.col("row") == F.col("first.row")).alias("kept"))
+            .unionByName(sets.where("n = 0").select(
+                "doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+            .withColumnRenamed("n", "n_shingles"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: of each
+    component the document with the smallest id, and every document without
+    words."""
+    stay = classes(docs, id_col, text_col).where("kept").select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.col("key").alias("_k")).distinct()
+    cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*cols, F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("")).alias("_d"),
+                       F.xxhash64(f"`{text_col}`").alias("_k"), F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]").alias("_w"))
+    got = rows.join(stay.hint("shuffle_hash"), ["_d", "_k"], "left_semi")
+    # fully repeated rows of the document that stays are one
+    once = got.where("_w").dropDuplicates(["_d", "_k"]).unionByName(got.where(~F.coalesce("_w", F.lit(False))))
+    return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -26,10 +26,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tenderlake.llm.common import saved
+from tenderlake.llm.common import add_columns, fresh, saved
 from tenderlake.llm.fitting import minimise
 
 MAX_DOCS = 10_000        # documents the field is fitted on, chosen by hash of the id
@@ -278,27 +280,20 @@ def spans(text: str, field: Field | None) -> tuple[list[int], list[int], list[in
     return [k for _, k, _ in found], [s for s, _, _ in found], [e for _, _, e in found]
 
 
-SPAN = "array<struct<kind:string,start:int,end:int>>"
-
-
 def scan(docs: DataFrame, model: dict | None, text_col: str = "text",
          keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``spans``, an array of (kind, start, end), of every whole
     text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)    # weights of the token types
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches):
+    def make():
         field = Field(sent.value) if sent.value else None
-        for b in batches:
-            got = [spans(t or "", field) for t in b["_text"]]
-            out = b[list(keep)].copy()
-            out["_k"], out["_s"], out["_e"] = ([g[i] for g in got] for i in range(3))
-            yield out
-
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    rows = rows.mapInPandas(run, schema + ", _k array<int>, _s array<int>, _e array<int>")
+        return lambda texts: list(zip(*[spans(t or "", field) for t in texts]))
+
+    ints = T.ArrayType(T.IntegerType()), pa.list_(pa.int32())
+    n = fresh(docs, "_k", "_s", "_e")
+    rows = add_columns(docs, list(keep), [F.col(f"`{text_col}`")], {x: ints for x in n.values()}, make)
     names = F.array(*[F.lit(k) for k in KINDS])
     return rows.select(*keep, F.transform(
-        F.arrays_zip("_k", "_s", "_e"), lambda x: F.struct(
-            F.get(names, x["_k"]).alias("kind"), x["_s"].alias("start"), x["_e"].alias("end"))).alias("spans"))
+        F.arrays_zip(*n.values()), lambda x: F.struct(
+            F.get(names, x[n["_k"]]).alias("kind"), x[n["_s"]].alias("start"), x[n["_e"]].alias("end"))).alias("spans"))

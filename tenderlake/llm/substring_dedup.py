@@ -31,10 +31,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tenderlake.llm.common import add_columns
 
 WIDTH, MINIMISER = 13, 4
 BATCH_CHARS = 4_000_000      # texts worked on at a time
@@ -287,23 +289,23 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"))
     both = rows.join(cuts.hint("shuffle_hash"), ["doc_id", "key"], "left").select("_id", "_text", "starts", "ends")
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept string"
-
-    def cut(batches):
-        for b in batches:
-            total, gone, kept = [], [], []
-            for text, starts, ends in zip(b["_text"], b["starts"], b["ends"]):
-                words = WORDS.findall(text) if text else []
-                n = len(words)
-                if starts is not None and len(starts):
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, np.asarray(starts, dtype=np.int64), 1)
-                    np.add.at(edge, np.asarray(ends, dtype=np.int64), -1)
-                    stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()
-                    words = [words[i] for i in stay]
-                total.append(n)
-                gone.append(n - len(words))
-                kept.append(" ".join(words))
-            yield pd.DataFrame({"doc_id": b["_id"], "n_words": total, "n_removed": gone, "kept": kept})
-
-    return both.mapInPandas(cut, schema)
+
+    def cut(texts, starts, ends):
+        total, gone, kept = [], [], []
+        for text, first, last in zip(texts, starts, ends):
+            words = WORDS.findall(text) if text else []
+            n = len(words)
+            if first:
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, np.array(first), 1)
+                np.add.at(edge, np.array(last), -1)
+                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+            total.append(n)
+            gone.append(n - len(words))
+            kept.append(" ".join(words))
+        return total, gone, kept
+
+    long_ = T.LongType(), pa.int64()
+    return add_columns(both, ["_id"], [F.col("_text"), F.col("starts"), F.col("ends")],
+                       {"n_words": long_, "n_removed": long_, "kept": (T.StringType(), pa.string())},
+                       lambda: cut).withColumnRenamed("_id", id_col)

@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tenderlake.llm.common import saved
+from tenderlake.llm.common import add_columns, saved
 from tenderlake.llm.fitting import minimise
 
 MAX_ROWS = 8000          # labelled rows a classifier is fitted on
@@ -106,9 +108,7 @@ def _features(texts, wanted: np.ndarray | None = None):
         yield flush()
 
 
-def _scores(texts, ids: np.ndarray, weights: np.ndarray, start: float) -> np.ndarray:
-    table, wanted = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool)
-    table[ids], wanted[ids] = weights, True
+def _scores(texts, table: np.ndarray, wanted: np.ndarray, start: float) -> np.ndarray:
     out = np.full(len(texts), start)
     for row, bucket in _features(texts, wanted):
         if len(row):
@@ -186,15 +186,12 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[str,
           into: str = "score") -> DataFrame:
     """``keep`` and the score (0 to 1) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)   # at most 2**22 weights
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", `{into}` double"
 
-    def run(batches):
+    def make():
         m = sent.value
         ids, weights = np.frombuffer(m["ids"], np.int32), np.frombuffer(m["w"], np.float32)
-        for b in batches:
-            out = b[list(keep)].copy()
-            out[into] = _scores(b["_text"], ids, weights, m["b"])
-            yield out
+        table, wanted = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool)
+        table[ids], wanted[ids] = weights, True
+        return lambda texts: [_scores(texts, table, wanted, m["b"])]
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, schema)
+    return add_columns(docs, list(keep), [F.col(f"`{text_col}`")], {into: (T.DoubleType(), pa.float64())}, make)
