@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     got = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")), F.col("doc_id"))
-    copies = got.columns[len(docs.columns) + 2]
+    copies = got.columns[len(docs.columns) + 2]     # named apart from the columns of docs
     return (got.where(F.col(copies) > 0)
             .withColumn(fresh(got, "copy")["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
             .select(*docs.columns))

@@ -70,7 +70,7 @@ def _ordered(turns: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).alias("_block"),
         # keys without nulls, so that one equi-join serves all conversations
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_conv"))
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("_conv"))
     base = base.withColumn("_tok", tokens(F.col("text")).cast("long"))
     sums = base.groupBy("_conv", "_block").agg(F.sum("_tok").alias("_t"), F.count(F.lit(1)).alias("_n"))
     over = Window.partitionBy("_conv").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,7 +23,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import WORD, saved
+from tenderlake.llm.common import WORD, fresh, saved
 
 MAX_REPEAT = 3
 WEIGHTS = (5, 2, 1)
@@ -113,12 +113,14 @@ def mix(docs: DataFrame, memberships: Column, size: Column, order_id: Column,
 
     ``memberships`` is an array of source names (a null element is a source,
     sorted last); weights repeat over the sources by code point.  Rows without
-    any source are never taken."""
+    any source are never taken.  Where ``docs`` has a column of such a name, the
+    new one gets underscores in front."""
     spark = docs.sparkSession
     mine = docs.columns
+    n = fresh(docs, "size", "sources", "copies", "taken", "routed")
     base = saved(docs.select(
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(mine)], size.alias("_size"),
-        F.array_sort(F.array_distinct(memberships)).alias("_in"), order_id.alias("_key"),
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(mine)], F.coalesce(size, F.lit(0)).cast("long").alias("_size"),
+        F.coalesce(F.array_sort(F.array_distinct(memberships)), F.array().cast("array<string>")).alias("_in"), order_id.alias("_key"),
         F.monotonically_increasing_id().alias("_row"))
         .withColumn("_hash", F.xxhash64(F.lit(seed), "_key"))
         .withColumn("_range", F.shiftrightunsigned("_hash", 64 - RANGE_BITS)), "mix-base")
@@ -161,10 +163,7 @@ def mix(docs: DataFrame, memberships: Column, size: Column, order_id: Column,
         <= F.col("_rest"))
     return whole.unionByName(part).select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(mine)],
-        F.col("_size").alias("size" if "size" not in mine else "mix_size"),
-        F.col("_in").alias("sources" if "sources" not in mine else "mix_sources"),
-        (F.col("_full") + F.col("_more").cast("long")).alias("copies" if "copies" not in mine else "mix_copies"),
-        ((F.col("_full") + F.col("_more").cast("long")) * F.col("_size")).alias(
-            "taken" if "taken" not in mine else "mix_taken"),
-        F.struct(F.col("_want").alias("tokens"), F.col("_routed").alias("by_source")).alias(
-            "routed" if "routed" not in mine else "mix_routed"))
+        F.col("_size").alias(n["size"]), F.col("_in").alias(n["sources"]),
+        (F.col("_full") + F.col("_more").cast("long")).alias(n["copies"]),
+        ((F.col("_full") + F.col("_more").cast("long")) * F.col("_size")).alias(n["taken"]),
+        F.struct(F.col("_want").alias("tokens"), F.col("_routed").alias("by_source")).alias(n["routed"]))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm import (
-    chat, exact_dedup, jaccard_join, mixing, quality_rules, secrets, sentencepiece_bpe, substring_dedup, toxicity)
+    chat, exact_dedup, jaccard_join, mixing, quality_rules, secrets, sentencepiece_bpe, substring_dedup, toxicity,
+    url_filter)
 from tenderlake.llm.common import text_or_empty, without_spaces
 
 
@@ -82,6 +83,46 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       own["target"].alias("target"), "taken", "copies")
 
 
+def _draw(text: str) -> str:
+    """A number from 0 to 16,777,215 that a string decides, as Spark SQL."""
+    return f"CAST(conv(substring(md5({text}), 1, 6), 16, 10) AS INT)"
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    """The pages as captures; the table has no fetch time, the URL decides a
+    day of 2023."""
+    return pages.select("page_id", "url", F.expr(
+        f"date_add(DATE'2023-01-01', {_draw('coalesce(url, chr(0))')} % 365)").alias("fetched_at"))
+
+
+def _list_log(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of the pages: a third of the hosts and
+    every second parent domain are blocked for a while, some for good or
+    twice, and some language folders are allowed."""
+    hosts = pages.select(url_filter.host(F.col("url")).alias("h")).where("h != ''").distinct()
+    parents = hosts.select(F.regexp_extract("h", r"([^.]+\.[^.]+)$", 1).alias("h")).where("h != ''").distinct()
+    logs = []
+    for table, pattern, kind, one_in, days, again in (
+            (hosts, "h", "block", 3, 90, 2), (parents, "h", "block", 2, 30, 3), (hosts, "h || '/en'", "allow", 4, 120, 2)):
+        base = table.select(F.expr(pattern).alias("pattern")).withColumn("a", F.expr(_draw("pattern"))).where(
+            f"a % {one_in} = 0").withColumn("d", F.expr(f"date_add(DATE'2023-01-01', {_draw("pattern || '#'")} % 300)"))
+        for action, when, after in (("add", "true", 0), ("remove", "a % 5 != 0", days),
+                                    ("add", f"(a div {one_in}) % {again} = 0", 2 * days)):
+            logs.append(base.where(when).select(
+                "pattern", F.lit(kind).alias("kind"), F.lit(action).alias("action"),
+                F.date_add("d", after).alias("dated")))
+    out = logs[0]
+    for x in logs[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    got = url_filter.judge(_captures(pages), _list_log(pages))
+    return got.select("page_id", "fetched_at", "blocked", "rule", "listed_from", "n_active")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT
@@ -105,7 +146,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op4_secret_scan, op5_sentencepiece,
-    op6_source_mixing, op8_toxicity, op9_substring_dedup, op10_jaccard_join)}
+    op6_source_mixing, op7_url_filter, op8_toxicity, op9_substring_dedup, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
 
@@ -182,3 +223,48 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
+
+
+def _duck_draw(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 6) AS INT)"
+
+
+def _duck_log(table: str, pattern: str, kind: str, one_in: int, days: int, again: int) -> str:
+    base = (f"SELECT pattern, {_duck_draw('pattern')} AS a, DATE '2023-01-01' + {_duck_draw("pattern || '#'")} % 300 AS d "
+            f"FROM (SELECT {pattern} AS pattern FROM {table}) WHERE {_duck_draw('pattern')} % {one_in} = 0")
+    return " UNION ALL ".join(
+        f"SELECT pattern, '{kind}' AS kind, '{action}' AS action, d + {after} AS dated FROM ({base}) WHERE {when}"
+        for action, when, after in (("add", "true", 0), ("remove", "a % 5 <> 0", days),
+                                    ("add", f"(a // {one_in}) % {again} = 0", 2 * days)))
+
+
+# State of each pattern on each of its days, then for every capture the last day at or before its own.
+ORACLES["op7_url_filter"] = f"""
+WITH p AS (SELECT page_id, url, row_number() OVER () AS r,
+    DATE '2023-01-01' + {_duck_draw("coalesce(url, chr(0))")} % 365 AS t,
+    regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host,
+    regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+hosts AS (SELECT DISTINCT host AS h FROM p WHERE host <> ''),
+parents AS (SELECT DISTINCT regexp_extract(h, '([^.]+[.][^.]+)$', 1) AS h FROM hosts
+            WHERE regexp_extract(h, '([^.]+[.][^.]+)$', 1) <> ''),
+log AS ({_duck_log("hosts", "h", "block", 3, 90, 2)} UNION ALL {_duck_log("parents", "h", "block", 2, 30, 3)}
+        UNION ALL {_duck_log("hosts", "h || '/en'", "allow", 4, 120, 2)}),
+day AS (SELECT pattern, kind, dated, bool_and(action = 'add') AS live FROM log GROUP BY ALL),
+state AS (SELECT *, sum(CASE WHEN live THEN 0 ELSE 1 END) OVER (PARTITION BY pattern, kind ORDER BY dated) AS era
+          FROM day),
+spell AS (SELECT *, min(dated) FILTER (live) OVER (PARTITION BY pattern, kind, era) AS since FROM state),
+s AS (SELECT *, string_split(host, '.') AS ls, list_filter(string_split(path, '/'), lambda x: x <> '') AS ps FROM p),
+k AS (SELECT r, t, array_to_string(ls[len(ls) - i + 1:], '.') AS key, i AS level
+      FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM s WHERE host <> '')
+      UNION ALL SELECT r, t, host || '/' || array_to_string(ps[1:i], '/'), i + 1000
+      FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM s WHERE host <> '')),
+hit AS (SELECT r, key, level, kinds.kind, (SELECT arg_max(struct_pack(live := live, since := since), dated)
+          FROM spell WHERE pattern = key AND spell.kind = kinds.kind AND dated <= t) AS now
+        FROM k, (VALUES ('allow'), ('block')) kinds(kind) WHERE key IN (SELECT pattern FROM log)),
+v AS (SELECT r, count(*) AS n_active, arg_max(struct_pack(kind := kind, key := key, since := now.since),
+        struct_pack(level := level, key := key, allow := kind = 'allow')) AS best
+      FROM hit WHERE now.live GROUP BY r)
+SELECT page_id, t AS fetched_at, coalesce(best.kind = 'block', false) AS blocked, best.key AS rule,
+       best.since AS listed_from, coalesce(n_active, 0) AS n_active
+FROM p LEFT JOIN v USING (r)
+"""

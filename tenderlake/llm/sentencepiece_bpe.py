@@ -17,7 +17,8 @@ the model's own (but for U+2581, which the model can't tell from a blank).
 
 Defined cases: a null text is the empty text; empty texts have no pieces; very
 long texts and units are encoded whole; repeated rows are encoded each, alike;
-a null id is a key like any other; further columns are kept.
+a null id is a key like any other; further columns are kept, an older column of
+the result's name is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ DROPOUT, VARIANTS, SEED = 0.1, 4, 31
 BLANK = "▁"
 UNITS = re.compile("\n|▁|\x20*[^\x20\n▁]+|\x20+")
 SHORT = 32               # longest unit whose agenda is an array row, not a heap
-REMEMBERED = 600_000     # units a worker remembers before it starts afresh
+REMEMBERED = 400_000     # units a worker remembers before it starts afresh
 NONE = float("-inf")
 MASK, GOLDEN = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
@@ -245,7 +246,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", into
     """``docs`` with the ids of the text's pieces as array<int>; the text goes
     with ``drop_text``."""
     n = fresh(docs, "text_in", "key_in")
-    kept = [c for c in docs.columns if not (drop_text and c == text_col)]
+    kept = [c for c in docs.columns if c.lower() != into.lower() and not (drop_text and c == text_col)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(n["text_in"]),
                        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string")).alias(n["key_in"]))
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(into, T.ArrayType(T.IntegerType(), False))])
@@ -266,7 +267,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", into
 def decode(rows: DataFrame, pieces_col: str = "pieces", into: str = "decoded",
            model_file: str = MODEL_FILE, drop_pieces: bool = False) -> DataFrame:
     """``rows`` with the text that the pieces spell; null pieces spell null."""
-    kept = [c for c in rows.columns if not (drop_pieces and c == pieces_col)]
+    kept = [c for c in rows.columns if c.lower() != into.lower() and not (drop_pieces and c == pieces_col)]
     n = fresh(rows, "pieces_in")
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(into, T.StringType())])
 
