@@ -132,6 +132,7 @@ UNKNOWN_SOURCE_NAME = "unknown"
 MISSING_DUE_DATE = "Snarest"
 
 # --- fixed values: digest / message texts ----------------------------------
+MESSAGE_PREFIX = "Opportunity: "     # of our own; a parameter of the message
 UNTITLED = "Untitled opportunity"
 UNKNOWN_CUSTOMER = "Unknown customer"
 UNKNOWN_DEADLINE = "Unknown deadline"

@@ -107,5 +107,9 @@ AGREEMENT_REGEX = r"(?U)\b(?:" + _PHRASE_ALT + r")\b"
 def contains_agreement_phrase(text) -> Column:
     """True when the normalized text is an agreement phrase or contains one
     as whole words."""
-    n = normalize_text(_col(text))
+    return phrase_in(normalize_text(_col(text)))
+
+
+def phrase_in(n: Column) -> Column:
+    """The same for a text that is normalized already."""
     return (n != "") & (n.isin(*AGREEMENT_PHRASES) | n.rlike(AGREEMENT_REGEX))

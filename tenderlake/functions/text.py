@@ -49,12 +49,20 @@ def truthy(c: ColumnOrName) -> Column:
 
 
 def json_truthy(c: ColumnOrName) -> Column:
-    """Truthiness of a JSON scalar read with get_json_object (0, false, [],
-    {}, "" and null are false)."""
+    """Truthiness of a JSON value read as text, where its type is not known
+    any more (0, false, [], {}, "" and null are false)."""
     c = _col(c)
     return F.when(~c.isin("", "0", "0.0", "false", "[]", "{}", "null"), c)
 
 
+def variant_truthy(variant: str, path: str) -> Column:
+    """A JSON value as text where Python would call it true, by its own type:
+    the string "0" is true, the number 0 is not."""
+    text = F.expr(f"try_variant_get({variant}, '{path}', 'string')")
+    kind = F.expr(f"schema_of_variant(try_variant_get({variant}, '{path}', 'variant'))")
+    return F.when(kind == "STRING", truthy(text)).otherwise(json_truthy(text))
+
+
 def first_truthy(*cols: ColumnOrName, last_raw: bool = True) -> Column:
     """Python ``a or b or c``: first truthy value; the last operand is
     returned as-is when nothing before it is truthy."""
@@ -64,10 +72,6 @@ def first_truthy(*cols: ColumnOrName, last_raw: bool = True) -> Column:
     return F.coalesce(*[truthy(c) for c in cs])
 
 
-def is_blank(c: ColumnOrName) -> Column:
-    return normalize_text(c) == F.lit("")
-
-
 def url_host(c: ColumnOrName) -> Column:
     """Lower-cased host of an absolute URL, null when there is none."""
     host = F.lower(F.try_parse_url(_col(c), F.lit("HOST")))
@@ -97,9 +101,20 @@ def contains_keyword(haystack: ColumnOrName, keyword: str) -> Column:
 
 
 def format_2dp(c: ColumnOrName) -> Column:
-    """Two-decimal text of a double (values here carry at most 2 decimals)."""
-    return F.format_string("%.2f", _col(c))
-
-
-def date_text(c: ColumnOrName) -> Column:
-    return F.date_format(_col(c), "yyyy-MM-dd")
+    """Two-decimal text of a double below 10**12, rounded by its exact binary
+    value, half to even (0.835 is stored just below, so it prints 0.83).
+
+    The distance to the midpoint of the two candidates is computed without
+    rounding: the value is split in two halves of 26 bits, whose products with
+    200 are exact."""
+    x = F.abs(_col(c).cast("double"))
+    low = F.floor(x * 100).cast("double")
+    cents = F.when(low / 100 > x, low - 1).otherwise(low)
+    top = x * 134217729.0
+    high = top - (top - x)
+    over = (high * 200.0 - (cents * 2 + 1)) + (x - high) * 200.0
+    up = (over > 0) | ((over == 0) & (cents % 2 == 1))
+    n = (cents + F.when(up, 1).otherwise(0)).cast("bigint")
+    sign = F.when((_col(c) < 0) & (n > 0), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.floor(n / 100).cast("string"), F.lit("."),
+                    F.lpad((n % 100).cast("string"), 2, "0"))

@@ -43,11 +43,32 @@ def coverage_summary(signals: DataFrame, gaps: DataFrame) -> DataFrame:
     return s.crossJoin(g)
 
 
+def market_summary(trends: DataFrame, brokers: DataFrame, quality: DataFrame,
+                   coverage: DataFrame) -> DataFrame:
+    """K5: the four reports in one long table (section, name, metric, value):
+    top buyers, top brokers, source quality and coverage."""
+    def long(df: DataFrame, section: str, name, metrics: list[str]) -> DataFrame:
+        pairs = ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in metrics)
+        return df.select(F.lit(section).alias("section"), name.alias("name"),
+                         F.expr(f"stack({len(metrics)}, {pairs}) AS (metric, value)"))
+    whole = F.lit("all")
+    return (long(trends, "buyer_trends", F.col("buyer"), ["opportunity_count", "avg_confidence"])
+            .unionByName(long(brokers, "broker_patterns", F.col("broker"), ["record_count", "unique_buyers"]))
+            .unionByName(long(quality, "source_quality", whole, [
+                "cluster_count", "clusters_with_conflicts", "conflict_ratio", "average_sources_per_cluster"]))
+            .unionByName(long(coverage, "coverage", whole, [
+                "agreement_signal_count", "gap_count", "open_gap_count"])))
+
+
 def apply_review(clusters: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Append transitions to the history; current status = newest
-    transition per cluster.  Returns (clusters, history rows, rejected)."""
-    known = transitions.join(clusters.select("cluster_id"), "cluster_id", "left_semi")
-    rejected = transitions.join(clusters.select("cluster_id"), "cluster_id", "left_anti")
+    transition per cluster.  Returns (clusters, history rows, rejected:
+    unknown clusters and statuses)."""
+    valid = F.coalesce(F.col("status").isin(*fixed.REVIEW_STATUSES), F.lit(False))
+    known = transitions.where(valid).join(clusters.select("cluster_id"), "cluster_id", "left_semi")
+    rejected = transitions.where(~valid).unionByName(
+        transitions.where(valid).join(clusters.select("cluster_id"), "cluster_id", "left_anti")
+        .select(*transitions.columns))
     cur = known.groupBy("cluster_id").agg(F.max_by("status", "seq").alias("_new"),
                                           F.count(F.lit(1)).alias("n_transitions"))
     out = (clusters.join(cur, "cluster_id", "left")

@@ -156,6 +156,16 @@ def match_scores(keyed: DataFrame, clusters: DataFrame, summary: DataFrame,
                     .alias("match_rationale")))
 
 
+def memberships(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clusters, links) of a batch without stored state where nobody reads
+    match scores: one aggregate and one join."""
+    keyed = with_cluster_key(batch)
+    clusters = upsert_clusters(batch_cluster_summary(keyed), None)
+    links = keyed.select("cluster_key", "record_id").join(
+        clusters.select("cluster_id", "cluster_key"), "cluster_key").select("cluster_id", "record_id")
+    return clusters, links
+
+
 def cluster_records(batch: DataFrame, state_clusters: DataFrame | None = None,
                     state_links: DataFrame | None = None,
                     state_records: DataFrame | None = None) -> ClusterResult:
@@ -251,6 +261,19 @@ def primary_sources(clusters: DataFrame, links: DataFrame, records: DataFrame) -
             .withColumn("source_count", F.coalesce("source_count", F.lit(0)).cast("bigint")))
 
 
+def refresh_primary(state: DataFrame | None, clusters: DataFrame, links: DataFrame, records: DataFrame,
+                    touched: DataFrame) -> DataFrame:
+    """(cluster_id, primary_record_id) with the touched clusters computed
+    anew and all others as stored."""
+    ids = touched.select("cluster_id").distinct()
+    fresh = primary_sources(clusters.join(ids, "cluster_id", "left_semi"),
+                            links.join(ids, "cluster_id", "left_semi"), records).select(
+                                "cluster_id", "primary_record_id")
+    if state is None:
+        return fresh
+    return state.select("cluster_id", "primary_record_id").join(ids, "cluster_id", "left_anti").unionByName(fresh)
+
+
 def detach_records(links: DataFrame, records: DataFrame, failed_raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop every link of the records of raw items whose re-extraction
     failed.  Returns (kept links, affected cluster ids)."""

@@ -16,7 +16,7 @@ from tenderlake.functions.kinds import (contains_agreement_phrase, source_rank,
                                         with_source_kind)
 from tenderlake.functions.text import (content_hash, contains_keyword, first_truthy,
                                        normalize_text, normalize_url, url_host)
-from tenderlake.operators.cluster import cluster_key, comparisons, primary_sources
+from tenderlake.operators.cluster import cluster_key, comparisons, primary_sources, refresh_primary
 from tenderlake.operators.policy import FilterPolicy
 from tenderlake.plans import inputs, staging
 from tenderlake.plans.views import cluster_view, digest_payload, relevant_opportunities, review_queue
@@ -55,8 +55,8 @@ def view_out(df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ flagship
 @query("relevant_opportunities")
 def q_relevant(spark: SparkSession, d: str) -> DataFrame:
-    recs, res = inputs.listing_clusters(spark, d)
-    top = relevant_opportunities(res.clusters, res.links, recs, FilterPolicy.build())
+    recs, clusters, links = inputs.listing_memberships(spark, d)
+    top = relevant_opportunities(clusters, links, recs, FilterPolicy.build())
     return view_out(top)
 
 
@@ -175,6 +175,13 @@ def q_ingest_notices(spark: SparkSession, d: str) -> DataFrame:
                                         F.sha2("raw_body", 256).alias("body_hash"))
 
 
+@query("ingest_multi_notice")
+def q_ingest_multi(spark: SparkSession, d: str) -> DataFrame:
+    """A6 on feed documents that hold many notices: each keeps its place."""
+    raw = SN.normalize_notices(SN.explode_feed(inputs.order_feeds(spark, d)))
+    return raw.select("seq", "pos", "source_name", "external_id", F.sha2("raw_body", 256).alias("body_hash"))
+
+
 @query("notice_normalize")
 def q_notice_normalize(spark: SparkSession, d: str) -> DataFrame:
     raw = _notice_raw(spark, d)
@@ -188,11 +195,14 @@ def q_notice_normalize(spark: SparkSession, d: str) -> DataFrame:
 def q_feed_precedence(spark: SparkSession, d: str) -> DataFrame:
     N = staging.stg_notice(spark, d)
     notices = N.select("seq", "source_name", F.parse_json(inputs.notice_json(N)).alias("notice"))
-    # the doffin feed also arrives embedded (odd lines only); others only fetched
-    embedded = notices.where((F.col("source_name") == "doffin") & (F.col("seq") % 2 == 1)) \
-        .withColumn("origin", F.lit("embedded"))
+    # one source has a feed of its own (odd lines only), two are in a shared
+    # one (even lines only), and all are fetched, the third as nothing else
+    odd = F.col("seq") % 2 == 1
+    embedded = notices.where((F.col("source_name") == "doffin") & odd).withColumn("origin", F.lit("embedded"))
+    shared = notices.where(F.col("source_name").isin("doffin", "kgv-portal") & ~odd).withColumn(
+        "origin", F.lit("shared"))
     fetched = notices.withColumn("origin", F.lit("fetched"))
-    return SN.feed_precedence(embedded, fetched).select("seq", "source_name", "origin")
+    return SN.feed_precedence(embedded, fetched, shared).select("seq", "source_name", "origin")
 
 
 @query("ingest_quarantine")
@@ -223,14 +233,14 @@ def q_extract_listing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("extract_notice")
 def q_extract_notice(spark: SparkSession, d: str) -> DataFrame:
-    return _rec_out(X.extract_notice(inputs.with_raw_ids(_notice_raw(spark, d))))
+    return _rec_out(X.extract_notice(inputs.notice_raw(spark, d)))
 
 
 def all_raw(spark: SparkSession, d: str) -> DataFrame:
     """Listings, mail and notices of one run; seq made unique per source."""
     lst = SL.listings_to_raw(inputs.listing_jobs(spark, d)).withColumn("seq", F.col("seq") * 4 + 1)
     mail = _mail_raw(spark, d).withColumn("seq", F.col("seq") * 4 + 2)
-    notice = _notice_raw(spark, d).withColumn("seq", F.col("seq") * 4 + 3)
+    notice = inputs.notice_raw(spark, d).drop("raw_id", "content_hash", "pos").withColumn("seq", F.col("seq") * 4 + 3)
     return inputs.with_raw_ids(lst.unionByName(mail).unionByName(notice))
 
 
@@ -345,16 +355,16 @@ CAPACITY_PROFILE = {"data_engineering": 2, "backend": 0, "frontend": 7, "securit
 
 @query("role_classify")
 def q_role_classify(spark: SparkSession, d: str) -> DataFrame:
-    recs, res = inputs.listing_clusters(spark, d)
-    roles = classify(res.clusters, res.links, recs, FilterPolicy.build())
+    recs, clusters, links = inputs.listing_memberships(spark, d)
+    roles = classify(clusters, links, recs, FilterPolicy.build())
     return roles.select("cluster_id", "role_category", F.array_join("role_tags", "|").alias("role_tags"))
 
 
 @query("relevance_score")
 def q_relevance(spark: SparkSession, d: str) -> DataFrame:
-    recs, res = inputs.listing_clusters(spark, d)
+    recs, clusters, links = inputs.listing_memberships(spark, d)
     pol = FilterPolicy.build(capacity=CAPACITY_PROFILE, mode="high_recall")
-    s = score_clusters(res.clusters, res.links, recs, pol)
+    s = score_clusters(clusters, links, recs, pol)
     return s.select("cluster_id", "role_category", r6("relevance_score").alias("relevance_score"),
                     "relevance_rationale")
 
@@ -370,14 +380,16 @@ def q_digest_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cluster_search")
 def q_cluster_search(spark: SparkSession, d: str) -> DataFrame:
-    recs, res = inputs.listing_clusters(spark, d)
-    v = cluster_view(res.clusters, res.links, recs, FilterPolicy.build(), q="nation_1", min_relevance=0.5)
+    recs, clusters, links = inputs.listing_memberships(spark, d)
+    v = cluster_view(clusters, links, recs, FilterPolicy.build(), q="nation_1", min_relevance=0.5)
     return view_out(v)
 
 
 def _stored_primary(sc) -> DataFrame:
-    return primary_sources(sc.state_clusters, sc.state_links, sc.old_records).select(
-        "cluster_id", "primary_record_id")
+    """The stored primary records with the batch's touched clusters refreshed,
+    as a run does before it plans the digest."""
+    stored = primary_sources(sc.state_clusters, sc.state_links, sc.old_records)
+    return refresh_primary(stored, sc.result.clusters, sc.result.links, sc.all_records, sc.result.touched)
 
 
 @query("digest_payload")
@@ -403,6 +415,17 @@ def q_digest_plan(spark: SparkSession, d: str) -> DataFrame:
     return inputs.digest_scenario(spark, d).plan.select("cluster_id", "action", "emit")
 
 
+@query("digest_plan_gated")
+def q_digest_plan_gated(spark: SparkSession, d: str) -> DataFrame:
+    """The plan while the gate is closed: items are planned, nothing is sent."""
+    ds = inputs.digest_scenario(spark, d)
+    gate = DG.cadence_gate(ds.digests, inputs.RUN_AS_OF, 7 * 24 * 60).select("blocked")
+    inc = include_in_digest(F.col("review_status"), F.col("confidence"), F.col("relevance_score"),
+                            FilterPolicy.build())
+    plan = DG.plan_digest(ds.scored.crossJoin(gate), ds.digests, inc, F.col("blocked"))   # gate is one row
+    return plan.select("cluster_id", "action", "emit", "blocked")
+
+
 @query("digest_mark_sent")
 def q_digest_mark_sent(spark: SparkSession, d: str) -> DataFrame:
     ds = inputs.digest_scenario(spark, d)
@@ -426,16 +449,21 @@ def q_pending(spark: SparkSession, d: str) -> DataFrame:
 
 
 CADENCE_AS_OF = "2024-01-30 23:00:00"
-CADENCE_MINUTES = 30
+CADENCE_MINUTES = (0, 30, 100_000)
 
 
 @query("cadence_gate")
 def q_cadence(spark: SparkSession, d: str) -> DataFrame:
-    ev = staging.table(spark, d, "events")
-    latest = ev.groupBy("event_type").agg(F.max("ts").alias("latest_sent_at"))
-    edge = F.lit(CADENCE_AS_OF).cast("timestamp") - F.make_interval(mins=F.lit(CADENCE_MINUTES))
-    return latest.select("event_type", F.unix_micros(F.col("latest_sent_at").cast("timestamp")).alias("latest_us"),
-                         (F.col("latest_sent_at").cast("timestamp") > edge).alias("blocked"))
+    """The gate over all events as sent times, for several lengths: off, too
+    short to block, and long enough."""
+    sent = staging.table(spark, d, "events").select(F.col("ts").alias("sent_at"))
+    out = None
+    for minutes in CADENCE_MINUTES:
+        g = DG.cadence_gate(sent, CADENCE_AS_OF, minutes).select(
+            F.lit(minutes).cast("bigint").alias("minutes"),
+            F.unix_micros(F.col("latest_sent_at").cast("timestamp")).alias("latest_us"), "blocked")
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 @query("review_queue")
@@ -453,8 +481,7 @@ SIG_OUT = ["source_name", "external_id", "title", "buyer_name", "agreement_type"
 
 @query("signal_detect")
 def q_signal_detect(spark: SparkSession, d: str) -> DataFrame:
-    raw, recs = inputs.notice_raw_records(spark, d)
-    det = SG.detect_signals(raw, recs).where(F.col("detected"))
+    det = SG.detect_signals(inputs.notice_raw(spark, d)).where(F.col("detected"))
     return det.select(*SIG_OUT, r6("signal_confidence").alias("signal_confidence"))
 
 
@@ -496,9 +523,14 @@ def q_gap_status(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("first_cluster_id") % 3
     t = gaps.where(m.isin(0, 1)).select(
         "gap_key", F.when(m == 0, F.lit("acknowledged")).otherwise(F.lit("watch_only")).alias("status"),
-        F.when(m == 1, F.lit("check later")).alias("note"))
-    unknown = spark.createDataFrame([("buyer:nobody", "acknowledged", None)], "gap_key string, status string, note string")
-    out, _ = GP.set_gap_status(gaps, t.unionByName(unknown))
+        F.when(m == 1, F.lit("check later")).alias("note"), F.lit(1).alias("seq"))
+    # some are moved twice; an unknown buyer and an unknown status are refused
+    again = gaps.where(F.col("first_cluster_id") % 6 == 0).select(
+        "gap_key", F.lit("ignored").alias("status"), F.lit(None).cast("string").alias("note"), F.lit(2).alias("seq"))
+    odd = gaps.select("gap_key", F.lit("closed").alias("status"), F.lit("no").alias("note"), F.lit(3).alias("seq"))
+    unknown = spark.createDataFrame([("buyer:nobody", "acknowledged", None, 1)],
+                                    "gap_key string, status string, note string, seq int")
+    out, _ = GP.set_gap_status(gaps, t.unionByName(again).unionByName(odd).unionByName(unknown))
     return out.select("gap_key", "status", "note")
 
 
@@ -520,8 +552,8 @@ def q_coverage(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------ analytics
 @query("buyer_trends")
 def q_buyer_trends(spark: SparkSession, d: str) -> DataFrame:
-    _, res = inputs.listing_clusters(spark, d)
-    return AN.buyer_trends(res.clusters).select(
+    _, clusters, _ = inputs.listing_memberships(spark, d)
+    return AN.buyer_trends(clusters).select(
         "buyer", F.col("opportunity_count").cast("bigint").alias("opportunity_count"),
         r6("avg_confidence").alias("avg_confidence"))
 
@@ -544,6 +576,18 @@ def q_source_quality(spark: SparkSession, d: str) -> DataFrame:
         r6("average_sources_per_cluster").alias("average_sources_per_cluster"))
 
 
+@query("market_summary")
+def q_market_summary(spark: SparkSession, d: str) -> DataFrame:
+    """K5: all four reports in one table."""
+    sc, signals, gr = inputs.gap_scenario(spark, d)
+    _, clusters, _ = inputs.listing_memberships(spark, d)
+    out = AN.market_summary(
+        AN.buyer_trends(clusters), AN.broker_patterns(inputs.listing_records(spark, d)),
+        AN.source_quality(sc.result.clusters, sc.result.links, comparisons(sc.result.links, sc.all_records)),
+        AN.coverage_summary(signals, gr.gaps))
+    return out.select("section", "name", "metric", r6("value").alias("value"))
+
+
 REVIEW_STATUS_BY_ORDER = "CASE order_status WHEN 'F' THEN 'watch_only' WHEN 'O' THEN 'ignored' ELSE 'manually_merged' END"
 
 

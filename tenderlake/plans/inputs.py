@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.kinds import with_source_kind
 from tenderlake.functions.text import url_host
-from tenderlake.operators.cluster import ClusterResult, cluster_records
+from tenderlake.operators.cluster import ClusterResult, cluster_records, memberships
 from tenderlake.plans import staging
 
 # Records whose stored kind is missing (as in rows written before the kind
@@ -51,6 +51,12 @@ def listing_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Clust
     return recs, cluster_records(recs)
 
 
+def listing_memberships(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, clusters, links) where match scores are not read."""
+    recs = listing_records(spark, sf_dir)
+    return recs, *memberships(recs)
+
+
 # ------------------------------------------------------------ source shapes
 NOTICE_JSON_KEYS = ("agreement_type", "buyer", "category", "customer", "deadline", "description",
                     "external_id", "id", "notice_id", "notice_type", "published_at", "status",
@@ -128,7 +134,20 @@ class ClusterScenario:
     result: ClusterResult
 
 
+_SCENARIOS: dict[tuple[str, str], ClusterScenario] = {}
+
+
 def cluster_scenario(spark: SparkSession, sf_dir: str) -> ClusterScenario:
+    """The stored state and the batch upon it, built once per session and
+    folder: its tables are checkpointed, so later queries read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCENARIOS:
+        _SCENARIOS.clear()
+        _SCENARIOS[key] = _cluster_scenario(spark, sf_dir)
+    return _SCENARIOS[key]
+
+
+def _cluster_scenario(spark: SparkSession, sf_dir: str) -> ClusterScenario:
     from tenderlake.operators.cluster import detach_records
     recs = listing_records(spark, sf_dir)
     old = recs.where(order_is_old())
@@ -211,19 +230,28 @@ GAP_NOTE_SQL = ("CASE first_cluster_id % 5 WHEN 3 THEN 'not relevant' WHEN 4 THE
                 "'Auto-closed after matching agreement signal detected for this buyer.' ELSE NULL END")
 
 
-def notice_raw_records(spark: SparkSession, sf_dir: str, N: DataFrame | None = None):
-    from tenderlake.operators.extract import extract_notice
+def notice_raw(spark: SparkSession, sf_dir: str, N: DataFrame | None = None) -> DataFrame:
+    """Every staged notice as a raw item, without feed documents around it."""
     from tenderlake.sources.notices import normalize_notices
     N = N if N is not None else staging.stg_notice(spark, sf_dir)
     notices = N.select("seq", "source_name", F.parse_json(notice_json(N)).alias("notice"))
-    raw = with_raw_ids(normalize_notices(notices))
-    return raw, extract_notice(raw)
+    return with_raw_ids(normalize_notices(notices))
+
+
+def order_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, source_name, payload): one landed feed document per order and
+    source, with all its notices in it."""
+    N = staging.stg_notice(spark, sf_dir)
+    item = F.struct("seq", notice_json(N).alias("js"))
+    return (N.withColumn("_item", item).groupBy(F.expr("line_key div 8").alias("seq"), "source_name")
+            .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+            .select("seq", "source_name", F.concat(F.lit("["), F.array_join(
+                F.transform("_items", lambda x: x["js"]), ","), F.lit("]")).alias("payload")))
 
 
 def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tenderlake.operators.signals import detect_signals, sync_signals
-    raw, recs = notice_raw_records(spark, sf_dir)
-    return sync_signals(None, detect_signals(raw, recs))
+    return sync_signals(None, detect_signals(notice_raw(spark, sf_dir)))
 
 
 def signal_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +264,8 @@ def signal_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
                .withColumn("agreement_type", F.lit(None).cast("string"))
                .withColumn("notice_type", F.lit(None).cast("string")))
     batch = N.where(~order_is_old()).unionByName(revised)
-    state = sync_signals(None, detect_signals(*notice_raw_records(spark, sf_dir, old)))
-    return sync_signals(state, detect_signals(*notice_raw_records(spark, sf_dir, batch)))
+    state = sync_signals(None, detect_signals(notice_raw(spark, sf_dir, old)))
+    return sync_signals(state, detect_signals(notice_raw(spark, sf_dir, batch)))
 
 
 def gap_scenario(spark: SparkSession, sf_dir: str):

@@ -266,6 +266,19 @@ def notices_cte() -> str:
 FROM stg_notice WHERE NOT ({BAD_FEED_SQL}) AND seq % 4 <> 2"""
 
 
+def all_notices_cte() -> str:
+    ext = q.first_truthy("id", "notice_id", "external_id", "url")
+    return f"SELECT *, {canonical_notice_sql()} AS body, {ext} AS ext_id FROM stg_notice"
+
+
+@oracle("ingest_multi_notice")
+def _ingest_multi_notice() -> str:
+    return with_staging(
+        "SELECT line_key // 8 AS seq, row_number() OVER (PARTITION BY line_key // 8, source_name ORDER BY n.seq, body) - 1 "
+        "AS pos, source_name, ext_id AS external_id, sha256(body) AS body_hash FROM nt_all n",
+        "stg_notice", extra_ctes=[("nt_all", all_notices_cte())])
+
+
 @oracle("ingest_notices")
 def _ingest_notices() -> str:
     return with_staging("SELECT seq, source_name, ext_id AS external_id, sha256(body) AS body_hash FROM nt_ok",
@@ -285,7 +298,9 @@ def _notice_normalize() -> str:
 def _feed_precedence() -> str:
     return with_staging(
         "SELECT seq, source_name, 'embedded' AS origin FROM stg_notice WHERE source_name = 'doffin' AND seq % 2 = 1 "
-        "UNION ALL SELECT seq, source_name, 'fetched' AS origin FROM stg_notice WHERE source_name <> 'doffin'",
+        "UNION ALL SELECT seq, source_name, 'shared' AS origin FROM stg_notice WHERE source_name = 'kgv-portal' "
+        "AND seq % 2 = 0 UNION ALL SELECT seq, source_name, 'fetched' AS origin FROM stg_notice "
+        "WHERE source_name = 'mercell-tender'",
         "stg_notice")
 
 
@@ -375,13 +390,13 @@ def _extract_listing() -> str:
 @oracle("extract_notice")
 def _extract_notice() -> str:
     return with_staging(f"SELECT {REC_OUT} FROM rec_n", "stg_notice",
-                        extra_ctes=[("nt_ok", notices_cte()), ("rec_n", notice_records_cte())])
+                        extra_ctes=[("nt_ok", all_notices_cte()), ("rec_n", notice_records_cte())])
 
 
 def all_records_ctes() -> list[tuple[str, str]]:
     return [("raw_l", raw_listing_cte()), ("rec_l", listing_records_cte()),
             ("raw_m", raw_mail_cte()), ("rec_m", email_records_cte()),
-            ("nt_ok", notices_cte()), ("rec_n", notice_records_cte()),
+            ("nt_ok", all_notices_cte()), ("rec_n", notice_records_cte()),
             ("rec_all", "SELECT * REPLACE (raw_id * 4 + 1 AS raw_id) FROM rec_l UNION ALL "
                         "SELECT * REPLACE (raw_id * 4 + 2 AS raw_id) FROM rec_m UNION ALL "
                         "SELECT * REPLACE (raw_id * 4 + 3 AS raw_id) FROM rec_n")]
@@ -653,9 +668,20 @@ WHERE (c.title ILIKE '%nation_1%' OR c.customer ILIKE '%nation_1%' OR c.cluster_
   AND {score} >= {q.dbl(0.5)}""", "stg_listing", extra_ctes=listing_cluster_ctes() + roles_ctes("clusters", "recs"))
 
 
+TOUCHED_SQL = """SELECT cluster_id FROM nl UNION
+SELECT l.cluster_id FROM ol_f l JOIN old r USING (record_id) WHERE r.raw_id IN (SELECT raw_id FROM batch) UNION
+SELECT l.cluster_id FROM ol l JOIN old r USING (record_id) WHERE r.raw_id IN (SELECT raw_id FROM failed)"""
+
+
 def payload_ctes() -> list[tuple[str, str]]:
     return [
-        ("ocp", primary_sql("oc", "ol", "old")),
+        ("touched", TOUCHED_SQL),
+        ("ocp0", primary_sql("oc", "ol", "old")),
+        ("fcp", primary_sql("fc", "fl", "all_recs")),
+        ("ocp", """SELECT f.cluster_id, CASE WHEN t.cluster_id IS NOT NULL THEN n.primary_record_id
+  ELSE o.primary_record_id END AS primary_record_id
+FROM fc f LEFT JOIN (SELECT DISTINCT cluster_id FROM touched) t USING (cluster_id)
+  LEFT JOIN fcp n USING (cluster_id) LEFT JOIN ocp0 o USING (cluster_id)"""),
         ("firstl", "SELECT cluster_id, min(record_id) AS first_rid, count(*) AS n FROM fl GROUP BY 1"),
         ("pay0", """SELECT f.*, p.primary_record_id, coalesce(fi.n, 0) AS source_count,
   CASE WHEN EXISTS (SELECT 1 FROM fl x WHERE x.cluster_id = f.cluster_id AND x.record_id = p.primary_record_id)
@@ -678,7 +704,7 @@ def _digest_payload() -> str:
 @oracle("digest_message")
 def _digest_message() -> str:
     return with_staging(
-        """SELECT p.cluster_id, 'KOIS: ' || coalesce(nullif(p.title, ''), 'Untitled opportunity') AS header,
+        f"""SELECT p.cluster_id, '{fixed.MESSAGE_PREFIX}' || coalesce(nullif(p.title, ''), 'Untitled opportunity') AS header,
   coalesce(nullif(p.customer, ''), 'Unknown customer') AS customer_text,
   coalesce(nullif(p.deadline, ''), 'Unknown deadline') AS deadline_text,
   CAST(p.source_count AS VARCHAR) AS sources_text, p.review_status AS status_text,
@@ -692,6 +718,11 @@ def _digest_plan() -> str:
     return dscen("SELECT cluster_id, action, action IN ('update_unsent', 'insert') AS emit FROM plan")
 
 
+@oracle("digest_plan_gated")
+def _digest_plan_gated() -> str:
+    return dscen("SELECT cluster_id, action, false AS emit, true AS blocked FROM plan")
+
+
 @oracle("digest_mark_sent")
 def _digest_mark_sent() -> str:
     return dscen(f"""SELECT d.digest_id, d.cluster_id, d.review_status,
@@ -716,8 +747,9 @@ def _pending() -> str:
 
 @oracle("cadence_gate")
 def _cadence() -> str:
-    return ("SELECT event_type, epoch_us(max(ts)) AS latest_us, "
-            "max(ts) > TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 30 MINUTE AS blocked FROM events GROUP BY 1")
+    return ("SELECT m.minutes, epoch_us(max(ts)) AS latest_us, m.minutes > 0 AND "
+            "max(ts) > TIMESTAMP '2024-01-30 23:00:00' - to_minutes(m.minutes) AS blocked "
+            "FROM events, (VALUES (0), (30), (100000)) AS m(minutes) GROUP BY m.minutes")
 
 
 @oracle("review_queue")
@@ -846,7 +878,8 @@ def _gap_upsert() -> str:
 
 @oracle("gap_status")
 def _gap_status() -> str:
-    return gscen("SELECT gap_key, CASE first_cluster_id % 3 WHEN 0 THEN 'acknowledged' WHEN 1 THEN 'watch_only' ELSE status END AS status, "
+    return gscen("SELECT gap_key, CASE WHEN first_cluster_id % 6 = 0 THEN 'ignored' WHEN first_cluster_id % 3 = 0 THEN 'acknowledged' "
+                 "WHEN first_cluster_id % 3 = 1 THEN 'watch_only' ELSE status END AS status, "
                  "CASE WHEN first_cluster_id % 3 = 1 THEN 'check later' ELSE note END AS note FROM fg")
 
 
@@ -885,6 +918,30 @@ def _source_quality() -> str:
   {q.r6("(SELECT avg(k) FROM (SELECT cluster_id, count(*) AS k FROM fl GROUP BY 1))")} AS average_sources_per_cluster""")
 
 
+@oracle("market_summary")
+def _market_summary() -> str:
+    conflicts = f"(SELECT count(DISTINCT cluster_id) FROM ({comparisons_sql('fl', 'all_recs')}))"
+    one = [("source_quality", "cluster_count", "(SELECT count(*) FROM fc)"),
+           ("source_quality", "clusters_with_conflicts", conflicts),
+           ("source_quality", "conflict_ratio", f"{conflicts} / (SELECT count(*) FROM fc)"),
+           ("source_quality", "average_sources_per_cluster",
+            "(SELECT avg(k) FROM (SELECT cluster_id, count(*) AS k FROM fl GROUP BY 1))"),
+           ("coverage", "agreement_signal_count", "(SELECT count(*) FROM sigf WHERE detected)"),
+           ("coverage", "gap_count", "(SELECT count(*) FROM fg)"),
+           ("coverage", "open_gap_count", "(SELECT count(*) FROM fg WHERE status = 'open')")]
+    top = [("buyer_trends", "buyer", m, "tb") for m in ("opportunity_count", "avg_confidence")]
+    top += [("broker_patterns", "broker", m, "tk") for m in ("record_count", "unique_buyers")]
+    rows = [f"SELECT '{s}' AS section, {n} AS name, '{m}' AS metric, {q.r6(f'CAST({m} AS DOUBLE)')} AS value FROM {t}"
+            for s, n, m, t in top]
+    rows += [f"SELECT '{s}', 'all', '{m}', {q.r6(f'CAST({x} AS DOUBLE)')}" for s, m, x in one]
+    extra = gap_ctes() + listing_cluster_ctes() + [
+        ("tb", "SELECT customer AS buyer, count(*) AS opportunity_count, avg(confidence) AS avg_confidence FROM clusters "
+               "WHERE customer IS NOT NULL GROUP BY customer ORDER BY opportunity_count DESC, buyer LIMIT 10"),
+        ("tk", "SELECT broker, count(*) AS record_count, count(DISTINCT customer) AS unique_buyers FROM stg_listing "
+               "WHERE broker IS NOT NULL GROUP BY broker ORDER BY record_count DESC, broker LIMIT 10")]
+    return with_staging(" UNION ALL ".join(rows), "stg_listing", "stg_notice", extra_ctes=extra)
+
+
 @oracle("review_transition")
 def _review_transition() -> str:
     st = "CASE order_status WHEN 'F' THEN 'watch_only' WHEN 'O' THEN 'ignored' ELSE 'manually_merged' END"

@@ -1,54 +1,64 @@
-"""Versioned state snapshots without MERGE (§ state store).
-
-Layout under the shared root (``spark.checkpoint.dir`` on a cluster):
-``<root>/state/v=<batch_id>/<table>/`` Parquet, and ``<root>/state/_committed``
-holding committed batch ids.  A run reads the newest committed version,
-writes the next one and commits it last, so a crash or lost executor leaves
-the previous version intact, and replaying a committed batch id is skipped.
-Writing a snapshot also cuts the lineage of the next run.
+"""Versioned state snapshots without MERGE.
+
+Layout under a root that the caller names (a folder all executors share and
+that outlives the session): ``<root>/state/v=<batch_id>/<table>/`` Parquet, and
+``<root>/state/_committed`` with one row per committed batch: its id and the
+tables it holds.  A run reads the newest committed version, writes the next one
+and commits it last, so a crash or lost executor leaves the previous version
+intact, and replaying a committed batch id is skipped.  A table that a commit
+names must be readable: damage raises, it never reads as an empty state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.plans.pipeline import PipelineState
-from tenderlake.session import checkpoint_root
+
+COMMIT_SCHEMA = "batch_id bigint, tables array<string>"
 
 
-def _root(spark: SparkSession, root: str | None) -> str:
-    return (root or checkpoint_root(spark)).rstrip("/") + "/state"
+def _state(root: str) -> str:
+    if not root:
+        raise ValueError("the state store needs a root folder of its own")
+    return root.rstrip("/") + "/state"
 
 
-def committed(spark: SparkSession, root: str | None = None) -> list[int]:
-    path = _root(spark, root) + "/_committed"
+def _commits(spark: SparkSession, root: str) -> DataFrame:
+    """The commit rows; none before the first commit."""
     try:
-        return sorted(r[0] for r in spark.read.parquet(path).select("batch_id").collect())
-    except Exception:  # noqa: BLE001 - no commit yet
-        return []
+        return spark.read.schema(COMMIT_SCHEMA).parquet(_state(root) + "/_committed")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT_SCHEMA)
+
+
+def is_committed(spark: SparkSession, batch_id: int, root: str) -> bool:
+    return not _commits(spark, root).where(F.col("batch_id") == int(batch_id)).isEmpty()
 
 
-def read_state(spark: SparkSession, root: str | None = None) -> tuple[int | None, PipelineState]:
-    ids = committed(spark, root)
-    if not ids:
+def last_commit(spark: SparkSession, root: str) -> tuple[int, list[str]] | None:
+    """(batch id, tables) of the newest version."""
+    r = _commits(spark, root).agg(F.max(F.struct("batch_id", "tables")).alias("c")).first()
+    return None if r.c is None else (r.c.batch_id, list(r.c.tables))
+
+
+def read_state(spark: SparkSession, root: str) -> tuple[int | None, PipelineState]:
+    last = last_commit(spark, root)
+    if last is None:
         return None, PipelineState()
-    v = ids[-1]
-    base = f"{_root(spark, root)}/v={v}"
-    st = PipelineState()
-    for name in st.tables():
-        try:
-            setattr(st, name, spark.read.parquet(f"{base}/{name}"))
-        except Exception:  # noqa: BLE001 - table absent in this version
-            setattr(st, name, None)
-    return v, st
-
-
-def write_state(spark: SparkSession, batch_id: int, state: PipelineState, root: str | None = None) -> None:
+    version, tables = last
+    return version, PipelineState(**{
+        t: spark.read.parquet(f"{_state(root)}/v={version}/{t}") for t in tables})
+
+
+def write_state(spark: SparkSession, batch_id: int, state: PipelineState, root: str) -> None:
     """Write every table of the new version, then append the commit row."""
-    base = f"{_root(spark, root)}/v={batch_id}"
-    for name, df in state.tables().items():
-        if df is not None:
-            df.write.mode("overwrite").parquet(f"{base}/{name}")
-    (spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id"))
-     .write.mode("append").parquet(_root(spark, root) + "/_committed"))
+    tables = {n: df for n, df in state.tables().items() if df is not None}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{_state(root)}/v={batch_id}/{name}")
+    (spark.createDataFrame([(int(batch_id), list(tables))], COMMIT_SCHEMA).coalesce(1)
+     .write.mode("append").parquet(_state(root) + "/_committed"))

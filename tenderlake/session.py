@@ -47,14 +47,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder used to cut lineage and to hold state snapshots.
+    """The shared folder used to cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``; we only pick a local
-    scratch folder when the setting is absent (tests, local runs)."""
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local master may
+    go without the setting: tests and local runs get a scratch folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tenderlake-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

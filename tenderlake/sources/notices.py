@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.functions.text import content_hash, json_truthy, normalize_text
+from tenderlake.functions.text import content_hash, normalize_text, variant_truthy
 
 _V = "try_variant_get"
 
@@ -44,11 +44,18 @@ def quarantine(feeds: DataFrame, payload: str = "payload") -> DataFrame:
             .drop("_feed"))
 
 
-def feed_precedence(embedded: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Per source, embedded notices win; fetched ones are used only for
-    sources with no embedded notice."""
-    have = embedded.select("source_name").distinct()
-    return fetched.join(have, "source_name", "left_anti").unionByName(embedded)
+def feed_precedence(embedded: DataFrame, fetched: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Per source, the source's own embedded feed wins; a ``shared``
+    embedded feed serves the sources without one; fetched notices are used
+    only for sources with neither.  A feed counts as present when its document
+    has entries, whether or not they are objects."""
+    def without(rows: DataFrame, *having: DataFrame) -> DataFrame:
+        for h in having:
+            rows = rows.join(h.select("source_name").distinct(), "source_name", "left_anti")
+        return rows
+    if shared is None:
+        return without(fetched, embedded).unionByName(embedded)
+    return without(fetched, embedded, shared).unionByName(without(shared, embedded)).unionByName(embedded)
 
 
 def normalize_notices(notices: DataFrame, received_at: Column | None = None) -> DataFrame:
@@ -57,12 +64,11 @@ def normalize_notices(notices: DataFrame, received_at: Column | None = None) ->
     JSON (sorted keys); metadata keeps normalized type hints, the origin and
     the full payload."""
     body = F.to_json(F.col("notice"))
-    ext = F.coalesce(json_truthy(_vget("notice", "$.id")), json_truthy(_vget("notice", "$.notice_id")),
-                     json_truthy(_vget("notice", "$.external_id")), json_truthy(_vget("notice", "$.url")),
+    ext = F.coalesce(*[variant_truthy("notice", f"$.{k}") for k in ("id", "notice_id", "external_id", "url")],
                      content_hash(body))
     title = _vget("notice", "$.title")
-    url = F.coalesce(json_truthy(_vget("notice", "$.url")), _vget("notice", "$.source_url"))
-    buyer = F.coalesce(json_truthy(_vget("notice", "$.buyer")), _vget("notice", "$.customer"))
+    url = F.coalesce(variant_truthy("notice", "$.url"), _vget("notice", "$.source_url"))
+    buyer = F.coalesce(variant_truthy("notice", "$.buyer"), _vget("notice", "$.customer"))
     head = F.to_json(F.struct(
         title.alias("title"), url.alias("url"), buyer.alias("buyer"),
         normalize_text(_vget("notice", "$.agreement_type")).alias("agreement_type"),
@@ -72,9 +78,11 @@ def normalize_notices(notices: DataFrame, received_at: Column | None = None) ->
     # splice the payload object in as a nested object (not a quoted string)
     meta = F.concat(F.expr("substring(_head, 1, length(_head) - 1)"),
                     F.lit(',"notice_payload":'), F.col("_body"), F.lit("}"))
-    seq = F.col("seq") if "seq" in notices.columns else F.col("notice_pos")
+    # arrival order: the feed document, then the notice's place in it
+    pos = F.col("notice_pos").cast("bigint") if "notice_pos" in notices.columns else F.lit(0).cast("bigint")
+    seq = F.col("seq") if "seq" in notices.columns else pos
     return (notices.withColumn("_body", body).withColumn("_head", head)
             .select(seq.alias("seq"), F.lit("procurement").alias("source_type"), "source_name",
                     ext.alias("external_id"), F.col("_body").alias("raw_body"), meta.alias("metadata"),
                     (received_at if received_at is not None else F.lit(None).cast("timestamp"))
-                    .alias("received_at")))
+                    .alias("received_at"), pos.alias("pos")))

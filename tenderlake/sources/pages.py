@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 # list item with a link: <li><a href="...">text</a></li>
 LIST_LINK_RE = r'<li><a href="([^"]*)">([^<]*)</a></li>'
-TITLE_RE = r"<title>([^<]*)</title>"
 BASE_RE = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)"
 
 
@@ -30,11 +29,7 @@ def page_listings(pages: DataFrame) -> DataFrame:
                     uri.alias("job_uri"), F.col("_l.title").alias("title"))
 
 
-def page_titles(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", F.regexp_extract("html", TITLE_RE, 1).alias("page_title"))
-
-
 def last_line(c) -> F.Column:
     """The last non-blank line of a text cell."""
     lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    return F.trim(F.element_at(lines, -1))
+    return F.trim(F.try_element_at(lines, F.lit(-1)))

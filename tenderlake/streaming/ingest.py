@@ -24,9 +24,9 @@ RAW_ITEM_SCHEMA = T.StructType([
 ])
 
 
-def process_batch(spark: SparkSession, root: str | None = None, **run_kwargs):
+def process_batch(spark: SparkSession, root: str, **run_kwargs):
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in store.committed(spark, root):
+        if store.is_committed(spark, batch_id, root):
             return
         _, state = store.read_state(spark, root)
         new_state, _ = run_batch(spark, state, batch, int(batch_id), **run_kwargs)
@@ -34,7 +34,7 @@ def process_batch(spark: SparkSession, root: str | None = None, **run_kwargs):
     return handle
 
 
-def start(spark: SparkSession, landed: str, checkpoint: str, root: str | None = None,
+def start(spark: SparkSession, landed: str, checkpoint: str, root: str,
           available_now: bool = True, **run_kwargs):
     """Start the stream over landed Parquet raw items."""
     src = spark.readStream.schema(RAW_ITEM_SCHEMA).parquet(landed)
