@@ -609,6 +609,43 @@ def q_page_listings(spark: SparkSession, d: str) -> DataFrame:
     return SP.page_listings(staging.table(spark, d, "pages"))
 
 
+def portal_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Stored list pages of the five portals, 20 listings each, written from
+    the staged listings, with the rows that a reader must skip."""
+    L = staging.stg_listing(spark, d)
+    t, c, due = (F.coalesce(x, F.lit("")) for x in ("title", "customer", "deadline"))
+    esc = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    n = F.col("seq").cast("string")
+    item = F.element_at(F.array(
+        F.concat(F.lit('<tr><th>Head</th></tr><tr><td>pager</td></tr><tr roworder="1"><td>short</td></tr>'
+                       '<tr class="r" roworder="2"><td>1</td><td>2</td><td></td><td>4</td><td><a class="x hide100pct" href="/t/'), n,
+                 F.lit('"> '), esc(t), F.lit('\n</a><a class="company-in-grid"><svg></svg>'), esc(c), F.lit("</a></td><td> "), due,
+                 F.lit(" </td><td>7</td></tr>")),
+        F.concat(F.lit('<li>menu</li><li class="c" data-list-item="1"><h2>'), esc(t), F.lit('</h2><a href="https://w.example/'), n,
+                 F.lit('">more</a><p>'), esc(c), F.lit("</p></li>")),
+        F.concat(F.lit('<article><a class="single-job" href="https://e.example/'), n, F.lit('"><h2 class="title">'), esc(t),
+                 F.lit('</h2></a><div class="start-date">Start\n  '), due, F.lit("\n</div></article>")),
+        F.concat(F.lit('<a href="/no">x</a><a class="route-section" href="/job/'), n,
+                 F.lit('"><span class="job-request-record__header">'), esc(t), F.lit("</span></a>")),
+        F.concat(F.lit('<div><a href="/b/'), n, F.lit('">'), esc(t), F.lit(f"</a><div {SP._BLOCK_COMPANY}>"), esc(c), F.lit("</div>"),
+                 F.when(due != "", F.concat(F.lit(f"<div {SP._BLOCK_DATE}>"), due, F.lit("</div>"))).otherwise(F.lit("")),
+                 F.lit("</div>"))), F.col("kind"))
+    rows = L.withColumn("page", F.expr("seq div 20")).withColumn("kind", (F.col("page") % 5 + 1).cast("int"))
+    names = F.array(*[F.lit(x) for x in SP.LAYOUTS])
+    return (rows.groupBy("page", "kind").agg(F.sort_array(F.collect_list(F.struct("seq", item.alias("i")))).alias("is"))
+            .select(F.col("page").alias("page_id"), F.element_at(names, F.col("kind")).alias("source"),
+                    F.lit("https://portal.example/list?page=0").alias("url"),
+                    F.concat(F.lit("<html><body>"), F.array_join(F.transform("is", lambda x: x["i"]), "\n"),
+                             F.lit("</body></html>")).alias("html")))
+
+
+@query("page_listings_portals")
+def q_page_portals(spark: SparkSession, d: str) -> DataFrame:
+    """The five portal layouts, read back from stored pages."""
+    got = SP.portal_listings(portal_pages(spark, d))
+    return got.select("source", "page_id", "title", "job_uri", "company", "description", "delivery_date")
+
+
 @query("listing_detail_join")
 def q_listing_detail(spark: SparkSession, d: str) -> DataFrame:
     L = staging.stg_listing(spark, d)

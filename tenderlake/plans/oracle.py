@@ -965,6 +965,23 @@ FROM (SELECT page_id, url, unnest(regexp_extract_all(html, {pat}, 1)) AS href,
              unnest(range(1, len(regexp_extract_all(html, {pat}, 1)) + 1)) AS pos FROM pages)"""
 
 
+@oracle("page_listings_portals")
+def _page_portals() -> str:
+    """What the pages were written from; no pattern is shared."""
+    t, c, d = (f"coalesce({x}, '')" for x in ("title", "customer", "deadline"))
+    b = "'https://portal.example'"
+    kind = "(seq // 20) % 5"
+    return with_staging(f"""SELECT CASE {kind} WHEN 0 THEN 'mercell' WHEN 1 THEN 'witted' WHEN 2 THEN 'emagine'
+    WHEN 3 THEN 'verama' ELSE 'folq' END AS source, seq // 20 AS page_id,
+  CASE {kind} WHEN 0 THEN trim({t}) ELSE {t} END AS title,
+  CASE {kind} WHEN 0 THEN {b} || '/t/' || seq WHEN 1 THEN 'https://w.example/' || seq WHEN 2 THEN 'https://e.example/' || seq
+    WHEN 3 THEN {b} || '/job/' || seq ELSE {b} || '/b/' || seq END AS job_uri,
+  CASE {kind} WHEN 0 THEN trim({c}) WHEN 4 THEN {c} END AS company,
+  CASE {kind} WHEN 0 THEN '' WHEN 1 THEN {c} END AS description,
+  CASE {kind} WHEN 0 THEN {d} WHEN 2 THEN CASE WHEN {d} = '' THEN 'Start' ELSE {d} END
+    WHEN 4 THEN CASE WHEN {d} = '' THEN 'Snarest' ELSE {d} END END AS delivery_date FROM stg_listing""", "stg_listing")
+
+
 @oracle("listing_detail_join")
 def _listing_detail() -> str:
     dl = strip_sql("split_part(coalesce(d.deadline, '') || ' (frist)', '(', 1)")

@@ -187,3 +187,34 @@ def test_a_cluster_must_name_the_shared_folder():
         sparkContext = type("S", (), {"master": "spark://x", "getCheckpointDir": staticmethod(lambda: None)})
     with pytest.raises(ValueError):
         checkpoint_root(Far)
+
+
+def test_portal_layouts_on_literal_pages(spark):
+    from tenderlake.sources.pages import portal_listings
+    pages = [
+        (1, "https://p.example/x", "mercell", '<table><tr roworder="1"><th>h</th></tr><tr roworder="2"><td>0</td><td>1</td><td>2</td>'
+         '<td>3</td><td><a href="/t/1" class="hide100pct b">A &amp; B</a> <a class="company-in-grid"> <svg/>Oslo </a></td>'
+         '<td>\n 2026-01-02 </td><td>6</td></tr><tr><td>no order</td></tr></table>'),
+        (2, "https://p.example/x", "witted", '<li data-list-item><h2 class="q">T<b>1</b></h2><p>d</p><a href="https://w/1">go</a></li><li>x</li>'),
+        (3, "https://p.example/x", "emagine", '<article><a class="single-job" href="https://e/1"></a><h2 class="title">E</h2>'
+         '<div class="start-date">Start\n <span id="convertedDate">\n 1 May\n</span></div></article>'),
+        (4, "https://p.example/x", "verama", '<a class="other" href="/z">z</a><a class="route-section" href="/r"><span class="job-request-record__header">V</span></a>'),
+        (5, "https://p.example/x", "folq", None), (6, "https://p.example/x", "other", "<li data-list-item></li>")]
+    got = {r.source: r for r in portal_listings(spark.createDataFrame(pages, "page_id long, url string, source string, html string")).collect()}
+    assert set(got) == {"mercell", "witted", "emagine", "verama"}
+    m, w, e, v = (got[k] for k in ("mercell", "witted", "emagine", "verama"))
+    assert (m.title, m.job_uri, m.company, m.delivery_date) == ("A & B", "https://p.example/t/1", "Oslo", "2026-01-02")
+    assert (w.title, w.job_uri, w.description, w.delivery_date) == ("T1", "https://w/1", "d", None)
+    assert (e.title, e.delivery_date) == ("E", "1 May") and (v.title, v.job_uri) == ("V", "https://p.example/r")
+
+
+def test_signals_list_by_update_time(spark):
+    from tenderlake.operators.signals import SIGNAL_COLS, list_signals, sync_signals
+    names = [c for c in SIGNAL_COLS if c != "updated_at"]
+
+    def flagged(key, seq):
+        return spark.createDataFrame([tuple([key if c == "external_id" else seq if c == "seq" else "x" for c in names] + [True])],
+                                     ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in names) + ", detected boolean")
+    first = sync_signals(None, flagged("old", 900), "2026-01-01 00:00:00")
+    both = sync_signals(first, flagged("new", 1), "2026-01-02 00:00:00")
+    assert [r.external_id for r in list_signals(both).collect()] == ["new", "old"]
