@@ -10,12 +10,15 @@ Documents are sets of word 3-grams; two link when their Jaccard similarity is
    whole segments; each segment's hash is an inverted list of sets.  Sets are
    compared within size classes a factor 1.5 wide; a set near a border is
    dealt for both classes.
-3. There are ``spare`` more segments than needed.  A list over ``LONG`` sets
-   is skipped by every set with at most ``spare`` such lists: whoever links
-   with it shares a shorter one, too (the skipping of DivideSkip, before the
-   shuffle).  Sets with more long lists meet in the long ones.
-4. Sets connected by lists are a family: everything that can link.  Families
-   are bounded blocks of sets (a larger family is several, see below).  In a
+3. There are ``spare`` more segments than needed, so linked sets share T =
+   ``spare`` + 1 lists.  Lists over ``LONG`` sets are put aside; the short ones
+   are merged, which counts for pairs of sets how many they share, and pairs
+   found T - L times are candidates, where L long lists are the fewer of the
+   two sets' (DivideSkip's bound, on segments).  Sets with more than ``spare``
+   long lists may share long lists only; they meet there, each with the list's
+   first.
+4. Sets connected so are a family: everything that can link.  Families are
+   bounded blocks of sets (a larger family is several, see below).  In a
    block every set is a query: its grams' inverted lists are ordered by
    length, the L longest are put aside (DivideSkip's choice of L), the short
    ones are heap-merged and sets found T - L times are candidates; these are
@@ -53,7 +56,7 @@ from tenderlake.llm.components import components
 N, NUMERATOR, DENOMINATOR = 3, 90, 100
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 FIRST_SIZE, WIDER = 9, 1.5       # sets under nine grams only link when equal
-LONG = 256                       # sets on a list that is worth skipping
+LONG = 16                        # most sets on a short list
 BLOCK_GRAMS = 4_000_000          # grams of a block
 PIVOTS = 16
 MU = 0.0085                      # DivideSkip's cost ratio of a probe to a merge
@@ -73,7 +76,7 @@ class _Codes(dict):
 
     def __missing__(self, word):
         import xxhash
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = x = xxhash.xxh64_intdigest(word)
         return x
@@ -163,21 +166,31 @@ def _sets(rows: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ families
 
 def _families(nodes: DataFrame) -> DataFrame:
-    """(node, root): sets that share a list that counts.  ``nodes``: c, dealt."""
-    dealt = nodes.select("c", F.posexplode("dealt").alias("g", "d"))
-    # two longs a posting: the list, and class of the set with the number of the dealing
-    post = dealt.select((F.col("c") * 2 + F.col("g")).alias("cg"), F.explode("d.keys").alias("list"))
-    lists = (post.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("cg").alias("first"))
-             .where("size > 1"))
+    """(node, root): sets that candidate pairs connect.  ``nodes``: c, n,
+    dealt."""
+    dealt = nodes.select("c", "n", F.posexplode("dealt").alias("g", "d"))
+    cg = (F.col("c") * 2 + F.col("g")).alias("cg")      # a set in one of its (at most two) dealings
+    post = dealt.select(cg, F.explode("d.keys").alias("list"))
+    lists = post.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     on = saved(post.join(lists, "list"), "join-lists")
-    short = on.where(F.col("size") <= LONG).select("cg", "first")
-    long_ = on.where(F.col("size") > LONG).select("cg", "list")
-    spare = dealt.select((F.col("c") * 2 + F.col("g")).alias("cg"), F.col("d.spare").alias("spare"))
-    many = (long_.groupBy("cg").agg(F.count(F.lit(1)).alias("longs")).join(spare, "cg")
-            .where("longs > spare").select("cg"))
-    meet = long_.join(many, "cg", "left_semi")
+    short, long_ = on.where(F.col("size") <= LONG), on.where(F.col("size") > LONG)
+    about = dealt.select(cg, "n", F.col("d.spare").alias("spare"))
+    longs = long_.groupBy("cg").agg(F.count(F.lit(1)).alias("longs"))
+    about = about.join(longs, "cg", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
+
+    # pairs on short lists (at most LONG sets each) and the lists they share
+    x, y = (short.select("list", F.col("cg").alias(k)) for k in ("x", "y"))
+    pairs = x.join(y, "list").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    ax, ay = (about.select(*[F.col(c).alias(f"{k}_{c}") for c in about.columns]) for k in ("x", "y"))
+    near = (pairs.join(ax, F.col("x") == F.col("x_cg")).join(ay, F.col("y") == F.col("y_cg"))
+            .where((F.col("shared") > F.col("x_spare") - F.least("x_longs", "y_longs", "x_spare"))
+                   & (DENOMINATOR * F.least("x_n", "y_n") >= NUMERATOR * F.greatest("x_n", "y_n")))
+            .select(F.col("x").alias("cg"), F.col("y").alias("first")))
+
+    many = about.where("longs > spare").select("cg")
+    meet = long_.join(many, "cg", "left_semi").select("list", "cg")
     firsts = meet.groupBy("list").agg(F.min("cg").alias("first"))
-    edges = short.unionByName(meet.join(firsts, "list").select("cg", "first")).select(
+    edges = near.unionByName(meet.join(firsts, "list").select("cg", "first")).select(
         F.expr("cg div 2").alias("a"), F.expr("first div 2").alias("b"))
     return components(edges, name="join-families")
 
@@ -309,7 +322,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal = saved(sets.where("n > 0").groupBy("d1", "d2").agg(F.min(order).alias("o"))
                   .select("d1", "d2", F.col("o.r").alias("c"), F.col("o.d").alias("first_id")), "join-classes")
     nodes = sets.join(equal.select(F.col("c").alias("row")), "row", "left_semi").withColumnRenamed("row", "c")
-    family = saved(_families(nodes.select("c", "dealt")), "join-family")
+    family = saved(_families(nodes.select("c", "n", "dealt")), "join-family")
 
     # 4. blocks of families
     sized = family.select(F.col("node").alias("c"), F.col("root").alias("family")).join(
