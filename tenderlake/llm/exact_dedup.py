@@ -37,10 +37,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = [F.length(norm).alias("_len"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("_pre")]
 
     # 1. by length, 2. by prefix hash among the lengths that occur twice
-    light = saved(docs.select(*keys), "dedup-light")
-    lengths = light.groupBy("_len").count().where("count > 1").select("_len")
-    prefixes = (light.join(lengths, "_len", "left_semi").groupBy("_len", "_pre").count()
-                .where("count > 1").select("_len", "_pre", F.lit(True).alias("_open")))
+    # (rows of a hot length are counted before they meet)
+    light = saved(docs.select(*keys).groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("n")), "dedup-light")
+    lengths = light.groupBy("_len").agg(F.sum("n").alias("of_length")).where("of_length > 1").select("_len")
+    prefixes = (light.join(lengths, "_len", "left_semi").where("n > 1")
+                .select("_len", "_pre", F.lit(True).alias("_open")))
 
     # 3. the full hash, for rows of surviving groups only
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), *keys,
