@@ -194,16 +194,20 @@ class Pieces:
         if self.count > REMEMBERED:
             self.known, self.count = [{} for _ in range(self.variants)], 0
         known, missing = self.known, {}
-        for us, vs in zip(units, places):
-            for u, v in zip(us, vs):
-                if u not in known[v]:
+        get = [k.get for k in known]
+        found = [[get[v](u) for u, v in zip(us, vs)] for us, vs in zip(units, places)]
+        late = [i for i, f in enumerate(found) if None in f]
+        for i in late:
+            for f, u, v in zip(found[i], units[i], places[i]):
+                if f is None:
                     missing[u, v] = None
         self._learn(list(missing))
-        out = [b"".join([known[v][u] for u, v in zip(us, vs)]) for us, vs in zip(units, places)]
+        for i in late:
+            found[i] = [get[v](u) if f is None else f for f, u, v in zip(found[i], units[i], places[i])]
         for u, v in missing:
             if len(u) > SHORT:
                 del known[v][u]
-        return out
+        return [b"".join(f) for f in found]
 
     def _learn(self, missing: list[tuple[str, int]]) -> None:
         missing.sort(key=lambda x: len(x[0]))
