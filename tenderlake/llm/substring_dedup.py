@@ -9,7 +9,7 @@ with a smaller id.  Windows are judged on the input.
    (this is the combine before the shuffle: a passage in a third of all
    documents leaves a batch once).
 2. Consecutive windows that share a minimiser (the smallest hash among their
-   runs of four words) form a super-k-mer; it travels as one packed string, to
+   runs of three words) form a super-k-mer; it travels as one packed string, to
    the bucket of its minimiser.  Equal windows have equal minimisers, so they
    meet.  The strings of one batch and bucket share one compressed row.
 3. A bucket sorts all its windows and finds equal ones exactly (by a hash,
@@ -38,10 +38,10 @@ from pyspark.sql import types as T
 
 from tenderlake.llm.common import add_columns
 
-WIDTH, MINIMISER = 13, 4
+WIDTH, MINIMISER = 13, 3
 BATCH_CHARS = 4_000_000      # texts worked on at a time
 BUCKET_CHARS = 8_000_000     # text that a bucket stands for, on average
-LEVEL = 3                    # of compression
+LEVEL = 6                    # of compression
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -288,12 +288,22 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"))
-    both = rows.join(cuts.hint("shuffle_hash"), ["doc_id", "key"], "left").select("_id", "_text", "starts", "ends")
 
-    def cut(texts, starts, ends):
+    def pack():
+        import zstandard
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return lambda texts: [[squeeze((t or "").encode()) for t in texts]]
+
+    # texts travel to their intervals compressed
+    rows = add_columns(rows, ["_id", "doc_id", "key"], [F.col("_text")], {"_packed": (T.BinaryType(), pa.binary())}, pack)
+    both = rows.join(cuts.hint("shuffle_hash"), ["doc_id", "key"], "left").select("_id", "_packed", "starts", "ends")
+
+    def cut(packed, starts, ends):
+        import zstandard
+        open_ = zstandard.ZstdDecompressor().decompress
         total, gone, kept = [], [], []
-        for text, first, last in zip(texts, starts, ends):
-            words = WORDS.findall(text) if text else []
+        for p, first, last in zip(packed, starts, ends):
+            words = WORDS.findall(open_(p).decode())
             n = len(words)
             if first:
                 edge = np.zeros(n + 1, np.int64)
@@ -306,6 +316,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return total, gone, kept
 
     long_ = T.LongType(), pa.int64()
-    return add_columns(both, ["_id"], [F.col("_text"), F.col("starts"), F.col("ends")],
+    return add_columns(both, ["_id"], [F.col("_packed"), F.col("starts"), F.col("ends")],
                        {"n_words": long_, "n_removed": long_, "kept": (T.StringType(), pa.string())},
                        lambda: cut).withColumnRenamed("_id", id_col)
