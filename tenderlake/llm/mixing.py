@@ -151,12 +151,17 @@ def mix(docs: DataFrame, memberships: Column, size: Column, order_id: Column,
     before = Window.partitionBy("_in").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     cut = (ranges.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
            .join(plan, "_in"))
-    cut = cut.select("_in", "_range", "_before", "_sum", "_full", "_rest", "_routed", "_want")
-    rows = base.join(cut, ["_in", "_range"])
-    split = (F.col("_before") < F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_sum"))
-    whole = rows.where(~split).withColumn(
-        "_more", (F.col("_before") + F.col("_sum") <= F.col("_rest")) & (F.col("_rest") > 0))
-    along = Window.partitionBy("_in", "_range").orderBy("_hash", "_key", "_size", "_row").rowsBetween(
+    upto = F.col("_before") + F.col("_sum")
+    here = (F.col("_before") < F.col("_rest")) & (F.col("_rest") < upto)
+    # per pattern: the last range taken whole, the range that is cut, and what is before it
+    edges = cut.groupBy("_in").agg(
+        F.max(F.when((upto <= F.col("_rest")) & (F.col("_rest") > 0), F.col("_range"))).alias("_edge"),
+        F.max(F.when(here, F.col("_range"))).alias("_cut"), F.max(F.when(here, F.col("_before"))).alias("_before"))
+    # at most MAX_PATTERNS rows
+    rows = base.join(F.broadcast(plan.join(edges, "_in", "left")), "_in")
+    split = F.coalesce(F.col("_range") == F.col("_cut"), F.lit(False))
+    whole = rows.where(~split).withColumn("_more", F.coalesce(F.col("_range") <= F.col("_edge"), F.lit(False)))
+    along = Window.partitionBy("_in").orderBy("_hash", "_key", "_size", "_row").rowsBetween(
         Window.unboundedPreceding, -1)
     part = rows.where(split).withColumn(
         "_more", F.col("_before") + F.coalesce(F.sum("_size").over(along), F.lit(0)) + F.col("_size") / 2
