@@ -20,6 +20,9 @@ from tenderlake.llm import exact_dedup, jaccard_join, mixing, sentencepiece_bpe,
 from tenderlake.llm.common import fresh, saved
 
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80     # the contract of op10 (3 and 90) binds that query only
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score of 0.5 or more) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(
@@ -35,8 +38,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group connected by links one document stays."""
-    return jaccard_join.one_of_each(docs)
+    """Of each group connected by links (Jaccard similarity of the sets of
+    5-word runs of 0.8 or more) one document stays."""
+    return jaccard_join.one_of_each(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """N-gram Jaccard join by T-occurrence search.
 
-Documents are sets of word 3-grams; two link when their Jaccard similarity is
-0.9 or more.  The join is exact (grams are compared by 64-bit hash):
+Documents are sets of word ``width``-grams (3 unless the caller says); two link
+when their Jaccard similarity is ``percent`` hundredths or more (90 unless the
+caller says; 67 to 99).  The join is exact (grams are compared by 64-bit hash):
 
 1. Equal sets are one class (digest of the sorted set); only one document of
    a class goes on.
-2. Linked sets of sizes x, y differ in at most (x + y) / 19 grams.  A set is
-   dealt by gram hash into more segments than that, so linked sets agree on
+2. Linked sets of sizes x, y differ in at most (x + y) (1 - t) / (1 + t) grams
+   at the threshold t, (x + y) / 19 at 0.9.  A set is dealt by gram hash into more segments than that, so linked sets agree on
    whole segments; each segment's hash is an inverted list of sets.  Sets are
    compared within size classes a factor 1.5 wide; a set near a border is
    dealt for both classes.
@@ -32,8 +33,8 @@ Nothing of all documents is gathered in one task or at the driver, and no
 pairs are made within lists.
 
 Defined cases: documents without words (null, empty, white space) have an
-empty set and link with nothing; with one or two words the whole sequence is
-the set; repeated rows are equal sets, one class; a null id never is a
+empty set and link with nothing; with fewer words than ``width`` the whole
+sequence is the set; repeated rows are equal sets, one class; a null id never is a
 component id unless its component has no other; further columns are ignored;
 empty tables give empty results.
 """
@@ -55,7 +56,7 @@ from tenderlake.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 3, 90, 100
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-FIRST_SIZE, WIDER = 9, 1.5       # sets under nine grams only link when equal
+WIDER = 1.5                      # a linked set is at most one size class away from 0.67 on
 LONG = 16                        # most sets on a short list
 BLOCK_GRAMS = 4_000_000          # grams of a block
 PIVOTS = 16
@@ -82,7 +83,7 @@ class _Codes(dict):
         return x
 
 
-def gram_set(text: str | None, codes: _Codes) -> np.ndarray:
+def gram_set(text: str | None, codes: _Codes, width: int = N) -> np.ndarray:
     """Sorted distinct gram hashes of a text, ASCII letters in lower case."""
     if not text:
         return np.empty(0, np.uint64)
@@ -90,34 +91,39 @@ def gram_set(text: str | None, codes: _Codes) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     x = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    width = min(N, len(x))
+    width = min(width, len(x))
     h = np.full(len(x) - width + 1, width, np.uint64)
     for k in range(width):
         h = h * np.uint64(0x9E3779B97F4A7C15) + x[k:len(h) + k]
     return np.unique(_mix(h))
 
 
-def size_bounds(most: int) -> list[int]:
+def first_size(percent: int) -> int:
+    """Sets of fewer grams only link when equal."""
+    return -(-percent // (DENOMINATOR - percent))
+
+
+def size_bounds(most: int, percent: int = NUMERATOR) -> list[int]:
     """Lower bounds of the size classes up to a size."""
-    out = [FIRST_SIZE]
+    out = [first_size(percent)]
     while out[-1] <= most:
         out.append(max(out[-1] + 1, int(out[-1] * WIDER)))
     return out
 
 
-def segments(grams: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def segments(grams: np.ndarray, percent: int = NUMERATOR) -> list[tuple[int, np.ndarray]]:
     """(spare, list keys) for each size class the set is dealt in."""
     n = len(grams)
-    if n < FIRST_SIZE:
+    if n < first_size(percent):
         return []
-    bounds = size_bounds(n)
+    bounds = size_bounds(n, percent)
     own = max(j for j, b in enumerate(bounds) if b <= n)
     out = []
     for j in (own, own - 1):
-        if j < 0 or (j < own and DENOMINATOR * (bounds[own] - 1) < NUMERATOR * n):
+        if j < 0 or (j < own and DENOMINATOR * (bounds[own] - 1) < percent * n):
             continue
         top = (bounds[j + 1] if j + 1 < len(bounds) else max(bounds[j] + 1, int(bounds[j] * WIDER))) - 1
-        differ = (top + top * DENOMINATOR // NUMERATOR) // 19
+        differ = (top + top * DENOMINATOR // percent) * (DENOMINATOR - percent) // (DENOMINATOR + percent)
         spare = 1 + (differ + 1) // 6
         count = differ + 1 + spare
         sums = np.zeros(count, np.uint64)
@@ -129,7 +135,7 @@ def segments(grams: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _sets(rows: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, key -> n, digest (two longs), dealt: array of (spare, keys)."""
     schema = ("doc_id long, key long, n long, d1 long, d2 long, "
               "dealt array<struct<spare:int,keys:array<long>>>")
@@ -142,10 +148,10 @@ def _sets(rows: DataFrame) -> DataFrame:
                 b = batch.slice(at, 512)
                 n, d, spare, keys, outer = [], [], [], [], [0]
                 for t in b.column(2).to_pylist():
-                    g = gram_set(t, codes)
+                    g = gram_set(t, codes, width)
                     n.append(len(g))
                     d.append(np.frombuffer(hashlib.blake2b(g.tobytes(), digest_size=16).digest(), "<i8"))
-                    for s, k in segments(g):
+                    for s, k in segments(g, percent):
                         spare.append(s)
                         keys.append(k.view(np.int64))
                     outer.append(len(spare))
@@ -165,7 +171,7 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ families
 
-def _families(nodes: DataFrame) -> DataFrame:
+def _families(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, root): sets that candidate pairs connect.  ``nodes``: c, n,
     dealt."""
     dealt = nodes.select("c", "n", F.posexplode("dealt").alias("g", "d"))
@@ -184,7 +190,7 @@ def _families(nodes: DataFrame) -> DataFrame:
     ax, ay = (about.select(*[F.col(c).alias(f"{k}_{c}") for c in about.columns]) for k in ("x", "y"))
     near = (pairs.join(ax, F.col("x") == F.col("x_cg")).join(ay, F.col("y") == F.col("y_cg"))
             .where((F.col("shared") > F.col("x_spare") - F.least("x_longs", "y_longs", "x_spare"))
-                   & (DENOMINATOR * F.least("x_n", "y_n") >= NUMERATOR * F.greatest("x_n", "y_n")))
+                   & (DENOMINATOR * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
             .select(F.col("x").alias("cg"), F.col("y").alias("first")))
 
     many = about.where("longs > spare").select("cg")
@@ -197,7 +203,7 @@ def _families(nodes: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------- search
 
-def link_block(sizes: np.ndarray, grams: np.ndarray, asks: np.ndarray) -> list[tuple[int, int]]:
+def link_block(sizes: np.ndarray, grams: np.ndarray, asks: np.ndarray, percent: int = NUMERATOR) -> list[tuple[int, int]]:
     """Links that connect the sets of a block as all its links do.
 
     ``grams``: the sets one after the other, ``sizes`` long each; ``asks``:
@@ -216,7 +222,7 @@ def link_block(sizes: np.ndarray, grams: np.ndarray, asks: np.ndarray) -> list[t
     links = []
     for q in np.flatnonzero(asks).tolist():
         n = int(sizes[q])
-        need = -(-NUMERATOR * n // DENOMINATOR)           # T
+        need = -(-percent * n // DENOMINATOR)           # T
         mine = gram[begins[q]:ends[q]]
         mine = mine[np.argsort(length[mine], kind="stable")]
         longest = int(length[mine[-1]])
@@ -236,7 +242,7 @@ def link_block(sizes: np.ndarray, grams: np.ndarray, asks: np.ndarray) -> list[t
             near = np.flatnonzero(hits >= need - aside)
             seen = hits[near]
         fits = ((root[near] != root[q]) & (DENOMINATOR * np.minimum(sizes[near], n)
-                                           >= NUMERATOR * np.maximum(sizes[near], n)))
+                                           >= percent * np.maximum(sizes[near], n)))
         near, seen = near[fits], seen[fits]
         if len(near) > 32:
             # many candidates: all long lists are counted at once
@@ -253,20 +259,20 @@ def link_block(sizes: np.ndarray, grams: np.ndarray, asks: np.ndarray) -> list[t
                     b, e = list_begin[g], list_end[g]
                     at = b + np.searchsorted(held[b:e], x)
                     k += bool(at < e and held[at] == x)
-            if DENOMINATOR * k >= NUMERATOR * (n + int(sizes[x]) - k):
+            if DENOMINATOR * k >= percent * (n + int(sizes[x]) - k):
                 links.append((q, x))
                 root[root == root[x]] = root[q]
     return links
 
 
-def _search(blocks: DataFrame, name: str) -> DataFrame:
+def _search(blocks: DataFrame, name: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) within blocks.  ``blocks``: block, c, asks, text."""
     def to_sets(batches):
         codes = _Codes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                got = [gram_set(t, codes).tobytes() for t in b.column(3).to_pylist()]
+                got = [gram_set(t, codes, width).tobytes() for t in b.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(got, pa.binary())],
                                                  names=["block", "c", "asks", "grams"])
 
@@ -283,7 +289,7 @@ def _search(blocks: DataFrame, name: str) -> DataFrame:
                 grams.append(np.frombuffer(g, np.uint64))
         if len(c) < 2:
             return None
-        found = link_block(np.array([len(g) for g in grams]), np.concatenate(grams), np.array(asks))
+        found = link_block(np.array([len(g) for g in grams]), np.concatenate(grams), np.array(asks), percent)
         return [c[i] for i, _ in found], [c[j] for _, j in found]
 
     def run(batches):
@@ -310,19 +316,21 @@ def _search(blocks: DataFrame, name: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            block_grams: int = BLOCK_GRAMS) -> DataFrame:
+            block_grams: int = BLOCK_GRAMS, width: int = N, percent: int = NUMERATOR) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (hash of the text), n_shingles,
     component_id and ``kept`` (one row of each component)."""
+    if width < 1 or not 67 <= percent <= 99:
+        raise ValueError(f"width from 1 and percent from 67 to 99, got {width} and {percent}")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"),
                          F.col(text_col).alias("text"))
-    sets = saved(_sets(source.select("doc_id", "key", "text")).withColumn(
+    sets = saved(_sets(source.select("doc_id", "key", "text"), width, percent).withColumn(
         "row", F.monotonically_increasing_id()), "join-sets")
     # 1. classes of equal sets; the row of the first document stands for its class
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
     equal = saved(sets.where("n > 0").groupBy("d1", "d2").agg(F.min(order).alias("o"))
                   .select("d1", "d2", F.col("o.r").alias("c"), F.col("o.d").alias("first_id")), "join-classes")
     nodes = sets.join(equal.select(F.col("c").alias("row")), "row", "left_semi").withColumnRenamed("row", "c")
-    family = saved(_families(nodes.select("c", "n", "dealt")), "join-family")
+    family = saved(_families(nodes.select("c", "n", "dealt"), percent), "join-family")
 
     # 4. blocks of families
     sized = family.select(F.col("node").alias("c"), F.col("root").alias("family")).join(
@@ -345,7 +353,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    ).otherwise(F.array("part"))
     first = member.withColumn("p", F.explode(parts)).select(
         block(F.col("family"), F.col("p")).alias("block"), "c", F.lit(True).alias("asks"), "doc_id", "key")
-    links = _search(with_text(first), "join-links")
+    links = _search(with_text(first), "join-links", width, percent)
 
     # 5. families of several blocks: the rest asks the other blocks
     several = member.where("parts > 1")
@@ -360,7 +368,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         second = rest.select("family", "p", "c", F.lit(True).alias("asks"), "doc_id", "key").unionByName(
             several.select("family", F.col("part").alias("p"), "c", F.lit(False).alias("asks"), "doc_id", "key"))
         second = second.select(block(F.col("family"), F.col("p")).alias("block"), "c", "asks", "doc_id", "key")
-        links = links.unionByName(_search(with_text(second), "join-links"))
+        links = links.unionByName(_search(with_text(second), "join-links", width, percent))
 
     linked = components(links, name="join-components")
     known = equal.join(linked, equal["c"] == linked["node"], "left").select(
@@ -376,11 +384,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .withColumnRenamed("n", "n_shingles"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = N,
+                percent: int = NUMERATOR) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns: of each
     component the document with the smallest id, and every document without
     words."""
-    stay = classes(docs, id_col, text_col).where("kept").select(
+    stay = classes(docs, id_col, text_col, width=width, percent=percent).where("kept").select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.col("key").alias("_k")).distinct()
     cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*cols, F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("")).alias("_d"),
