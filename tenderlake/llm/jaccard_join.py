@@ -26,8 +26,11 @@ caller says; 67 to 99).  The join is exact (grams are compared by 64-bit hash):
    probed in the long lists by binary search, until the overlap is known.
    Candidates already connected to the query need no probe.
 5. A family of several blocks shares a few pivots with each block, which
-   connects what is common; sets outside the family's largest component are
-   then queries to its other blocks, too.
+   connects what is common.  The sets outside the family's largest component
+   are then dealt to parts of their own, and so is that component; each part
+   of the rest asks each part of the component and each part of the rest, a
+   pair of parts a block.  No block holds more than two parts, however large
+   the rest is; the number of blocks grows with rest parts x parts.
 
 Nothing of all documents is gathered in one task or at the driver, and no
 pairs are made within lists.
@@ -363,11 +366,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "root", F.coalesce("root", "c")).drop("node")
         most = (placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("k"))
                 .groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("main")))
-        rest = placed.join(most, "family").where("root != main").withColumn(
-            "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        second = rest.select("family", "p", "c", F.lit(True).alias("asks"), "doc_id", "key").unionByName(
-            several.select("family", F.col("part").alias("p"), "c", F.lit(False).alias("asks"), "doc_id", "key"))
-        second = second.select(block(F.col("family"), F.col("p")).alias("block"), "c", "asks", "doc_id", "key")
+        # a part of the rest (i) meets the parts of the largest component and of the rest (j), two parts a block
+        sided = placed.join(most, "family").join(nodes.select("c", "n"), "c").withColumn("rest", F.col("root") != F.col("main"))
+        dealt = sided.groupBy("family").agg(*[F.greatest(F.ceil(F.sum(F.when(F.col("rest") == side, F.col("n")).otherwise(0))
+                                                                / block_grams), F.lit(0)).alias(k)
+                                              for k, side in (("rests", True), ("mains", False))])
+        sided = sided.join(dealt, "family").where("rests > 0").withColumn("i", F.pmod(
+            F.xxhash64(F.lit(2), "c"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))))
+
+        def to(least: int | str, most: str):
+            least, most = (F.expr(str(x)).cast("long") for x in (least, most))
+            return F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<long>"))
+
+        rest, main = sided.where("rest"), sided.where(~F.col("rest"))
+        cols = ["family", "i", "j", "asks", "c", "doc_id", "key"]
+        # j under ``rests`` is a part of the rest, from there on one of the component
+        second = (rest.withColumn("j", F.explode(to("i", "rests + mains - 1"))).withColumn("asks", F.lit(True)).select(*cols)
+                  .unionByName(rest.withColumn("j", F.col("i")).withColumn("i", F.explode(to(0, "i - 1")))
+                               .withColumn("asks", F.lit(False)).select(*cols))
+                  .unionByName(main.withColumn("j", F.col("i") + F.col("rests")).withColumn("i", F.explode(to(0, "rests - 1")))
+                               .withColumn("asks", F.lit(False)).select(*cols)))
+        second = second.select(F.xxhash64("family", "i", "j").alias("block"), "c", "asks", "doc_id", "key")
         links = links.unionByName(_search(with_text(second), "join-links", width, percent))
 
     linked = components(links, name="join-components")

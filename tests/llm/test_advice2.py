@@ -83,3 +83,23 @@ def test_linked_sets_share_enough_segments():
 def test_other_thresholds_are_refused(spark):
     with pytest.raises(ValueError):
         J.classes(spark.createDataFrame([], "doc_id long, text string"), percent=60)
+
+
+def test_a_large_family_without_links_stays_in_bounded_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(300)]
+    rows = [(n, " ".join(template + [f"o{n}x{i}" for i in range(28)])) for n in range(120)]     # 84% alike
+    rows += [(n + 120, t + f" e{rng.randrange(9)}") for n, t in rows[:12]]                       # near copies of some
+    most, blocks = 6 * 326, []
+    search = J._search
+
+    def seen(b, *args):
+        blocks.append([r["count"] for r in b.groupBy("block").count().collect()])
+        return search(b, *args)
+
+    monkeypatch.setattr(J, "_search", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = J.classes(df, block_grams=most)
+    assert sorted({r.component_id for r in got.collect()}) == _kept(rows, 3, 90) == list(range(120))
+    # on average six sets a part; parts are dealt by hash
+    assert len(blocks) == 2 and len(blocks[0]) > 10 and max(blocks[1]) <= 5 * 6
