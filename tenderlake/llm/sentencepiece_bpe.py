@@ -5,11 +5,11 @@ The vocabulary and merge ranks come from a public SentencePiece BPE model file
 blanks with the word after it, is merged by an agenda of candidate merges,
 best score first, then leftmost (an array row a unit for short units, worked on many at
 a time, a heap for long ones).  Each candidate taken is skipped when its keyed hash falls under
-``dropout``; the key is (seed, variant of the unit's occurrence, piece, place
-in the unit), so a text's segmentation varies over its
-occurrences of a word and is the same in every run and on every executor.  An
-occurrence takes one of ``variants`` variants by a hash of (seed, document id,
-place), so results are remembered per (unit, variant).
+``dropout``; the key is (seed, document id, place of the unit in the text,
+piece, place in the unit), so each occurrence of a unit is skipped in by itself,
+and is the same in every run and on every executor.  What a unit becomes without
+skips is remembered with its merges; most occurrences have a skip at none of
+these and take it.  For the others the agenda runs.
 
 What no piece covers, and a literal U+2581, is written as byte pieces: decoding
 gives back every text, byte for byte.  With ``dropout`` 0 the segmentation is
@@ -35,13 +35,28 @@ from pyspark.sql import types as T
 from tenderlake.llm.common import fresh
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, VARIANTS, SEED = 0.1, 4, 31
+DROPOUT, SEED = 0.1, 31
+VARIANTS = 4             # occurrence numbers 0 to 3 that the tests try; encoding takes 64-bit ones
 BLANK = "▁"
 UNITS = re.compile("\n|▁|\x20*[^\x20\n▁]+|\x20+")
 SHORT = 32               # longest unit whose agenda is an array row, not a heap
 REMEMBERED = 400_000     # units a worker remembers before it starts afresh
 NONE = float("-inf")
 MASK, GOLDEN = (1 << 64) - 1, 0x9E3779B97F4A7C15
+MIX = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+PART = 1 << 16           # units whose skips are looked up at a time
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    for k in MIX:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(k)
+    return x ^ (x >> np.uint64(31))
+
+
+def _mix_one(x: int) -> int:
+    for k in MIX:
+        x = (x ^ x >> 30) * k & MASK
+    return x ^ x >> 31
 
 
 def _in_row(unit: str) -> bool:
@@ -51,8 +66,7 @@ def _in_row(unit: str) -> bool:
 class Pieces:
     """The vocabulary of a model file and the agenda over it."""
 
-    def __init__(self, model_file: str = MODEL_FILE, dropout: float = DROPOUT, seed: int = SEED,
-                 variants: int = VARIANTS):
+    def __init__(self, model_file: str = MODEL_FILE, dropout: float = DROPOUT, seed: int = SEED):
         from sentencepiece import SentencePieceProcessor
         m = SentencePieceProcessor(model_file=model_file)
         self.ids, self.score, self.byte = {}, {}, [0] * 256
@@ -65,15 +79,12 @@ class Pieces:
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.ids[p], self.score[p] = i, m.get_score(i)
                 self.raw[i] = p.replace(BLANK, " ").encode()
-        self.limit, self.seed, self.variants = int(dropout * (1 << 32)), seed, variants if dropout else 1
-        x = np.arange(self.variants * len(self.raw), dtype=np.uint64) + np.uint64(seed * GOLDEN & MASK)
-        for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(k)
-        self.keys = (x >> np.uint64(32)).astype(np.int64).reshape(self.variants, -1)
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.count = 0
+        self.limit, self.seed = int(dropout * (1 << 32)), seed
+        self.keys = _mix(np.arange(len(self.raw), dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(_mix_one(seed & MASK)))
+        self._forget()
         # the vocabulary as arrays: single characters, pairs that make a piece
         self.strings = {i: p for p, i in self.ids.items()}
+        self.blank = np.array([self.byte[b] for b in BLANK.encode()], dtype="<i4").tobytes()
         self.scores = np.full(len(self.raw), NONE)
         for p, i in self.ids.items():
             self.scores[i] = self.score[p]
@@ -83,6 +94,12 @@ class Pieces:
                        for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
         self.pairs, self.pair_ids = (np.array(x) for x in zip(*pairs))
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}      # unit: its place in the following
+        self.spelt: list[bytes] = []
+        self.begin, self.steps = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.path = np.empty(0, np.uint64)   # keys of the merges without skips, unit after unit
+
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two pieces make, -1 if none."""
         key = a * len(self.raw) + b
@@ -90,9 +107,12 @@ class Pieces:
         at[at == len(self.pairs)] = 0
         return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
 
-    def _merged_short(self, units: list[str], variants: np.ndarray) -> list[bytes]:
+    def _merged_short(self, units: list[str], occurrences: np.ndarray | None,
+                      path: list | None = None) -> list[bytes]:
         """Ids of many short units at once, one row each: the agenda of a row
-        is the score of the pair that begins at each place."""
+        is the score of the pair that begins at each place.  No occurrences:
+        no skips.  ``path`` takes (rows, keys) of the merges."""
+        occurrences = None if occurrences is None else occurrences.astype(np.uint64)
         n, wide = len(units), max(map(len, units))
         code = np.array(units, dtype=f"<U{wide}").view("<u4").reshape(n, wide)
         size = np.count_nonzero(code, axis=1)
@@ -112,9 +132,15 @@ class Pieces:
             some = agenda[live, i] > NONE
             live, i = live[some], i[some]
             new = made[live, i]
-            drop = ((self.keys[variants[live], new] ^ (i * 0x9E3779B1)) * 0x85EBCA6B & 0xFFFFFFFF) < self.limit
-            agenda[live[drop], i[drop]] = NONE
-            r, i, new = live[~drop], i[~drop], new[~drop]
+            r = live
+            if path is not None or occurrences is not None:
+                key = self.keys[new] + i.astype(np.uint64) * np.uint64(GOLDEN)
+            if path is not None:
+                path.append((r, key))
+            if occurrences is not None:
+                drop = self._skipped(occurrences[r] + key)
+                agenda[r[drop], i[drop]] = NONE
+                r, i, new = r[~drop], i[~drop], new[~drop]
             j = after[r, i]
             k, h = after[r, j], ahead[r, i]
             piece[r, i], alive[r, j], agenda[r, j], agenda[r, i] = new, False, NONE, NONE
@@ -135,6 +161,9 @@ class Pieces:
                                 for c, x in enumerate(piece[r].tolist()) if alive[r, c]])
         return got
 
+    def _skipped(self, keys: np.ndarray) -> np.ndarray:
+        return (_mix(keys) >> np.uint64(32)) < self.limit
+
     def _ids(self, parts: list[str]) -> bytes:
         """Ids as little-endian 32-bit integers; byte pieces where there is none."""
         out = []
@@ -146,11 +175,11 @@ class Pieces:
                 out.append(i)
         return np.array(out, dtype="<i4").tobytes()
 
-    def _merged_long(self, unit: str, variant: int) -> list[str]:
+    def _merged_long(self, unit: str, occurrence: int) -> list[str]:
         """The same with a heap and linked neighbours."""
         part: list[str | None] = list(unit)
         n, ids, score, limit = len(part), self.ids, self.score, self.limit
-        keys = self.keys[variant]
+        keys = self.keys
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
         for i in range(n - 1):
@@ -163,7 +192,7 @@ class Pieces:
             # merges away since: one side is gone or has grown
             if part[i] is None or part[j] is None or right[i] != j or part[i] + part[j] != both:
                 continue
-            if (int(keys[ids[both]]) ^ i * 0x9E3779B1) * 0x85EBCA6B & 0xFFFFFFFF < limit:
+            if limit and _mix_one(occurrence + int(keys[ids[both]]) + i * GOLDEN & MASK) >> 32 < limit:
                 continue
             part[i], part[j] = both, None
             right[i] = k = right[j]
@@ -179,50 +208,66 @@ class Pieces:
                     heapq.heappush(agenda, (-score[more], h, more, i))
         return [p for p in part if p is not None]
 
-    def _places(self, n: int, key: int) -> list[int]:
-        """The variant of each of a text's units."""
-        if self.variants == 1:
-            return [0] * n
-        x = (np.arange(n, dtype=np.uint64) + np.uint64(key & MASK)) * np.uint64(GOLDEN)
-        x = (x ^ (x >> np.uint64(31)) ^ np.uint64(self.seed & MASK)) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((x >> np.uint64(33)) % np.uint64(self.variants)).tolist()
+    def _occurrences(self, n: int, key: int) -> np.ndarray:
+        """A number for each of a text's units."""
+        text = _mix_one((key & MASK) ^ _mix_one(self.seed + 1 & MASK))
+        return _mix(np.arange(n, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(text))
 
     def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Ids of whole texts, as little-endian 32-bit integers."""
         units = [UNITS.findall(" " + t) if t else [] for t in texts]
-        places = [self._places(len(u), k) for u, k in zip(units, keys)]
-        if self.count > REMEMBERED:
-            self.known, self.count = [{} for _ in range(self.variants)], 0
-        known, missing = self.known, {}
-        get = [k.get for k in known]
-        found = [[get[v](u) for u, v in zip(us, vs)] for us, vs in zip(units, places)]
-        late = [i for i, f in enumerate(found) if None in f]
-        for i in late:
-            for f, u, v in zip(found[i], units[i], places[i]):
-                if f is None:
-                    missing[u, v] = None
-        self._learn(list(missing))
-        for i in late:
-            found[i] = [get[v](u) if f is None else f for f, u, v in zip(found[i], units[i], places[i])]
-        for u, v in missing:
-            if len(u) > SHORT:
-                del known[v][u]
-        return [b"".join(f) for f in found]
-
-    def _learn(self, missing: list[tuple[str, int]]) -> None:
-        missing.sort(key=lambda x: len(x[0]))
-        short = [x for x in missing if _in_row(x[0])]
-        for at in range(0, len(short), 4096):
-            part = short[at:at + 4096]
-            got = self._merged_short([u.replace(" ", BLANK) for u, _ in part], np.array([v for _, v in part]))
-            for (u, v), g in zip(part, got):
-                self.known[v][u] = g
-        for u, v in missing:
-            if u == BLANK:
-                self.known[v][u] = np.array([self.byte[b] for b in BLANK.encode()], dtype="<i4").tobytes()
-            elif not _in_row(u):
-                self.known[v][u] = self._ids(self._merged_long(u.replace(" ", BLANK), v))
-        self.count += len(missing)
+        ends = np.cumsum([0] + [len(u) for u in units]).tolist()
+        flat = [u for us in units for u in us]
+        if not flat:
+            return [b""] * len(texts)
+        occurrences = np.concatenate([self._occurrences(len(u), k) for u, k in zip(units, keys)])
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        self._learn([u for u in set(flat).difference(self.known) if _in_row(u)])
+        get = self.known.get
+        at = np.fromiter((get(u, -1) for u in flat), np.int64, len(flat))
+        spelt = [*self.spelt, b""]            # the last one for units that aren't rows
+        got = [spelt[i] for i in at.tolist()]
+        again = self._with_skips(at, occurrences) if self.limit else []
+        again = sorted(again, key=lambda i: len(flat[i]))
+        for x in range(0, len(again), 4096):
+            part = again[x:x + 4096]
+            for i, g in zip(part, self._merged_short([flat[i].replace(" ", BLANK) for i in part], occurrences[part])):
+                got[i] = g
+        for i in np.flatnonzero(at < 0).tolist():
+            got[i] = (self.blank if flat[i] == BLANK else
+                      self._ids(self._merged_long(flat[i].replace(" ", BLANK), int(occurrences[i]))))
+        return [b"".join(got[x:y]) for x, y in zip(ends[:-1], ends[1:])]
+
+    def _with_skips(self, at: np.ndarray, occurrences: np.ndarray) -> list[int]:
+        """Which units have a skip at one of their merges."""
+        out = []
+        rows = np.flatnonzero(at >= 0)
+        for x in range(0, len(rows), PART):
+            r = rows[x:x + PART]
+            steps = self.steps[at[r]]
+            r, steps = r[steps > 0], steps[steps > 0]
+            if len(r):
+                first = np.cumsum(steps) - steps
+                step = np.arange(int(steps.sum())) + np.repeat(self.begin[at[r]] - first, steps)
+                skipped = self._skipped(np.repeat(occurrences[r], steps) + self.path[step])
+                out += r[np.logical_or.reduceat(skipped, first)].tolist()
+        return out
+
+    def _learn(self, missing: list[str]) -> None:
+        """Remember units (rows of the agenda) as they are without skips."""
+        missing.sort(key=len)
+        steps, keys = [self.steps], [self.path]
+        for at in range(0, len(missing), 4096):
+            part, path = missing[at:at + 4096], []
+            self.spelt += self._merged_short([u.replace(" ", BLANK) for u in part], None, path)
+            rows, key = (np.concatenate(x) for x in zip(*path)) if path else (np.empty(0, np.int64), np.empty(0, np.uint64))
+            steps.append(np.bincount(rows, minlength=len(part)))
+            keys.append(key[np.argsort(rows, kind="stable")])
+        for u in missing:
+            self.known[u] = len(self.known)
+        self.steps, self.path = np.concatenate(steps), np.concatenate(keys)
+        self.begin = np.cumsum(self.steps) - self.steps
 
     def decode(self, ids) -> str:
         raw = self.raw
@@ -245,7 +290,7 @@ def _texts(column) -> list[str]:
 
 
 def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", into: str = "pieces",
-           model_file: str = MODEL_FILE, dropout: float = DROPOUT, variants: int = VARIANTS,
+           model_file: str = MODEL_FILE, dropout: float = DROPOUT,
            seed: int = SEED, drop_text: bool = False) -> DataFrame:
     """``docs`` with the ids of the text's pieces as array<int>; the text goes
     with ``drop_text``."""
@@ -256,7 +301,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", into
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(into, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches):
-        p = _pieces(model_file, dropout, seed, variants)
+        p = _pieces(model_file, dropout, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
@@ -276,7 +321,7 @@ def decode(rows: DataFrame, pieces_col: str = "pieces", into: str = "decoded",
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(into, T.StringType())])
 
     def run(batches):
-        p = _pieces(model_file, 0.0, 0, 1)
+        p = _pieces(model_file, 0.0, 0)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)

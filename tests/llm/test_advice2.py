@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline as C
 from tenderlake.llm import jaccard_join as J
+from tenderlake.llm import sentencepiece_bpe as P
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -103,3 +104,32 @@ def test_a_large_family_without_links_stays_in_bounded_blocks(spark, monkeypatch
     assert sorted({r.component_id for r in got.collect()}) == _kept(rows, 3, 90) == list(range(120))
     # on average six sets a part; parts are dealt by hash
     assert len(blocks) == 2 and len(blocks[0]) > 10 and max(blocks[1]) <= 5 * 6
+
+
+# ------------------------------------------------------------ SentencePiece
+
+def test_each_occurrence_is_skipped_in_by_itself():
+    p, plain, n = P.Pieces(), P.Pieces(P.MODEL_FILE, 0.0), 20_000
+    for word in ("the", "of", "interesting", "government"):
+        path = []
+        whole = plain._merged_short(["▁" + word], None, path)[0]
+        got = [bytes(g) for g in p.encode([word] * n, list(range(n)))]                 # over documents
+        first = p._skipped(p._occurrences(n, 7) + path[0][1][0])
+        assert abs(first.mean() - P.DROPOUT) < 0.015                                     # the first merge
+        # and over places of one text: the share without any skip
+        long_ = p._with_skips(np.full(n, p.known[" " + word]), p._occurrences(n, 7))
+        want = 1 - (1 - P.DROPOUT) ** sum(len(r) for r, _ in path)
+        assert abs(len(long_) / n - want) < 0.02
+        differ = sum(g != whole for g in got) / n
+        assert 0 < differ <= want + 0.02 and differ >= 0.05
+    assert len(set(got)) > 4
+
+
+def test_remembered_or_not_it_is_the_agenda_of_the_occurrence():
+    p = P.Pieces()
+    text = " ".join(["interesting words", "xyzzyx", "▁", "a" * 50, "n\0l", "漢字 é"] * 30)
+    units = P.UNITS.findall(" " + text)
+    want = b"".join(p.blank if u == P.BLANK else p._ids(p._merged_long(u.replace(" ", P.BLANK), int(o)))
+                    for u, o in zip(units, p._occurrences(len(units), 5)))
+    assert p.encode([text, ""], [5, 6]) == [want, b""] == p.encode([text, ""], [5, 6])
+    assert p.decode(np.frombuffer(want, "<i4").tolist()) == text
