@@ -9,7 +9,9 @@ with a smaller id.  Windows are judged on the input.
    (this is the combine before the shuffle: a passage in a third of all
    documents leaves a batch once).
 2. Consecutive windows that share a minimiser (the smallest hash among their
-   runs of three words) form a super-k-mer; it travels as one packed string, to
+   runs of three words that aren't frequent; frequent ones are counted first, on
+   a sample and on all very long texts; where all are frequent, the hash of the
+   whole window) form a super-k-mer; it travels as one packed string, to
    the bucket of its minimiser.  Equal windows have equal minimisers, so they
    meet.  The strings of one batch and bucket share one compressed row.
 3. A bucket sorts all its windows and finds equal ones exactly (by a hash,
@@ -17,8 +19,11 @@ with a smaller id.  Windows are judged on the input.
 4. The intervals of each document, gathered by document, are cut from its
    text.
 
-The number of buckets follows the size of the input, so a bucket's strings fit
-a task at every size.
+The number of buckets follows the size of the input.  A minimiser's strings
+meet in one bucket; they are about ``FREQUENT`` at most, as runs of words with
+more places are no minimisers, so a line in many documents spreads over its
+neighbours' buckets.  The sample decides on the dealing only: equal windows have
+equal keys whatever it holds.
 
 Defined cases: a null text has no words; texts under ``WIDTH`` words lose
 nothing; rows that repeat an id are separate texts with that id (none is
@@ -41,6 +46,8 @@ from tenderlake.llm.common import add_columns
 WIDTH, MINIMISER = 13, 3
 BATCH_CHARS = 4_000_000      # texts worked on at a time
 BUCKET_CHARS = 8_000_000     # text that a bucket stands for, on average
+FREQUENT = 50_000            # most strings (of up to 2 x WIDTH words) that a minimiser should get
+SAMPLE_CHARS, LEAST_SHARE, LONG_TEXT = 16_000_000, 1 / 64, 1_000_000
 LEVEL = 6                    # of compression
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -139,8 +146,56 @@ def _unpack(blob: bytes) -> tuple[str, dict[str, np.ndarray]]:
     return raw[at:].decode(), out
 
 
-def _batch(rows: list[tuple[int, int, str]], buckets: int, width: int):
-    """(bucket, packed row) of a batch of (document id, key, text)."""
+def _places(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and their places in the texts; places of which one window can hold
+    two count once."""
+    import xxhash
+    numbers = _Numbers()
+    found = [numbers.of(WORDS.findall(t)) for t in texts]
+    code = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+    sizes = np.array([len(x) for x in found])
+    if not sizes.sum():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    ends = np.cumsum(sizes)
+    # one long row; texts lie a window apart
+    grams = _rolled(code[np.concatenate(found)], MINIMISER)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    whole = text[:len(grams)] == text[MINIMISER - 1:]
+    at = (np.arange(len(grams)) + text[:len(grams)] * width)[whole]
+    grams = grams[whole]
+    order = np.argsort(grams, kind="stable")
+    grams, at = grams[order], at[order]
+    first = np.append(True, grams[1:] != grams[:-1])[:len(grams)]
+    counts = first | np.append(True, np.diff(at) > width - MINIMISER)[:len(grams)]
+    begin = np.flatnonzero(first)
+    return grams[begin], np.add.reduceat(counts.astype(np.int64), begin) if len(begin) else np.empty(0, np.int64)
+
+
+def frequent(rows: DataFrame, chars: int, width: int) -> np.ndarray:
+    """Sorted hashes of the runs of ``MINIMISER`` words with over ``FREQUENT``
+    places, estimated.  ``rows``: doc_id, key, text."""
+    share = min(1.0, max(LEAST_SHARE, SAMPLE_CHARS / max(chars, 1)))
+    long_ = F.length("text") >= LONG_TEXT
+    picked = F.pmod(F.xxhash64(F.lit(9), "doc_id", "key"), F.lit(1 << 20)) < int(share * (1 << 20))
+    part = rows.where(long_ | picked).select(F.when(long_, 1.0).otherwise(1 / share).alias("weight"), "text")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                weights, texts = (batch.slice(at, 256).column(i).to_pylist() for i in range(2))
+                for w in set(weights):
+                    grams, n = _places([t for t, x in zip(texts, weights) if x == w], width)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n * w)],
+                                                     names=["gram", "places"])
+
+    many = part.mapInArrow(run, "gram long, places double").groupBy("gram").agg(F.sum("places").alias("places"))
+    got = many.where(F.col("places") > FREQUENT).select("gram").collect()     # words of the input / FREQUENT at most
+    return np.sort(np.array([r.gram for r in got], np.int64).view(np.uint64))
+
+
+def _batch(rows: list[tuple[int, int, str]], buckets: int, width: int, common: np.ndarray = np.empty(0, np.uint64)):
+    """(bucket, packed row) of a batch of (document id, key, text).  ``common``:
+    grams that are no minimisers."""
     import xxhash
     numbers = _Numbers()
     words: list[str] = []
@@ -170,10 +225,17 @@ def _batch(rows: list[tuple[int, int, str]], buckets: int, width: int):
     code = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
     grams = _rolled(code[ids], MINIMISER)
     span = width - MINIMISER + 1
+    top = np.uint64(1 << 63)
+    if len(common):
+        place = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        grams = grams >> np.uint64(1) | np.where(common[place] == grams, top, np.uint64(0))
     least = grams[:len(grams) - span + 1].copy()
     for k in range(1, span):
         np.minimum(least, grams[k:len(grams) - span + 1 + k], out=least)
     least = least[starts]
+    if len(common):
+        only = least >= top
+        least[only] = _rolled(code[ids], width)[starts[only]]
     a, b = _runs(starts, row_of[starts], least)
     bucket = (least[a] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -236,12 +298,13 @@ def intervals(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, -(-chars // BUCKET_CHARS))
+    common = frequent(rows, chars, width)
 
     def deal(batches):
         held, size = [], 0
 
         def flush():
-            got = list(_batch(held, buckets, width))
+            got = list(_batch(held, buckets, width, common))
             return pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())],
                 names=["bucket", "packed"])

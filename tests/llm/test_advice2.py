@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline as C
 from tenderlake.llm import jaccard_join as J
 from tenderlake.llm import sentencepiece_bpe as P
+from tenderlake.llm import substring_dedup as D
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -133,3 +134,44 @@ def test_remembered_or_not_it_is_the_agenda_of_the_occurrence():
                     for u, o in zip(units, p._occurrences(len(units), 5)))
     assert p.encode([text, ""], [5, 6]) == [want, b""] == p.encode([text, ""], [5, 6])
     assert p.decode(np.frombuffer(want, "<i4").tolist()) == text
+
+
+# --------------------------------------------------- substring deduplication
+
+def _with_line(n):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    line = [f"licence{i}" for i in range(12)]
+    passage = [word() for _ in range(40)]
+    rows = []
+    for i in range(n):
+        w = [word() for _ in range(60)]
+        at = rng.randrange(60)
+        w[at:at] = line if i % 3 else line + passage[rng.randrange(9):]
+        rows.append((i, " ".join(w)))
+    return rows + [(n, " ".join(line * 4)), (n + 1, " ".join(line * 5))]
+
+
+def test_a_common_line_spreads_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(D, "FREQUENT", 40)
+    rows = _with_line(300)
+    docs = spark.createDataFrame([(d, d, t) for d, t in rows], "doc_id long, key long, text string")
+    common = D.frequent(docs, sum(len(t) for _, t in rows), 13)
+    assert len(common) >= 10
+    strings = lambda *hot: sorted(len(D._unpack(blob)[1]["seg_doc"])
+                                  for _, blob in D._batch([(d, d, t) for d, t in rows], 100_003, 13, *hot))
+    # a bucket a minimiser: with the line's grams as minimisers one holds every document
+    assert strings()[-1] >= 250 and strings(common)[-1] <= D.FREQUENT
+    # exact, whatever is common
+    monkeypatch.setattr(D, "BATCH_CHARS", 3000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.kept) for r in D.cut_repeats(df).collect())
+    first, want = {}, []
+    for d, t in rows:
+        w = t.split(" ")
+        keep = [True] * len(w)
+        for k in range(len(w) - 12):
+            if first.setdefault(tuple(w[k:k + 13]), d) < d:
+                keep[k:k + 13] = [False] * 13
+        want.append((d, " ".join(x for x, y in zip(w, keep) if y)))
+    assert got == want
