@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm import (
-    chat, exact_dedup, jaccard_join, mixing, quality_rules, secrets, sentencepiece_bpe, substring_dedup, toxicity,
-    url_filter)
+    chat, collocations, exact_dedup, jaccard_join, mixing, quality_rules, secrets, sentencepiece_bpe, substring_dedup,
+    toxicity, url_filter)
 from tenderlake.llm.common import text_or_empty, without_spaces
 
 
@@ -144,9 +144,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op4_secret_scan, op5_sentencepiece,
-    op6_source_mixing, op7_url_filter, op8_toxicity, op9_substring_dedup, op10_jaccard_join)}
+    op6_source_mixing, op7_url_filter, op8_toxicity, op9_substring_dedup, op10_jaccard_join, op11_collocations)}
 
 ORACLES: dict[str, str] = {}
 
@@ -224,6 +228,30 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
+# Every phrase at every place, then cuts, containment and ranks of the frequent ones.
+_BREAKS = ".,;:!?\\x0A-\\x0D"
+ORACLES["op11_collocations"] = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09{_BREAKS}]+|[{_BREAKS}]') AS w FROM documents),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+p AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s, (VALUES (1), (2), (3), (4)) v(k)
+      WHERE i + k - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM p WHERE NOT regexp_matches(phrase, '[{_BREAKS}]') GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT lang, phrase, a, unnest(range(1, k)) AS cut, w, k FROM c),
+y AS (SELECT x.lang, x.phrase, a, cut, u.f AS l, v.f AS r, (2000000::HUGEINT * a) // (u.f + v.f) AS score FROM x
+      JOIN f u ON u.lang = x.lang AND u.phrase = array_to_string(w[:cut], ' ')
+      JOIN f v ON v.lang = x.lang AND v.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), (score, cut)) AS best FROM y GROUP BY ALL),
+g AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c t ON s.lang = t.lang AND t.k > s.k
+      AND 100::HUGEINT * t.a >= 80::HUGEINT * s.a AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+o AS (SELECT lang, phrase, a, best.l AS l, best.r AS r, CAST(best.score AS BIGINT) AS score,
+        row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank
+      FROM b ANTI JOIN g ON g.lang = b.lang AND g.phrase = b.phrase)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def _duck_draw(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 6) AS INT)"
