@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm import (
-    chat, collocations, exact_dedup, jaccard_join, mixing, quality_rules, secrets, sentencepiece_bpe, substring_dedup,
-    toxicity, url_filter)
+    bit_sliced, chat, collocations, exact_dedup, hard_negatives, jaccard_join, mixing, quality_rules, secrets,
+    sentencepiece_bpe, substring_dedup, toxicity, url_filter)
 from tenderlake.llm.common import text_or_empty, without_spaces
 
 
@@ -148,9 +148,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_exact_dedup, op3_chat_formatting, op4_secret_scan, op5_sentencepiece,
-    op6_source_mixing, op7_url_filter, op8_toxicity, op9_substring_dedup, op10_jaccard_join, op11_collocations)}
+    op6_source_mixing, op7_url_filter, op8_toxicity, op9_substring_dedup, op10_jaccard_join, op11_collocations,
+    op12_hard_negatives, op13_top_k)}
 
 ORACLES: dict[str, str] = {}
 
@@ -252,6 +262,33 @@ o AS (SELECT lang, phrase, a, best.l AS l, best.r AS r, CAST(best.score AS BIGIN
 SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
 """
 
+def _duck_vectors(times: int, more: str, where: str) -> str:
+    return (f"SELECT vec_id, {more} list_transform(embedding, lambda x: floor({times} * CAST(x AS DOUBLE))) AS v "
+            f"FROM embeddings WHERE {where} embedding IS NOT NULL "
+            "AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0")
+
+
+# All scores of each anchor, its positives, then the rows in each window.
+ORACLES["op12_hard_negatives"] = f"""
+WITH e AS ({_duck_vectors(256, "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,", "label IS NOT NULL AND")}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hard_negatives.POSITIVES}),
+n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score, CAST(row_number() OVER (
+        PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {hard_negatives.NEGATIVES}
+"""
+
+ORACLES["op13_top_k"] = f"""
+WITH e AS ({_duck_vectors(64, "", "")}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= {bit_sliced.K}
+"""
+
 
 def _duck_draw(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 6) AS INT)"
