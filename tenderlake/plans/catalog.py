@@ -360,6 +360,24 @@ def q_role_classify(spark: SparkSession, d: str) -> DataFrame:
     return roles.select("cluster_id", "role_category", F.array_join("role_tags", "|").alias("role_tags"))
 
 
+PHRASE_TAXONOMY = {
+    "four": ["and attion to thanedble", "the the the the", "of of of of", "und und und und"],
+    "three": ["of the and", "in the of", "to thanedble the", "the and the", "de la la"],
+    "two": ["of the", "the of", "de la", "und der", "la la"],
+    "six": ["and attion to thanedble the, anea", "stteen erachtz. ietzte. stteen erachtz. ietzte"],
+    "one": ["attion"],
+}
+
+
+@query("role_classify_phrases")
+def q_role_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """F1 with keywords of up to six words over clusters whose every record is
+    one word."""
+    recs, clusters, links = inputs.word_records(spark, d)
+    roles = classify(clusters, links, recs, FilterPolicy.build(PHRASE_TAXONOMY))
+    return roles.select("cluster_id", "role_category", F.array_join("role_tags", "|").alias("role_tags"))
+
+
 @query("relevance_score")
 def q_relevance(spark: SparkSession, d: str) -> DataFrame:
     recs, clusters, links = inputs.listing_memberships(spark, d)

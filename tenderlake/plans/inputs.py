@@ -57,6 +57,17 @@ def listing_memberships(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     return recs, *memberships(recs)
 
 
+def word_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, clusters, links): every document is a cluster and each of its
+    words, as the text has them between blanks, a record of its own."""
+    docs = staging.table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.col("doc_id").alias("cluster_id"), F.posexplode(F.split("text", " ")).alias("pos", "title"))
+    records = words.select((F.col("cluster_id") * (1 << 24) + F.col("pos")).alias("record_id"), "cluster_id", "title",
+                           *[F.lit(None).cast("string").alias(c) for c in ("summary", "description", "broker", "source_url")])
+    clusters = docs.select(F.col("doc_id").alias("cluster_id"), F.lit("").alias("title"), F.lit(None).cast("string").alias("customer"))
+    return records.drop("cluster_id"), clusters, records.select("cluster_id", "record_id")
+
+
 # ------------------------------------------------------------ source shapes
 NOTICE_JSON_KEYS = ("agreement_type", "buyer", "category", "customer", "deadline", "description",
                     "external_id", "id", "notice_id", "notice_type", "published_at", "status",
@@ -212,10 +223,7 @@ def digest_scenario(spark: SparkSession, sf_dir: str, policy=None) -> DigestScen
     pol = policy or FilterPolicy.build()
     sc = cluster_scenario(spark, sf_dir)
     res = sc.result
-    counts = res.links.groupBy("cluster_id").agg(F.count(F.lit(1)).cast("bigint").alias("source_count"))
-    scored = (score_clusters(res.clusters, res.links, sc.all_records, pol)
-              .join(counts, "cluster_id", "left")
-              .withColumn("source_count", F.coalesce("source_count", F.lit(0).cast("bigint"))))
+    scored = score_clusters(res.clusters, res.links, sc.all_records, pol)
     digests = synthetic_digests(res.clusters)
     inc = include_in_digest(F.col("review_status"), F.col("confidence"), F.col("relevance_score"), pol)
     plan = plan_digest(scored, digests, inc)

@@ -613,6 +613,21 @@ def _role_classify() -> str:
 CAPACITY_PROFILE = {"data_engineering": 2, "backend": 0, "frontend": 7, "security": 1}
 
 
+@oracle("role_classify_phrases")
+def _role_phrases() -> str:
+    from tenderlake.plans.catalog import PHRASE_TAXONOMY
+    parts = []
+    for role, kws in PHRASE_TAXONOMY.items():
+        s = " + ".join(f"CAST({q.has_word('h', k)} AS INTEGER)" for k in kws)
+        parts.append(f"SELECT cluster_id, {q.sq(role)} AS role, {s} AS score FROM hay")
+    return f"""WITH hay AS MATERIALIZED (SELECT doc_id AS cluster_id, {q.nt("coalesce(text, '')")} AS h FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, role DESC) AS rn FROM s WHERE score > 0)
+SELECT h.cluster_id, coalesce(max(r.role) FILTER (WHERE r.rn = 1), 'generalist') AS role_category,
+  coalesce(string_agg(r.role, '|' ORDER BY r.rn) FILTER (WHERE r.rn <= 3), '') AS role_tags
+FROM hay h LEFT JOIN r ON r.cluster_id = h.cluster_id GROUP BY h.cluster_id"""
+
+
 @oracle("relevance_score")
 def _relevance() -> str:
     score, why = relevance_sql("c.confidence", "r.role_category", CAPACITY_PROFILE, "high_recall")
