@@ -3,9 +3,10 @@
 The original processes records one at a time; results depend on arrival
 order.  Here order is the record id (``record_id``: later = newer) and every
 order-dependent quantity is computed with aggregates + joins, never with a
-per-cluster array or a window over the whole cluster, so a hot cluster key
-(e.g. the all-empty key ``||``) is handled by partial aggregation and AQE
-skew-join splitting instead of landing in one task.
+per-cluster array or a window over the whole cluster.  Aggregates combine
+before the shuffle, and every join of records or links on their cluster deals
+out the rows of heavy clusters (:mod:`tenderlake.operators.skew`), so a hot key
+(e.g. the all-empty key ``||``) never lands in one task.
 
 Record columns used: record_id, raw_id, title, customer, broker, deadline,
 source_url, source_type, source_kind, platform, host, extraction_confidence.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tenderlake.functions import fixed
 from tenderlake.functions.kinds import source_rank, with_priority_key
 from tenderlake.functions.text import normalize_text, normalize_url, truthy
+from tenderlake.operators.skew import PART, HeavyKeys, spread_join
 
 CLUSTER_COLS = ["cluster_id", "cluster_key", "title", "customer", "confidence",
                 "review_status"]
@@ -60,6 +62,7 @@ def batch_cluster_summary(keyed: DataFrame) -> DataFrame:
     """One row per cluster key of the batch (partial-aggregation friendly)."""
     return (keyed.groupBy("cluster_key").agg(
         F.min("record_id").alias("b_first_id"),
+        F.count(F.lit(1)).alias("b_rows"),
         _first_truthy("title").alias("b_title"),
         _first_truthy("customer").alias("b_customer"),
         F.max("_rec_conf").alias("b_conf"),
@@ -100,7 +103,7 @@ class ClusterResult:
     detached: DataFrame      # cluster_id of clusters that lost superseded links
 
 
-def match_scores(keyed: DataFrame, clusters: DataFrame, summary: DataFrame,
+def match_scores(keyed: DataFrame, summary: DataFrame,
                  state_clusters: DataFrame | None = None,
                  prior_deadlines: DataFrame | None = None) -> DataFrame:
     """Order-dependent similarity of each batch record to its cluster.
@@ -111,32 +114,35 @@ def match_scores(keyed: DataFrame, clusters: DataFrame, summary: DataFrame,
       value if it arrived at or before this record, else empty.
     * deadline: the record's normalized deadline was already attached to the
       cluster before it (stored links or an earlier batch record).
-    """
-    r = keyed.join(summary.select("cluster_key", "b_title", "b_customer"), "cluster_key")
+
+    What is known of a key, and of a key and deadline, is one row each before
+    records meet it, in two joins that deal out the records of heavy keys."""
+    per_key = summary.select("cluster_key", "b_first_id", "b_title", "b_customer")
     if state_clusters is not None:
-        st = state_clusters.select("cluster_key", F.col("title").alias("s_title"),
+        st = state_clusters.select("cluster_key", F.col("cluster_id").alias("s_id"), F.col("title").alias("s_title"),
                                    F.col("customer").alias("s_customer"))
-        r = r.join(st, "cluster_key", "left")
+        per_key = per_key.join(st, "cluster_key", "left")
     else:
-        r = (r.withColumn("s_title", F.lit(None).cast("string"))
-             .withColumn("s_customer", F.lit(None).cast("string")))
+        per_key = per_key.select("*", F.lit(None).cast("bigint").alias("s_id"),
+                                 *[F.lit(None).cast("string").alias(c) for c in ("s_title", "s_customer")])
+    per_key = per_key.withColumn("cluster_id", F.coalesce("s_id", "b_first_id")).drop("s_id", "b_first_id")
+    keyed = keyed.select("cluster_key", "record_id", "title", "customer", "source_url",
+                         normalize_text("deadline").alias("_dl"))
+    deadlines = (keyed.where(F.col("_dl") != "")
+                 .select("cluster_key", "_dl", F.col("record_id").alias("_at"), F.lit(False).alias("_was")))
+    if prior_deadlines is not None:
+        deadlines = deadlines.unionByName(prior_deadlines.select(
+            "cluster_key", "_dl", F.lit(None).cast("bigint").alias("_at"), F.lit(True).alias("_was")))
+    # earliest batch record per (key, deadline), and whether a stored link has it
+    deadlines = deadlines.groupBy("cluster_key", "_dl").agg(F.min("_at").alias("_dl_first"), F.max("_was").alias("_dl_prior"))
+    heavy = HeavyKeys(summary, "cluster_key", "b_rows")
+    r = heavy.dealt(keyed, "record_id").join(heavy.repeated(per_key), ["cluster_key", PART])
+    r = r.join(heavy.repeated(deadlines), ["cluster_key", "_dl", PART], "left")
 
     def as_of(stored: str, first: str) -> Column:
         return F.coalesce(truthy(stored),
                           F.when(F.col(f"{first}.s") <= F.col("record_id"), F.col(f"{first}.v")))
 
-    dl = normalize_text("deadline")
-    r = r.withColumn("_dl", dl)
-    # earliest batch record per (key, deadline): an aggregate, joined back.
-    first_dl = (r.where(F.col("_dl") != "").groupBy("cluster_key", "_dl")
-                .agg(F.min("record_id").alias("_dl_first")))
-    r = r.join(first_dl, ["cluster_key", "_dl"], "left")
-    if prior_deadlines is not None:
-        pdl = prior_deadlines.select("cluster_key", F.col("_dl"), F.lit(True).alias("_dl_prior")).distinct()
-        r = r.join(pdl, ["cluster_key", "_dl"], "left")
-    else:
-        r = r.withColumn("_dl_prior", F.lit(None).cast("boolean"))
-
     url_hit = normalize_url("source_url") != ""
     title_hit = normalize_text("title") == normalize_text(as_of("s_title", "b_title"))
     cust_hit = normalize_text("customer") == normalize_text(as_of("s_customer", "b_customer"))
@@ -148,22 +154,21 @@ def match_scores(keyed: DataFrame, clusters: DataFrame, summary: DataFrame,
              + F.when(dl_hit, F.lit(fixed.MATCH_WEIGHT_DEADLINE)).otherwise(F.lit(0.0)))
     rationale = F.concat_ws(",", F.when(url_hit, F.lit("url")), F.when(title_hit, F.lit("title")),
                             F.when(cust_hit, F.lit("customer")), F.when(dl_hit, F.lit("deadline")))
-    ids = clusters.select("cluster_id", "cluster_key")
-    return (r.join(ids, "cluster_key")
-            .select("cluster_id", "record_id",
+    return r.select("cluster_id", "record_id",
                     F.least(score, F.lit(1.0)).alias("match_confidence"),
                     F.when(rationale == "", F.lit(fixed.WEAK_MATCH)).otherwise(rationale)
-                    .alias("match_rationale")))
+                    .alias("match_rationale"))
 
 
 def memberships(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clusters, links) of a batch without stored state where nobody reads
     match scores: one aggregate and one join."""
     keyed = with_cluster_key(batch)
-    clusters = upsert_clusters(batch_cluster_summary(keyed), None)
-    links = keyed.select("cluster_key", "record_id").join(
-        clusters.select("cluster_id", "cluster_key"), "cluster_key").select("cluster_id", "record_id")
-    return clusters, links
+    summary = batch_cluster_summary(keyed)
+    clusters = upsert_clusters(summary, None)
+    links = spread_join(keyed.select("cluster_key", "record_id"), clusters.select("cluster_id", "cluster_key"), "cluster_key",
+                        "record_id", heavy=HeavyKeys(summary, "cluster_key", "b_rows"))
+    return clusters, links.select("cluster_id", "record_id")
 
 
 def cluster_records(batch: DataFrame, state_clusters: DataFrame | None = None,
@@ -193,11 +198,12 @@ def cluster_records(batch: DataFrame, state_clusters: DataFrame | None = None,
         detached = stale.select("cluster_id").distinct()
         # deadlines already attached to each cluster (after the detach)
         prior_dl = (kept_links.join(rec_raw, "record_id")
+                    .select("cluster_id", normalize_text("deadline").alias("_dl"))
+                    .where(F.col("_dl") != "").distinct()      # one row per cluster and deadline meets the key
                     .join(clusters.select("cluster_id", "cluster_key"), "cluster_id")
-                    .select("cluster_key", normalize_text("deadline").alias("_dl"))
-                    .where(F.col("_dl") != ""))
+                    .select("cluster_key", "_dl"))
 
-    scored = match_scores(keyed, clusters, summary, state_clusters, prior_dl)
+    scored = match_scores(keyed, summary, state_clusters, prior_dl)
     if kept_links is not None:
         # An existing link keeps its original score.
         new_links = scored.join(kept_links.select("cluster_id", "record_id"),
@@ -219,7 +225,7 @@ def comparisons(links: DataFrame, records: DataFrame,
     ``n_values`` is the number of distinct values of that field."""
     l = links.select("cluster_id", "record_id")
     if touched is not None:
-        l = l.join(touched.select("cluster_id").distinct(), "cluster_id", "left_semi")
+        l = spread_join(l, touched.select("cluster_id").distinct(), "cluster_id", "record_id", "left_semi")
     rec = records.select("record_id", *COMPARED_FIELDS)
     stack = "stack(5, " + ", ".join(f"'{f}', {f}" for f in COMPARED_FIELDS) + ") AS (field_name, value)"
     values = (l.join(rec, "record_id")
@@ -229,7 +235,9 @@ def comparisons(links: DataFrame, records: DataFrame,
     counts = (values.groupBy("cluster_id", "field_name")
               .agg(F.count(F.lit(1)).alias("n_values"))
               .where(F.col("n_values") > 1))
-    return values.join(counts, ["cluster_id", "field_name"])
+    heavy = HeavyKeys.of(values, "cluster_id")
+    return (heavy.dealt(values, "value").join(heavy.repeated(counts), ["cluster_id", "field_name", PART])
+            .select("cluster_id", "field_name", "value", "n_values"))
 
 
 def merge_comparisons(state: DataFrame | None, fresh: DataFrame,
@@ -267,7 +275,7 @@ def refresh_primary(state: DataFrame | None, clusters: DataFrame, links: DataFra
     anew and all others as stored."""
     ids = touched.select("cluster_id").distinct()
     fresh = primary_sources(clusters.join(ids, "cluster_id", "left_semi"),
-                            links.join(ids, "cluster_id", "left_semi"), records).select(
+                            spread_join(links, ids, "cluster_id", "record_id", "left_semi"), records).select(
                                 "cluster_id", "primary_record_id")
     if state is None:
         return fresh
