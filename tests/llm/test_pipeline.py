@@ -44,7 +44,7 @@ def test_stages(spark, stages):
     sets = {}
     for r in rows[2]:
         w = WORD.findall("".join(c.lower() if c.isascii() else c for c in r.text))
-        sets[r.doc_id] = {tuple(w[k:k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+        sets[r.doc_id] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     by, root = {}, {i: i for i in sets}
     for i, s in sets.items():
         for g in s:
@@ -53,7 +53,7 @@ def test_stages(spark, stages):
     for ids in by.values():
         for a, b in zip(ids, ids[1:]):
             x, y = sets[a], sets[b]
-            if find(a) != find(b) and 100 * len(x & y) >= 90 * len(x | y):
+            if find(a) != find(b) and 100 * len(x & y) >= 80 * len(x | y):
                 lo, hi = sorted((find(a), find(b)))
                 root[hi] = lo
     assert {r.doc_id for r in rows[3]} == {i for i in sets if find(i) == i}
