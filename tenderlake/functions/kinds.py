@@ -113,3 +113,9 @@ def contains_agreement_phrase(text) -> Column:
 def phrase_in(n: Column) -> Column:
     """The same for a text that is normalized already."""
     return (n != "") & (n.isin(*AGREEMENT_PHRASES) | n.rlike(AGREEMENT_REGEX))
+
+
+def phrase_in_any(*texts: Column) -> Column:
+    """Whether one of several normalized texts holds an agreement phrase; they are
+    searched as the lines of one text (no phrase goes over a line's end)."""
+    return F.concat_ws("\n", *texts).rlike(AGREEMENT_REGEX)

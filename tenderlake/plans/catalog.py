@@ -241,7 +241,7 @@ def all_raw(spark: SparkSession, d: str) -> DataFrame:
     lst = SL.listings_to_raw(inputs.listing_jobs(spark, d)).withColumn("seq", F.col("seq") * 4 + 1)
     mail = _mail_raw(spark, d).withColumn("seq", F.col("seq") * 4 + 2)
     notice = inputs.notice_raw(spark, d).drop("raw_id", "content_hash", "pos").withColumn("seq", F.col("seq") * 4 + 3)
-    return inputs.with_raw_ids(lst.unionByName(mail).unionByName(notice))
+    return inputs.with_raw_ids(lst.unionByName(mail).unionByName(notice, allowMissingColumns=True))
 
 
 @query("extract_all")
@@ -499,7 +499,7 @@ SIG_OUT = ["source_name", "external_id", "title", "buyer_name", "agreement_type"
 
 @query("signal_detect")
 def q_signal_detect(spark: SparkSession, d: str) -> DataFrame:
-    det = SG.detect_signals(inputs.notice_raw(spark, d)).where(F.col("detected"))
+    det = SG.detect_signals(inputs.notice_items(spark, d)).where(F.col("detected"))
     return det.select(*SIG_OUT, r6("signal_confidence").alias("signal_confidence"))
 
 

@@ -18,6 +18,8 @@ Views
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,9 +106,8 @@ def stg_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
-    # nation is a fixed 25-row dimension: broadcasting it is size-bounded.
     joined = (orders.join(customer, orders.o_custkey == customer.c_custkey)
-              .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")))
+              .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     return joined.selectExpr(*[f"{e} AS {n}" for n, e in LISTING_EXPRS])
 
 
@@ -208,7 +209,7 @@ def stg_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
     # through supplier, ~1/600 of lineitem); AQE broadcasts them when small.
     joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
               .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-              .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")))
+              .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
     return joined.selectExpr(*[f"{e} AS {n}" for n, e in NOTICE_EXPRS])
 
 
@@ -251,8 +252,12 @@ def with_staging(sql_body: str, *views: str, extra_ctes: list[tuple[str, str]] |
                 order.append(d)
         if v not in order:
             order.append(v)
-    ctes = [f"{v} AS (\n{STAGING_SQL[v]()}\n)" for v in order]
-    ctes += [f"{n} AS (\n{s}\n)" for n, s in (extra_ctes or [])]
+    ctes = [(v, STAGING_SQL[v]()) for v in order] + list(extra_ctes or [])
     if not ctes:
         return sql_body
-    return "WITH " + ",\n".join(ctes) + "\n" + sql_body
+    text = "\n".join([s for _, s in ctes] + [sql_body])
+
+    def kept(name: str) -> str:
+        # what several places read is computed once
+        return "MATERIALIZED " if len(re.findall(rf"\b{name}\b", text)) > 1 else ""
+    return "WITH " + ",\n".join(f"{n} AS {kept(n)}(\n{s}\n)" for n, s in ctes) + "\n" + sql_body

@@ -4,6 +4,11 @@ A feed document is a JSON list of notices or an object with an ``items``
 list; anything else (bad JSON, a scalar, an object without ``items``)
 yields no notices.  Non-object entries are skipped.  Parsing uses Spark's
 VARIANT type, whose JSON output has sorted keys — the canonical body.
+
+A notice is parsed once.  Its fields, chosen by the types its JSON values have
+(the text "0" counts, the number 0 does not), are kept beside the body in the
+struct column ``notice``, which is stored with the raw item; extraction and
+signal detection read that column and parse nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.functions.text import content_hash, normalize_text, variant_truthy
+from tenderlake.functions.text import content_hash, normalize_text, truthy, variant_truthy
 
 _V = "try_variant_get"
 
@@ -58,22 +63,59 @@ def feed_precedence(embedded: DataFrame, fetched: DataFrame, shared: DataFrame |
     return without(fetched, embedded, shared).unionByName(without(shared, embedded)).unionByName(embedded)
 
 
+def _fields(payload: str, meta: str | None, origin: Column) -> Column:
+    """The typed fields of a notice: ``payload`` is a VARIANT expression of the
+    notice, ``meta`` one of its metadata (null: made from the payload)."""
+    def any_of(key: str) -> Column:
+        return _vget(payload, f"$.{key}")
+
+    def true_of(key: str) -> Column:
+        return variant_truthy(payload, f"$.{key}")
+
+    def known(key: str) -> Column:              # what the metadata says
+        if meta is None:
+            return any_of("title") if key == "title" else truthy(normalize_text(true_of(key)))
+        return _vget(meta, f"$.{key}") if key == "title" else truthy(_vget(meta, f"$.{key}"))
+    return F.struct(
+        F.coalesce(true_of("title"), known("title")).alias("title"),
+        F.coalesce(true_of("buyer"), any_of("customer")).alias("customer"),
+        F.coalesce(true_of("url"), any_of("source_url")).alias("source_url"),
+        any_of("deadline").alias("deadline"), true_of("description").alias("description"),
+        any_of("summary").alias("summary"), any_of("agreement_type").alias("agreement_type"),
+        any_of("notice_type").alias("notice_type"), any_of("category").alias("category"),
+        any_of("status").alias("status"), any_of("published_at").alias("published_at"),
+        origin.alias("origin"),
+        # what detection looks at, and what a signal shows
+        true_of("title").alias("own_title"), true_of("agreement_type").alias("own_agreement_type"),
+        F.coalesce(true_of("agreement_type"), known("agreement_type")).alias("told_agreement_type"),
+        F.coalesce(true_of("notice_type"), known("notice_type")).alias("told_notice_type"))
+
+
+def with_notice(raw: DataFrame) -> DataFrame:
+    """``raw`` with the ``notice`` column: where the table lacks it, it is made
+    from the metadata.  Write the result before reading it: then no filter
+    reaches into the parsing."""
+    if "notice" in raw.columns:
+        return raw
+    own = F.when(F.col("source_type") == "procurement", F.expr("try_parse_json(metadata)"))
+    payload = "try_variant_get(_meta, '$.notice_payload', 'variant')"
+    return (raw.withColumn("_meta", own).withColumn("notice", F.when(F.col("_meta").isNotNull(), _fields(
+        payload, "_meta", _vget("_meta", "$.origin")))).drop("_meta"))
+
+
 def normalize_notices(notices: DataFrame, received_at: Column | None = None) -> DataFrame:
     """Notice -> raw item.  external_id = first truthy of id, notice_id,
     external_id, url, else the hash of the canonical JSON; body = canonical
     JSON (sorted keys); metadata keeps normalized type hints, the origin and
-    the full payload."""
+    the full payload; ``notice`` holds the typed fields."""
     body = F.to_json(F.col("notice"))
     ext = F.coalesce(*[variant_truthy("notice", f"$.{k}") for k in ("id", "notice_id", "external_id", "url")],
-                     content_hash(body))
-    title = _vget("notice", "$.title")
-    url = F.coalesce(variant_truthy("notice", "$.url"), _vget("notice", "$.source_url"))
-    buyer = F.coalesce(variant_truthy("notice", "$.buyer"), _vget("notice", "$.customer"))
+                     content_hash(F.col("_body")))
     head = F.to_json(F.struct(
-        title.alias("title"), url.alias("url"), buyer.alias("buyer"),
-        normalize_text(_vget("notice", "$.agreement_type")).alias("agreement_type"),
-        normalize_text(_vget("notice", "$.notice_type")).alias("notice_type"),
-        _vget("notice", "$.category").alias("category"),
+        _vget("notice", "$.title").alias("title"), F.col("_f.source_url").alias("url"), F.col("_f.customer").alias("buyer"),
+        normalize_text(variant_truthy("notice", "$.agreement_type")).alias("agreement_type"),
+        normalize_text(variant_truthy("notice", "$.notice_type")).alias("notice_type"),
+        F.col("_f.category").alias("category"),
         F.col("source_name").alias("origin")), {"ignoreNullFields": "false"})
     # splice the payload object in as a nested object (not a quoted string)
     meta = F.concat(F.expr("substring(_head, 1, length(_head) - 1)"),
@@ -81,8 +123,9 @@ def normalize_notices(notices: DataFrame, received_at: Column | None = None) ->
     # arrival order: the feed document, then the notice's place in it
     pos = F.col("notice_pos").cast("bigint") if "notice_pos" in notices.columns else F.lit(0).cast("bigint")
     seq = F.col("seq") if "seq" in notices.columns else pos
-    return (notices.withColumn("_body", body).withColumn("_head", head)
+    return (notices.withColumn("_body", body).withColumn("_f", _fields("notice", None, F.col("source_name")))
+            .withColumn("_head", head)
             .select(seq.alias("seq"), F.lit("procurement").alias("source_type"), "source_name",
                     ext.alias("external_id"), F.col("_body").alias("raw_body"), meta.alias("metadata"),
                     (received_at if received_at is not None else F.lit(None).cast("timestamp"))
-                    .alias("received_at"), pos.alias("pos")))
+                    .alias("received_at"), pos.alias("pos"), F.col("_f").alias("notice")))
