@@ -12,7 +12,10 @@ caller says; 67 to 99).  The join is exact (grams are compared by 64-bit hash):
    compared within size classes a factor 1.5 wide; a set near a border is
    dealt for both classes.
 3. There are ``spare`` more segments than needed, so linked sets share T =
-   ``spare`` + 1 lists.  Lists over ``LONG`` sets are put aside; the short ones
+   ``spare`` + 1 lists.  The lists' entries travel once, packed, to the bucket
+   of their list, where lists of one set end (equal sets of a batch send one
+   entry, and of a list with more than ``LONG`` sets in one batch only as many
+   go to its bucket as show that).  Lists over ``LONG`` sets are put aside; the short ones
    are merged, which counts for pairs of sets how many they share, and pairs
    found T - L times are candidates, where L long lists are the fewer of the
    two sets' (DivideSkip's bound, on segments).  Sets with more than ``spare``
@@ -62,6 +65,9 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 WIDER = 1.5                      # a linked set is at most one size class away from 0.67 on
 LONG = 16                        # most sets on a short list
 BLOCK_GRAMS = 4_000_000          # grams of a block
+BATCH_GRAMS = 2_000_000          # grams of the sets dealt at a time
+BUCKET_CHARS = 8_000_000         # texts that a bucket of lists stands for
+MOST_PARTITIONS = 16_384
 PIVOTS = 16
 MU = 0.0085                      # DivideSkip's cost ratio of a probe to a merge
 HEAP_MOST = 2000                 # list entries merged with a heap; more are merged by counting
@@ -114,9 +120,9 @@ def size_bounds(most: int, percent: int = NUMERATOR) -> list[int]:
     return out
 
 
-def segments(grams: np.ndarray, percent: int = NUMERATOR) -> list[tuple[int, np.ndarray]]:
-    """(spare, list keys) for each size class the set is dealt in."""
-    n = len(grams)
+def size_classes(n: int, percent: int = NUMERATOR) -> list[tuple[int, int, int]]:
+    """(class, spare, number of segments) of each size class that sets of n
+    grams are dealt in."""
     if n < first_size(percent):
         return []
     bounds = size_bounds(n, percent)
@@ -128,7 +134,14 @@ def segments(grams: np.ndarray, percent: int = NUMERATOR) -> list[tuple[int, np.
         top = (bounds[j + 1] if j + 1 < len(bounds) else max(bounds[j] + 1, int(bounds[j] * WIDER))) - 1
         differ = (top + top * DENOMINATOR // percent) * (DENOMINATOR - percent) // (DENOMINATOR + percent)
         spare = 1 + (differ + 1) // 6
-        count = differ + 1 + spare
+        out.append((j, spare, differ + 1 + spare))
+    return out
+
+
+def segments(grams: np.ndarray, percent: int = NUMERATOR) -> list[tuple[int, np.ndarray]]:
+    """(spare, list keys) for each size class the set is dealt in."""
+    out = []
+    for j, spare, count in size_classes(len(grams), percent):
         sums = np.zeros(count, np.uint64)
         seg = (_mix(grams + np.uint64(j + 1)) >> np.uint64(20)) % np.uint64(count)
         np.add.at(sums, seg.astype(np.int64), _mix(grams))
@@ -139,51 +152,140 @@ def segments(grams: np.ndarray, percent: int = NUMERATOR) -> list[tuple[int, np.
 
 
 def _sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, key -> n, digest (two longs), dealt: array of (spare, keys)."""
-    schema = ("doc_id long, key long, n long, d1 long, d2 long, "
-              "dealt array<struct<spare:int,keys:array<long>>>")
-    kind = pa.list_(pa.struct([("spare", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+    """doc_id, key -> n, digest (two longs), spares: of each size class the set
+    is dealt in."""
+    schema = "doc_id long, key long, n long, d1 long, d2 long, spares array<int>"
 
     def run(batches):
         codes = _Codes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                n, d, spare, keys, outer = [], [], [], [], [0]
+                n, d, spares = [], [], []
                 for t in b.column(2).to_pylist():
                     g = gram_set(t, codes, width)
                     n.append(len(g))
-                    d.append(np.frombuffer(hashlib.blake2b(g.tobytes(), digest_size=16).digest(), "<i8"))
-                    for s, k in segments(g, percent):
-                        spare.append(s)
-                        keys.append(k.view(np.int64))
-                    outer.append(len(spare))
+                    d.append(_digest(g))
+                    spares.append([c[1] for c in size_classes(len(g), percent)])
                 d = np.array(d).reshape(-1, 2)
-                inner = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(inner), pa.array(
-                    np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                dealt = pa.ListArray.from_arrays(pa.array(np.array(outer, np.int32)), pa.StructArray.from_arrays(
-                    [pa.array(spare, pa.int32()), lists], names=["spare", "keys"]))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d[:, 0].copy()),
-                     pa.array(d[:, 1].copy()), dealt.cast(kind)],
-                    names=["doc_id", "key", "n", "d1", "d2", "dealt"])
+                     pa.array(d[:, 1].copy()), pa.array(spares, pa.list_(pa.int32()))],
+                    names=["doc_id", "key", "n", "d1", "d2", "spares"])
 
     return rows.mapInArrow(run, schema)
 
 
+def _digest(grams: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), "<i8")
+
+
 # ------------------------------------------------------------------ families
 
-def _families(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, root): sets that candidate pairs connect.  ``nodes``: c, n,
-    dealt."""
-    dealt = nodes.select("c", "n", F.posexplode("dealt").alias("g", "d"))
-    cg = (F.col("c") * 2 + F.col("g")).alias("cg")      # a set in one of its (at most two) dealings
-    post = dealt.select(cg, F.explode("d.keys").alias("list"))
-    lists = post.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    on = saved(post.join(lists, "list"), "join-lists")
+def _lists(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """list, cg, size: the entries of every list of two sets and more.  ``rows``:
+    doc_id, h (63 bits of a document's own), text; cg is 2 h + which of its (at
+    most two) dealings."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(16, -(-chars // BUCKET_CHARS))
+    names = ["bucket", "sure", "lists", "owners"]
+
+    def packed(held: dict):
+        """Rows for the buckets from the sets of a batch: (digest -> (doc_id, h, grams))."""
+        lists, owners = [], []
+        for _, h, grams in held.values():
+            for g, (_, keys) in enumerate(segments(grams, percent)):
+                lists.append(keys)
+                owners.append(np.full(len(keys), h * 2 + g, np.int64))
+        if not lists:
+            return None
+        lists, owners = np.concatenate(lists), np.concatenate(owners)
+        order = np.lexsort((owners, lists))
+        lists, owners = lists[order], owners[order]
+        first = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+        place = np.arange(len(lists)) - np.repeat(first, np.diff(np.append(first, len(lists))))
+        out = []
+        # of a list that is long already, what shows it goes to its bucket; the rest is dealt evenly
+        for sure, mine in ((False, np.flatnonzero(place <= LONG)), (True, np.flatnonzero(place > LONG))):
+            x, o = lists[mine], owners[mine]
+            bucket = (((_mix(o.view(np.uint64)) if sure else x) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            by = np.argsort(bucket, kind="stable")
+            x, o, bucket = x[by], o[by], bucket[by]
+            which, start = np.unique(bucket, return_index=True)
+            for b, i, j in zip(which.tolist(), start.tolist(), np.append(start[1:], len(x)).tolist()):
+                out.append((b, sure, x[i:j].tobytes(), o[i:j].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (
+            pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=names)
+
+    def deal(batches):
+        codes, held, size = _Codes(), {}, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                for doc_id, h, t in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                    g = gram_set(t, codes, width)
+                    if len(g) < first_size(percent):
+                        continue
+                    d, row = _digest(g).tobytes(), (doc_id is None, doc_id or 0, h)
+                    if d not in held:
+                        size += len(g)
+                    if d not in held or row < held[d][0]:      # of equal sets the first document's
+                        held[d] = row, h, g
+                if size > BATCH_GRAMS:
+                    got = packed(held)
+                    if got is not None:
+                        yield got
+                    held, size = {}, 0
+        got = packed(held) if held else None
+        if got is not None:
+            yield got
+
+    def settle(rows):
+        for sure, x, o in ((True, *_joined(rows, True)), (False, *_joined(rows, False))):
+            if not len(x):
+                continue
+            size = np.full(len(x), LONG + 1)
+            if not sure:
+                order = np.argsort(x, kind="stable")
+                x, o = x[order], o[order]
+                _, at, count = np.unique(x, return_inverse=True, return_counts=True)
+                size = count[at]
+                many = size > 1
+                x, o, size = x[many], o[many], size[many]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(o), pa.array(size.astype(np.int64))],
+                                             names=["list", "cg", "size"])
+
+    def meet(batches):
+        now, rows = None, []
+        for batch in batches:
+            for bucket, *row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if bucket != now and rows:
+                    yield from settle(rows)
+                    rows = []
+                now = bucket
+                rows.append(row)
+        if rows:
+            yield from settle(rows)
+
+    dealt = rows.select("doc_id", "h", "text").mapInArrow(deal, "bucket long, sure boolean, lists binary, owners binary")
+    return (dealt.repartition(min(int(buckets), MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(meet, "list long, cg long, size long"))
+
+
+def _joined(rows: list, sure: bool) -> tuple[np.ndarray, np.ndarray]:
+    mine = [r for r in rows if r[0] == sure]
+    return (np.frombuffer(b"".join(r[1] for r in mine), "<u8"), np.frombuffer(b"".join(r[2] for r in mine), "<i8"))
+
+
+def _families(rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root): documents (by h) that candidate pairs connect.  ``sets``:
+    h, n, spares."""
+    on = saved(_lists(rows, width, percent), "join-lists")
     short, long_ = on.where(F.col("size") <= LONG), on.where(F.col("size") > LONG)
-    about = dealt.select(cg, "n", F.col("d.spare").alias("spare"))
+    # rows that repeat a document are one
+    about = (sets.select("h", "n", F.posexplode("spares").alias("g", "spare"))
+             .select((F.col("h") * 2 + F.col("g")).alias("cg"), "n", "spare").join(on.select("cg").distinct(), "cg", "left_semi")
+             .groupBy("cg").agg(F.max("n").alias("n"), F.max("spare").alias("spare")))
     longs = long_.groupBy("cg").agg(F.count(F.lit(1)).alias("longs"))
     about = about.join(longs, "cg", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
 
@@ -200,7 +302,7 @@ def _families(nodes: DataFrame, percent: int) -> DataFrame:
     meet = long_.join(many, "cg", "left_semi").select("list", "cg")
     firsts = meet.groupBy("list").agg(F.min("cg").alias("first"))
     edges = near.unionByName(meet.join(firsts, "list").select("cg", "first")).select(
-        F.expr("cg div 2").alias("a"), F.expr("first div 2").alias("b"))
+        F.shiftright("cg", 1).alias("a"), F.shiftright("first", 1).alias("b"))
     return components(edges, name="join-families")
 
 
@@ -329,15 +431,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = saved(_sets(source.select("doc_id", "key", "text"), width, percent).withColumn(
         "row", F.monotonically_increasing_id()), "join-sets")
     # 1. classes of equal sets; the row of the first document stands for its class
-    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
+    own = F.shiftright(F.xxhash64("doc_id", "key"), 1).alias("h")
+    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), own, F.col("row").alias("r"))
     equal = saved(sets.where("n > 0").groupBy("d1", "d2").agg(F.min(order).alias("o"))
                   .select("d1", "d2", F.col("o.r").alias("c"), F.col("o.d").alias("first_id")), "join-classes")
     nodes = sets.join(equal.select(F.col("c").alias("row")), "row", "left_semi").withColumnRenamed("row", "c")
-    family = saved(_families(nodes.select("c", "n", "dealt"), percent), "join-family")
+    family = saved(_families(source.select("doc_id", own, "text"), sets.select(own, "n", "spares"), width, percent), "join-family")
 
     # 4. blocks of families
-    sized = family.select(F.col("node").alias("c"), F.col("root").alias("family")).join(
-        nodes.select("c", "doc_id", "key", "n"), "c")
+    sized = family.select(F.col("node").alias("h"), F.col("root").alias("family")).join(
+        nodes.select("c", "doc_id", "key", "n", own), "h").drop("h")
     total = sized.groupBy("family").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets"))
     total = total.withColumn("parts", F.ceil(F.col("grams") / block_grams))
     member = sized.join(total, "family").withColumn("part", F.pmod(F.xxhash64("c"), "parts"))
