@@ -9,7 +9,10 @@ a time, a heap for long ones).  Each candidate taken is skipped when its keyed h
 piece, place in the unit), so each occurrence of a unit is skipped in by itself,
 and is the same in every run and on every executor.  What a unit becomes without
 skips is remembered with its merges; most occurrences have a skip at none of
-these and take it.  For the others the agenda runs.
+these and take it.  The others go on to what the unit becomes when the first
+merge skipped is left out, which is remembered in the same way, and so on until
+no merge is skipped; the agenda runs only for what is not remembered yet, and
+for units that stand only once in a batch of texts, which are not remembered.
 
 What no piece covers, and a literal U+2581, is written as byte pieces: decoding
 gives back every text, byte for byte.  With ``dropout`` 0 the segmentation is
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +44,11 @@ VARIANTS = 4             # occurrence numbers 0 to 3 that the tests try; encodin
 BLANK = "▁"
 UNITS = re.compile("\n|▁|\x20*[^\x20\n▁]+|\x20+")
 SHORT = 32               # longest unit whose agenda is an array row, not a heap
-REMEMBERED = 400_000     # units a worker remembers before it starts afresh
+REMEMBERED = 400_000     # outcomes a worker remembers before it starts afresh
 NONE = float("-inf")
 MASK, GOLDEN = (1 << 64) - 1, 0x9E3779B97F4A7C15
 MIX = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-PART = 1 << 16           # units whose skips are looked up at a time
+PART = 1 << 18           # units whose skips are looked up at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,6 +67,23 @@ def _in_row(unit: str) -> bool:
     return len(unit) <= SHORT and unit != BLANK and "\0" not in unit   # 0 ends a row
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.kept, self.size = np.empty(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.kept):
+            self.kept = np.concatenate([self.kept[:self.size], np.empty(self.size + len(more), self.kept.dtype)])
+        self.kept[self.size:self.size + len(more)] = more
+        self.size += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.kept[:self.size]
+
+
 class Pieces:
     """The vocabulary of a model file and the agenda over it."""
 
@@ -95,10 +116,13 @@ class Pieces:
         self.pairs, self.pair_ids = (np.array(x) for x in zip(*pairs))
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}      # unit: its place in the following
-        self.spelt: list[bytes] = []
-        self.begin, self.steps = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.path = np.empty(0, np.uint64)   # keys of the merges without skips, unit after unit
+        self.known: dict[str, int] = {}      # unit: the number of its outcome without skips
+        self.units: list[str] = []           # of each outcome: the unit,
+        self.left_out: list[tuple] = []      # the keys of the merges left out,
+        self.spelt: list[bytes] = []         # the pieces' ids,
+        self.begin, self.steps = _Grown(np.int64), _Grown(np.int64)      # and its merges in the following
+        self.path = _Grown(np.uint64)        # keys of the merges, outcome after outcome
+        self.child = _Grown(np.int64)        # the outcome when this one is left out, too; -1 if not known
 
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two pieces make, -1 if none."""
@@ -108,10 +132,11 @@ class Pieces:
         return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
 
     def _merged_short(self, units: list[str], occurrences: np.ndarray | None,
-                      path: list | None = None) -> list[bytes]:
+                      path: list | None = None, left_out: np.ndarray | None = None) -> list[bytes]:
         """Ids of many short units at once, one row each: the agenda of a row
         is the score of the pair that begins at each place.  No occurrences:
-        no skips.  ``path`` takes (rows, keys) of the merges."""
+        no skips but of the keys ``left_out`` (as many for each row).  ``path``
+        takes (rows, keys) of the merges that are not left out."""
         occurrences = None if occurrences is None else occurrences.astype(np.uint64)
         n, wide = len(units), max(map(len, units))
         code = np.array(units, dtype=f"<U{wide}").view("<u4").reshape(n, wide)
@@ -135,10 +160,14 @@ class Pieces:
             r = live
             if path is not None or occurrences is not None:
                 key = self.keys[new] + i.astype(np.uint64) * np.uint64(GOLDEN)
-            if path is not None:
-                path.append((r, key))
+            drop = None
             if occurrences is not None:
                 drop = self._skipped(occurrences[r] + key)
+            elif left_out is not None:
+                drop = (left_out[r] == key[:, None]).any(axis=1)
+            if path is not None:
+                path.append((r, key) if drop is None else (r[~drop], key[~drop]))
+            if drop is not None:
                 agenda[r[drop], i[drop]] = NONE
                 r, i, new = r[~drop], i[~drop], new[~drop]
             j = after[r, i]
@@ -221,53 +250,78 @@ class Pieces:
         if not flat:
             return [b""] * len(texts)
         occurrences = np.concatenate([self._occurrences(len(u), k) for u, k in zip(units, keys)])
-        if len(self.known) > REMEMBERED:
+        if len(self.spelt) > REMEMBERED:
             self._forget()
-        self._learn([u for u in set(flat).difference(self.known) if _in_row(u)])
+        missing = sorted((u for u, k in Counter(flat).items() if k > 1 and u not in self.known and _in_row(u)), key=len)
+        first = len(self.spelt)
+        self._learn(missing, [()] * len(missing))
+        self.known.update(zip(missing, range(first, first + len(missing))))
         get = self.known.get
         at = np.fromiter((get(u, -1) for u in flat), np.int64, len(flat))
-        spelt = [*self.spelt, b""]            # the last one for units that aren't rows
+        if self.limit:
+            for x in range(0, len(at), PART):
+                self._follow(at[x:x + PART], occurrences[x:x + PART])
+        spelt = [*self.spelt, b""]            # the last one for units that aren't remembered
         got = [spelt[i] for i in at.tolist()]
-        again = self._with_skips(at, occurrences) if self.limit else []
-        again = sorted(again, key=lambda i: len(flat[i]))
-        for x in range(0, len(again), 4096):
-            part = again[x:x + 4096]
-            for i, g in zip(part, self._merged_short([flat[i].replace(" ", BLANK) for i in part], occurrences[part])):
+        others = np.flatnonzero(at < 0).tolist()
+        once = sorted((i for i in others if _in_row(flat[i])), key=lambda i: len(flat[i]))
+        for x in range(0, len(once), 4096):
+            part = once[x:x + 4096]
+            for i, g in zip(part, self._merged_short([flat[i].replace(" ", BLANK) for i in part],
+                                                     occurrences[part] if self.limit else None)):
                 got[i] = g
-        for i in np.flatnonzero(at < 0).tolist():
+        for i in others:
+            if _in_row(flat[i]):
+                continue
             got[i] = (self.blank if flat[i] == BLANK else
                       self._ids(self._merged_long(flat[i].replace(" ", BLANK), int(occurrences[i]))))
         return [b"".join(got[x:y]) for x, y in zip(ends[:-1], ends[1:])]
 
-    def _with_skips(self, at: np.ndarray, occurrences: np.ndarray) -> list[int]:
-        """Which units have a skip at one of their merges."""
-        out = []
+    def _follow(self, at: np.ndarray, occurrences: np.ndarray) -> None:
+        """Go on, in ``at``, from outcome to outcome until no merge is skipped;
+        -1 where that leads to an outcome that only one occurrence needs."""
         rows = np.flatnonzero(at >= 0)
-        for x in range(0, len(rows), PART):
-            r = rows[x:x + PART]
-            steps = self.steps[at[r]]
-            r, steps = r[steps > 0], steps[steps > 0]
-            if len(r):
-                first = np.cumsum(steps) - steps
-                step = np.arange(int(steps.sum())) + np.repeat(self.begin[at[r]] - first, steps)
-                skipped = self._skipped(np.repeat(occurrences[r], steps) + self.path[step])
-                out += r[np.logical_or.reduceat(skipped, first)].tolist()
-        return out
-
-    def _learn(self, missing: list[str]) -> None:
-        """Remember units (rows of the agenda) as they are without skips."""
-        missing.sort(key=len)
-        steps, keys = [self.steps], [self.path]
-        for at in range(0, len(missing), 4096):
-            part, path = missing[at:at + 4096], []
-            self.spelt += self._merged_short([u.replace(" ", BLANK) for u in part], None, path)
-            rows, key = (np.concatenate(x) for x in zip(*path)) if path else (np.empty(0, np.int64), np.empty(0, np.uint64))
-            steps.append(np.bincount(rows, minlength=len(part)))
-            keys.append(key[np.argsort(rows, kind="stable")])
-        for u in missing:
-            self.known[u] = len(self.known)
-        self.steps, self.path = np.concatenate(steps), np.concatenate(keys)
-        self.begin = np.cumsum(self.steps) - self.steps
+        while len(rows):
+            steps = self.steps.all[at[rows]]
+            rows, steps = rows[steps > 0], steps[steps > 0]
+            if not len(rows):
+                return
+            first = np.cumsum(steps) - steps
+            step = np.arange(int(steps.sum())) + np.repeat(self.begin.all[at[rows]] - first, steps)
+            skipped = self._skipped(np.repeat(occurrences[rows], steps) + self.path.all[step])
+            # the first one in the order of the agenda
+            step = np.minimum.reduceat(np.where(skipped, step, self.path.size), first)
+            rows, step = rows[step < self.path.size], step[step < self.path.size]
+            unknown = self.child.all[step] < 0
+            new, count = np.unique(step[unknown], return_counts=True)
+            new = new[count > 1]
+            if len(new):
+                parent = (np.searchsorted(self.begin.all, new, side="right") - 1).tolist()
+                # the shortest units first: rows of one length are worked on together
+                order = sorted(range(len(new)), key=lambda i: len(self.units[parent[i]]))
+                new, parent = new[order], [parent[i] for i in order]
+                number = len(self.spelt)
+                self._learn([self.units[p] for p in parent],
+                            [(*self.left_out[p], k) for p, k in zip(parent, self.path.all[new].tolist())])
+                self.child.kept[new] = np.arange(number, number + len(new))
+            at[rows] = self.child.all[step]
+
+    def _learn(self, units: list[str], left_out: list[tuple]) -> None:
+        """Remember what units (rows of the agenda, in order of length) become
+        when some merges are left out."""
+        for x in range(0, len(units), 4096):
+            part, out, path = units[x:x + 4096], left_out[x:x + 4096], []
+            most = max(map(len, out))
+            keys = np.array([o + o[:1] * (most - len(o)) for o in out], np.uint64) if most else None
+            self.spelt += self._merged_short([u.replace(" ", BLANK) for u in part], None, path, keys)
+            rows, key = (np.concatenate(p) for p in zip(*path)) if path else (np.empty(0, np.int64), np.empty(0, np.uint64))
+            steps = np.bincount(rows, minlength=len(part))
+            self.begin.add(self.path.size + np.cumsum(steps) - steps)
+            self.steps.add(steps)
+            self.path.add(key[np.argsort(rows, kind="stable")])
+            self.child.add(np.full(len(key), -1))
+        self.units += units
+        self.left_out += left_out
 
     def decode(self, ids) -> str:
         raw = self.raw
