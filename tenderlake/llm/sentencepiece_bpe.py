@@ -305,6 +305,7 @@ class Pieces:
                             [(*self.left_out[p], k) for p, k in zip(parent, self.path.all[new].tolist())])
                 self.child.kept[new] = np.arange(number, number + len(new))
             at[rows] = self.child.all[step]
+            rows = rows[at[rows] >= 0]
 
     def _learn(self, units: list[str], left_out: list[tuple]) -> None:
         """Remember what units (rows of the agenda, in order of length) become

@@ -118,7 +118,9 @@ def test_each_occurrence_is_skipped_in_by_itself():
         first = p._skipped(p._occurrences(n, 7) + path[0][1][0])
         assert abs(first.mean() - P.DROPOUT) < 0.015                                     # the first merge
         # and over places of one text: the share without any skip
-        long_ = p._with_skips(np.full(n, p.known[" " + word]), p._occurrences(n, 7))
+        at = np.full(n, p.known[" " + word])
+        p._follow(at, p._occurrences(n, 7))
+        long_ = np.flatnonzero(at != p.known[" " + word])
         want = 1 - (1 - P.DROPOUT) ** sum(len(r) for r, _ in path)
         assert abs(len(long_) / n - want) < 0.02
         differ = sum(g != whole for g in got) / n
@@ -136,6 +138,16 @@ def test_remembered_or_not_it_is_the_agenda_of_the_occurrence():
     assert p.decode(np.frombuffer(want, "<i4").tolist()) == text
 
 
+def test_outcomes_that_one_occurrence_needs_are_its_agenda():
+    p = P.Pieces(P.MODEL_FILE, 0.5)          # many skips, few occurrences: most outcomes are of one occurrence
+    words = ["interesting", "government", "the", "internationalisation", "zq"]
+    texts = [" ".join(words[(i + j) % 5] for j in range(7)) for i in range(40)]
+    for t, k, got in zip(texts, range(40), p.encode(texts, list(range(40)))):
+        units = P.UNITS.findall(" " + t)
+        assert got == b"".join(p._ids(p._merged_long(u.replace(" ", P.BLANK), int(o)))
+                               for u, o in zip(units, p._occurrences(len(units), k)))
+
+
 # --------------------------------------------------- substring deduplication
 
 def _with_line(n):
