@@ -28,6 +28,7 @@ CLUSTER_COLS = ["cluster_id", "cluster_key", "title", "customer", "confidence",
                 "review_status"]
 LINK_COLS = ["cluster_id", "record_id", "match_confidence", "match_rationale"]
 COMPARED_FIELDS = ("title", "customer", "broker", "deadline", "source_url")
+COUNT_COLS = ["cluster_id", "field_name", "value", "n"]
 
 
 def cluster_key(title, customer, deadline, source_url) -> Column:
@@ -101,6 +102,7 @@ class ClusterResult:
     new_links: DataFrame     # links inserted by this batch (with scores)
     touched: DataFrame       # cluster_id of clusters the batch touched
     detached: DataFrame      # cluster_id of clusters that lost superseded links
+    removed: DataFrame | None = None     # the superseded links (cluster_id, record_id)
 
 
 def match_scores(keyed: DataFrame, summary: DataFrame,
@@ -183,6 +185,7 @@ def cluster_records(batch: DataFrame, state_clusters: DataFrame | None = None,
     clusters = upsert_clusters(summary, state_clusters)
 
     detached = None
+    stale = None
     kept_links = None
     prior_dl = None
     if state_links is not None:
@@ -215,23 +218,22 @@ def cluster_records(batch: DataFrame, state_clusters: DataFrame | None = None,
         detached = scored.select("cluster_id").limit(0)
     touched = scored.select("cluster_id").unionByName(detached).distinct()
     return ClusterResult(clusters=clusters, links=links, new_links=new_links,
-                         touched=touched, detached=detached)
+                         touched=touched, detached=detached, removed=stale)
 
 
-def comparisons(links: DataFrame, records: DataFrame,
-                touched: DataFrame | None = None) -> DataFrame:
-    """Fields whose distinct truthy raw values differ across a cluster's
-    sources (E4).  Long form: one row per (cluster_id, field_name, value);
-    ``n_values`` is the number of distinct values of that field."""
-    l = links.select("cluster_id", "record_id")
-    if touched is not None:
-        l = spread_join(l, touched.select("cluster_id").distinct(), "cluster_id", "record_id", "left_semi")
+def _field_values(links: DataFrame, records: DataFrame) -> DataFrame:
+    """(cluster_id, field_name, value): the truthy raw values of the compared
+    fields, a row for each linked record that has one."""
     rec = records.select("record_id", *COMPARED_FIELDS)
     stack = "stack(5, " + ", ".join(f"'{f}', {f}" for f in COMPARED_FIELDS) + ") AS (field_name, value)"
-    values = (l.join(rec, "record_id")
-              .selectExpr("cluster_id", stack)
-              .where(truthy("value").isNotNull())
-              .distinct())
+    return (links.select("cluster_id", "record_id").join(rec, "record_id").selectExpr("cluster_id", stack)
+            .where(truthy("value").isNotNull()))
+
+
+def diverging(values: DataFrame) -> DataFrame:
+    """The comparisons that distinct (cluster_id, field_name, value) rows make:
+    the values of fields with more than one."""
+    values = values.select("cluster_id", "field_name", "value")
     counts = (values.groupBy("cluster_id", "field_name")
               .agg(F.count(F.lit(1)).alias("n_values"))
               .where(F.col("n_values") > 1))
@@ -240,6 +242,41 @@ def comparisons(links: DataFrame, records: DataFrame,
             .select("cluster_id", "field_name", "value", "n_values"))
 
 
+def comparisons(links: DataFrame, records: DataFrame,
+                touched: DataFrame | None = None) -> DataFrame:
+    """Fields whose distinct truthy raw values differ across a cluster's
+    sources (E4).  Long form: one row per (cluster_id, field_name, value);
+    ``n_values`` is the number of distinct values of that field."""
+    l = links.select("cluster_id", "record_id")
+    if touched is not None:
+        l = spread_join(l, touched.select("cluster_id").distinct(), "cluster_id", "record_id", "left_semi")
+    return diverging(_field_values(l, records).distinct())
+
+
+def value_counts(links: DataFrame, records: DataFrame) -> DataFrame:
+    """(cluster_id, field_name, value, n): how many of a cluster's linked
+    records hold a value.  Counts of disjoint links add up, so a link that
+    goes can be taken off again (:func:`apply_counts`)."""
+    return (_field_values(links, records).groupBy("cluster_id", "field_name", "value")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def apply_counts(stored: DataFrame | None, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """Stored value counts after links came and went (both as value counts).
+    A value whose last link went has no row; more going than was counted
+    means that counts and links disagree, and raises."""
+    rows = added.select(*COUNT_COLS)
+    if removed is not None:
+        rows = rows.unionByName(removed.select("cluster_id", "field_name", "value", (-F.col("n")).alias("n")))
+    if stored is not None:
+        rows = rows.unionByName(stored.select(*COUNT_COLS))
+    n = F.col("n")
+    return (rows.groupBy("cluster_id", "field_name", "value").agg(F.sum("n").alias("n"))
+            .withColumn("n", F.when(n >= 0, n).otherwise(
+                F.raise_error(F.lit("more links went than were counted")).cast("bigint")))
+            .where("n > 0"))
+
+
 def merge_comparisons(state: DataFrame | None, fresh: DataFrame,
                       touched: DataFrame) -> DataFrame:
     """Comparisons of touched clusters are replaced by the fresh ones;
@@ -282,12 +319,19 @@ def refresh_primary(state: DataFrame | None, clusters: DataFrame, links: DataFra
     return state.select("cluster_id", "primary_record_id").join(ids, "cluster_id", "left_anti").unionByName(fresh)
 
 
+def _records_of(records: DataFrame, raw: DataFrame) -> DataFrame:
+    return (records.select("record_id", "raw_id")
+            .join(raw.select("raw_id").distinct(), "raw_id", "left_semi")
+            .select("record_id"))
+
+
+def links_of_failed(links: DataFrame, records: DataFrame, failed_raw: DataFrame) -> DataFrame:
+    """The links of the records of raw items whose re-extraction failed."""
+    return links.join(_records_of(records, failed_raw), "record_id", "left_semi")
+
+
 def detach_records(links: DataFrame, records: DataFrame, failed_raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop every link of the records of raw items whose re-extraction
     failed.  Returns (kept links, affected cluster ids)."""
-    gone = (records.select("record_id", "raw_id")
-            .join(failed_raw.select("raw_id").distinct(), "raw_id", "left_semi")
-            .select("record_id"))
-    removed = links.join(gone, "record_id", "left_semi")
-    kept = links.join(gone, "record_id", "left_anti")
-    return kept, removed.select("cluster_id").distinct()
+    kept = links.join(_records_of(records, failed_raw), "record_id", "left_anti")
+    return kept, links_of_failed(links, records, failed_raw).select("cluster_id").distinct()

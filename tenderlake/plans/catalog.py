@@ -16,7 +16,8 @@ from tenderlake.functions.kinds import (contains_agreement_phrase, source_rank,
                                         with_source_kind)
 from tenderlake.functions.text import (content_hash, contains_keyword, first_truthy,
                                        normalize_text, normalize_url, url_host)
-from tenderlake.operators.cluster import cluster_key, comparisons, primary_sources, refresh_primary
+from tenderlake.operators.cluster import (apply_counts, cluster_key, comparisons, links_of_failed, primary_sources,
+                                          refresh_primary, value_counts)
 from tenderlake.operators.policy import FilterPolicy
 from tenderlake.plans import inputs, staging
 from tenderlake.plans.views import cluster_view, digest_payload, relevant_opportunities, review_queue
@@ -337,6 +338,17 @@ def q_comparisons(spark: SparkSession, d: str) -> DataFrame:
         "cluster_id", "field_name", "value", F.col("n_values").cast("bigint").alias("n_values"))
 
 
+@query("comparison_counts")
+def q_comparison_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The stored value counts with the batch's new links added and its
+    failed and superseded ones taken off."""
+    sc = inputs.cluster_scenario(spark, d)
+    gone = links_of_failed(sc.state_links, sc.old_records, sc.failed_raw).select("cluster_id", "record_id").unionByName(sc.result.removed)
+    counts = apply_counts(value_counts(sc.state_links, sc.old_records), value_counts(sc.result.new_links, sc.batch_records),
+                          value_counts(gone, sc.old_records))
+    return counts.select("cluster_id", "field_name", "value", "n")
+
+
 @query("primary_source")
 def q_primary_source(spark: SparkSession, d: str) -> DataFrame:
     sc = inputs.cluster_scenario(spark, d)

@@ -578,6 +578,14 @@ def _comparisons() -> str:
     return cscen(comparisons_sql("fl", "all_recs"))
 
 
+@oracle("comparison_counts")
+def _comparison_counts() -> str:
+    fields = ("title", "customer", "broker", "deadline", "source_url")
+    return cscen(" UNION ALL ".join(
+        f"SELECT l.cluster_id, '{f}' AS field_name, r.{f} AS value, count(*) AS n FROM fl l JOIN all_recs r USING (record_id) "
+        f"WHERE r.{f} <> '' GROUP BY l.cluster_id, r.{f}" for f in fields))
+
+
 def primary_sql(clusters: str, links: str, recs: str) -> str:
     pk = q.priority_key("source_kind", "source_type", "platform", "host", "broker", "source_url")
     return f"""SELECT c.cluster_id, p.primary_record_id, coalesce(p.n, 0) AS source_count FROM {clusters} c
