@@ -346,9 +346,11 @@ def _texts(column) -> list[str]:
 
 def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", into: str = "pieces",
            model_file: str = MODEL_FILE, dropout: float = DROPOUT,
-           seed: int = SEED, drop_text: bool = False) -> DataFrame:
+           seed: int = SEED, drop_text: bool = False, release: bool = False) -> DataFrame:
     """``docs`` with the ids of the text's pieces as array<int>; the text goes
-    with ``drop_text``."""
+    with ``drop_text``.  With ``release`` a task forgets the outcomes when it
+    ends, so that workers which later do other work hold less; each task then
+    learns them anew."""
     n = fresh(docs, "text_in", "key_in")
     kept = [c for c in docs.columns if c.lower() != into.lower() and not (drop_text and c == text_col)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(n["text_in"]),
@@ -364,6 +366,8 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", into
                 ends = np.cumsum([0] + [len(g) // 4 for g in got]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [ids], names=kept + [into])
+        if release:
+            p._forget()
 
     return rows.mapInArrow(run, schema)
 

@@ -142,6 +142,7 @@ def test_encode_decode(spark):
     got = P.decode(P.encode(df))
     assert got.columns == ["doc_id", "text", "pieces", "decoded"]
     assert all(r.decoded == (r.text or "") for r in got.collect())
+    assert P.encode(df, release=True).collect() == P.encode(df).collect()
     assert P.decode(P.encode(df.limit(0))).count() == 0
 
 
