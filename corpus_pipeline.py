@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the pieces' ids of the whole text and their
     number."""
-    got = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), drop_text=True)
+    got = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), drop_text=True, release=True)
     return got.withColumn("n_pieces", F.size("pieces").cast("long"))
 
 
