@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -71,6 +72,20 @@ def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     return out
 
 
+def releasing(run):
+    """``run``, a function over a task's batches, which gives the memory it
+    freed back to the system when the task ends: Python workers live on and
+    would keep it beside the executor's heap."""
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:      # not this C library: nothing to give back by hand
+            pass
+    return task
+
+
 def add_columns(df: DataFrame, keep: list[str], inputs: list[Column], added: dict[str, tuple], make,
                 rows_at_once: int = 512) -> DataFrame:
     """``keep`` of ``df``, passed through as they are, and new columns made in
@@ -93,5 +108,5 @@ def add_columns(df: DataFrame, keep: list[str], inputs: list[Column], added: dic
                 new = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(new, kinds)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], names=schema.names)
 
-    got = rows.mapInArrow(run, schema)
+    got = rows.mapInArrow(releasing(run), schema)
     return got.toDF(*keep, *added)

@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.llm.common import saved
+from tenderlake.llm.common import releasing, saved
 from tenderlake.llm.components import components
 
 N, NUMERATOR, DENOMINATOR = 3, 90, 100
@@ -173,7 +173,7 @@ def _sets(rows: DataFrame, width: int, percent: int) -> DataFrame:
                      pa.array(d[:, 1].copy()), pa.array(spares, pa.list_(pa.int32()))],
                     names=["doc_id", "key", "n", "d1", "d2", "spares"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def _digest(grams: np.ndarray) -> np.ndarray:
@@ -267,9 +267,9 @@ def _lists(rows: DataFrame, width: int, percent: int) -> DataFrame:
         if rows:
             yield from settle(rows)
 
-    dealt = rows.select("doc_id", "h", "text").mapInArrow(deal, "bucket long, sure boolean, lists binary, owners binary")
+    dealt = rows.select("doc_id", "h", "text").mapInArrow(releasing(deal), "bucket long, sure boolean, lists binary, owners binary")
     return (dealt.repartition(min(int(buckets), MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(meet, "list long, cg long, size long"))
+            .mapInArrow(releasing(meet), "list long, cg long, size long"))
 
 
 def _joined(rows: list, sure: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -416,8 +416,9 @@ def _search(blocks: DataFrame, name: str, width: int, percent: int) -> DataFrame
             yield from out()
 
     sets = blocks.select("block", "c", "asks", "text").mapInArrow(
-        to_sets, "block long, c long, asks boolean, grams binary")
-    return saved(sets.repartition("block").sortWithinPartitions("block", "c").mapInArrow(run, "a long, b long"), name)
+        releasing(to_sets), "block long, c long, asks boolean, grams binary")
+    return saved(sets.repartition("block").sortWithinPartitions("block", "c")
+                 .mapInArrow(releasing(run), "a long, b long"), name)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

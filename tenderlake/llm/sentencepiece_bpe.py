@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderlake.llm.common import fresh
+from tenderlake.llm.common import fresh, releasing
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 31
@@ -369,7 +369,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", into
         if release:
             p._forget()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run) if release else run, schema)
 
 
 def decode(rows: DataFrame, pieces_col: str = "pieces", into: str = "decoded",

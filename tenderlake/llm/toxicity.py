@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenderlake.llm.common import add_columns, saved
+from tenderlake.llm.common import add_columns, releasing, saved
 from tenderlake.llm.fitting import minimise
 
 MAX_ROWS = 8000          # labelled rows a classifier is fitted on
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int
     def gather(batches):
         yield from task(list(batches))
 
-    model = rows.repartition(1).mapInPandas(gather, "ids binary, w binary, b double").collect()
+    model = rows.repartition(1).mapInPandas(releasing(gather), "ids binary, w binary, b double").collect()
     if not model:
         return {"ids": b"", "w": b"", "b": -30.0}
     return {"ids": bytes(model[0]["ids"]), "w": bytes(model[0]["w"]), "b": model[0]["b"]}
