@@ -60,3 +60,36 @@ def test_a_repeated_header_value_is_parsed_once():
     for _ in range(50):
         M._read_message(raw)
     assert M._parsed.cache_info().misses == before
+
+
+def test_notices_of_texts_and_of_other_types_read_alike(spark):
+    """A notice of texts only takes the short way; its twin with one number more
+    takes the long one: body, key and typed fields must agree."""
+    from tenderlake.sources import notices as N
+    texts = ['{"id":"0","title":"R\\u00e9 \\\\"x\\\\"\\u2028","buyer":"","customer":"c","url":null,"Zz":"q"}',
+             '{"title":"","url":"u","agreement_type":" DPS ","notice_type":"0"}', '{}', '{"a b":"x","id":"k"}',
+             '{"title":0,"buyer":false,"id":7}', '{"title":{"a":[1]},"id":null}']
+    rows = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "seq int, source_name string, js string")
+    rows = rows.withColumn("js", F.expr("replace(js, '\\\\\\\\', '\\\\')"))
+    got = N.normalize_notices(rows.select("seq", "source_name", F.expr("parse_json(js)").alias("notice")))
+    odd = N.normalize_notices(rows.select("seq", "source_name", F.expr(
+        "parse_json(concat(left(js, length(js) - 1), if(js = '{}', '', ','), '\"zzz\":1}'))").alias("notice")))
+    a = {r["seq"]: r for r in got.collect()}
+    b = {r["seq"]: r for r in odd.collect()}
+    assert len(a) == len(b) == len(texts)
+    for i in a:
+        assert a[i]["notice"] == b[i]["notice"]
+        assert b[i]["raw_body"] == a[i]["raw_body"][:-1] + ("" if a[i]["raw_body"] == "{}" else ",") + '"zzz":1}'
+    assert a[0]["external_id"] == "0" and a[0]["notice"]["customer"] == "c" and a[0]["notice"]["title"].startswith("Ré ")
+    assert a[1]["notice"]["told_notice_type"] == "0" and a[1]["external_id"] == "u" and a[1]["notice"]["title"] == ""
+    assert a[4]["external_id"] == "7" and a[4]["notice"]["own_title"] is None and a[4]["notice"]["title"] == "0"
+
+
+def test_notice_reads_its_texts_once(spark):
+    """Every further look into the VARIANT costs as much as the first."""
+    from tenderlake.sources import notices as N
+    rows = spark.createDataFrame([(1, "s", "{}")], "seq int, source_name string, js string")
+    raw = N.normalize_notices(rows.select("seq", "source_name", F.expr("parse_json(js)").alias("notice")))
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert "_m#" in plan and plan.count("try_variant_get") < 20
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
