@@ -52,3 +52,19 @@ def test_normalized_text_leaves_single_spaces_alone(spark):
         assert r["n"] == want and r["u"] == want.rstrip("/")
     plan = _plan(spark.range(1).select(normalize_text(F.col("id").cast("string")).alias("n")))
     assert plan.count("regexp_replace") == 1
+
+
+def test_a_search_scores_the_links_of_what_it_found(spark):
+    from tenderlake.operators.cluster import memberships
+    from tenderlake.operators.policy import FilterPolicy
+    from tenderlake.plans.views import cluster_view
+    names = "record_id long, title string, customer string, deadline string, source_url string"
+    recs = spark.createDataFrame([(1, "python api", "Oslo", "d", None), (2, "python api", "Oslo", "d", None), (3, "java", "Bergen", "d", None),
+                                  (4, "x", None, None, "https://oslo.example/1")], names)
+    recs = recs.select("*", *[F.lit(None).cast("string").alias(c) for c in ("summary", "description", "broker")])
+    clusters, links = (x.checkpoint() for x in memberships(recs))
+    every = cluster_view(clusters, links, recs, FilterPolicy.build())
+    found = cluster_view(clusters, links, recs, FilterPolicy.build(), q="oslo")
+    assert found.sort("cluster_id").collect() == every.where("cluster_id in (1, 4)").sort("cluster_id").collect()
+    assert [r["source_count"] for r in found.sort("cluster_id").collect()] == [2, 1]
+    assert "LeftSemi" in _plan(found)
