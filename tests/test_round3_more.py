@@ -47,6 +47,14 @@ def test_sync_takes_all_columns_from_the_newest_row(spark):
     assert left == [("", 8, "title8"), ("", 10, "title10"), ("a", 3, None)]
 
 
+def test_feed_entries_that_are_objects_are_told_by_type(spark):
+    from tenderlake.sources.notices import explode_feed
+    feed = spark.createDataFrame([('[{}, {"a":1}, 7, "x", null, [1], true, {"OBJECT<":[{}]}]',)], "payload string")
+    out = explode_feed(feed)
+    assert [r[0] for r in out.orderBy("notice_pos").select("notice_pos").collect()] == [0, 1, 7]
+    assert "MapType" not in _plan(out)
+
+
 def test_odd_keys_and_types_take_the_long_way(spark):
     """Colons, blanks and type names in keys and values do not pass for texts."""
     from tenderlake.sources.notices import _with_texts
